@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from quillon.llm import exactdedup, linededup, urlfilter
+from quillon.llm import bpe, exactdedup, langid, licenses, linededup, tokenstore, toxicity, urlfilter
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op2_url_filter": urlfilter.op2_url_filter,
+    "op3_language_id": langid.op3_language_id,
+    "op4_token_store": tokenstore.op4_token_store,
+    "op6_license_scan": licenses.op6_license_scan,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_exact_dedup": exactdedup.op9_exact_dedup,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
