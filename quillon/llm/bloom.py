@@ -66,9 +66,25 @@ def possible_rows(rows: DataFrame, key: str, keys: DataFrame, most: int = MAX_BL
     return rows.where(probe(F.xxhash64(key)))
 
 
+def drop_rows(rows: DataFrame, key: str, keys: DataFrame, most: int = MAX_BLOCKS) -> DataFrame:
+    """The rows whose key is not among `keys` (same column); only rows that may be are shuffled. Nulls stay."""
+    probe = might_hold(rows.sparkSession, Blocked.build(keys.select(F.xxhash64(key).alias("h")), "h", most))
+    marked = rows.withColumn("__maybe", probe(F.xxhash64(key)))
+    some = marked.where("__maybe").join(keys.select(F.col(key).alias("__gone")).distinct(), F.col(key) == F.col("__gone"), "left_anti")
+    return marked.where("NOT __maybe").unionByName(some).drop("__maybe")
+
+
 CHUNK = 1 << 17  # bytes of packed bits in a row of partial filters
 
 
+def mark(bits: np.ndarray, at: np.ndarray) -> None:
+    """Sets the bits at sorted distinct places."""
+    if len(at):
+        byte, bit = at >> 3, np.uint8(1) << (at & 7).astype(np.uint8)
+        starts = np.flatnonzero(np.r_[True, byte[1:] != byte[:-1]])
+        bits[byte[starts]] |= np.bitwise_or.reduceat(bit, starts)
+
+
 class OnceTwice:
     """Two Bloom filters of 2**log2 bits: bits set at least once, and bits set at least twice."""
 
@@ -82,19 +98,27 @@ class OnceTwice:
         odd = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
         return [((h ^ (h >> np.uint64(31))) * np.uint64(odd[i]) >> np.uint64(64 - self.log2)).astype(np.int64) for i in range(self.k)]
 
-    def partial(self, hashes: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """One task's filters. Each array is one document's or batch's; a hash in two of them is a repeat."""
-        once, twice = np.zeros(1 << self.log2, bool), np.zeros(1 << self.log2, bool)
-        for h in hashes:
-            for at in self.places(h):
-                at = np.sort(at)
-                twice[at[1:][at[1:] == at[:-1]]] = True
-                twice[at[once[at]]] = True
-                once[at] = True
-        step = min(CHUNK * 8, 1 << self.log2)
-        for part in range((1 << self.log2) // step):
-            one, two = (np.packbits(x[part * step : (part + 1) * step]).tobytes() for x in (once, twice))
-            if one.strip(b"\0"):
+    def start(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros((1 << self.log2) // 8, np.uint8), np.zeros((1 << self.log2) // 8, np.uint8)
+
+    def add(self, state: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> None:
+        """Adds hashes, each once for every document that has it: a hash that comes again is a repeat."""
+        once, twice = state
+        for at in self.places(h):
+            at = np.sort(at)
+            again = at[1:] == at[:-1]
+            fresh = at[np.r_[True, ~again]] if len(at) else at
+            mark(twice, np.unique(at[1:][again]))
+            mark(twice, fresh[(once[fresh >> 3] >> (fresh & 7).astype(np.uint8)) & 1 == 1])
+            mark(once, fresh)
+
+    def rows(self, state: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """One task's filters, in compressed parts; empty parts are left out."""
+        once, twice = state
+        step = min(CHUNK, len(once))
+        for part in range(len(once) // step):
+            one, two = (x[part * step : (part + 1) * step] for x in (once, twice))
+            if one.any():
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(one, 1)], pa.binary()), pa.array([zlib.compress(two, 1)], pa.binary())], names=["part", "once", "twice"])
 
     def merge(self, partials: DataFrame) -> np.ndarray:
@@ -128,5 +152,5 @@ class OnceTwice:
         """Which hashes may have been seen twice."""
         found = np.ones(len(h), bool)
         for at in self.places(h):
-            found &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            found &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         return found

@@ -111,9 +111,7 @@ def shingles(data: np.ndarray, off: np.ndarray, width: int = 5):
             s = np.sort(all_[a : b - width + 1])
             yield s[np.r_[True, s[1:] != s[:-1]]]
         elif b > a:
-            part = np.uint64(b - a) * MULT[7]
-            for k in range(b - a):
-                part = part + hashes[a + k] * MULT[k + 1]
-            yield mix(np.array([part], np.uint64))
+            part = np.uint64([b - a]) * MULT[7] + (hashes[a:b] * MULT[1 : 1 + b - a]).sum(keepdims=True)
+            yield mix(part)
         else:
             yield np.zeros(0, np.uint64)

@@ -106,18 +106,19 @@ def identify(docs: DataFrame, model: Model | None, id_col="doc_id", text_col="te
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cols = [id_col, *[c for c in keep if c != id_col]]
+    at = cols.index(text_col) if text_col in cols else len(cols)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
 
     def run(batches):
         m = shared.value
         for b in batches:
-            data, off = text_bytes(b.column(0))
+            data, off = text_bytes(b.column(at))
             for a, z in slices(off):
                 best, p = m.score(data[off[a] : off[z]], off[a : z + 1] - off[a]) if m else (np.full(z - a, -1), np.zeros(z - a))
                 names = np.array([*(m.langs if m else []), "und"], object)
-                yield pa.RecordBatch.from_arrays([*(b.column(i + 1).slice(a, z - a) for i in range(len(cols))), pa.array(names[best], pa.string()), pa.array(p, pa.float64())], names=[*cols, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(a, z - a) for i in range(len(cols))), pa.array(names[best], pa.string()), pa.array(p, pa.float64())], names=[*cols, "lang_pred", "score"])
 
-    return docs.select(F.col(text_col).alias("__text"), *cols).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(*cols, *[text_col][at < len(cols) :]).mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
 def held_out(id_col="doc_id"):

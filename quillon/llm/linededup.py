@@ -32,7 +32,10 @@ def repeated_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_points
     filters = OnceTwice(log2_bits, k)
 
     def partial(batches):
-        yield from filters.partial(b.column(0).to_numpy(zero_copy_only=False) for b in batches)
+        state = filters.start()
+        for b in batches:
+            filters.add(state, b.column(0).to_numpy(zero_copy_only=False))
+        yield from filters.rows(state)
 
     twice = spark.sparkContext.broadcast(filters.merge(held.select(F.xxhash64("key").alias("h")).mapInArrow(partial, OnceTwice.SCHEMA)))
 
@@ -45,8 +48,8 @@ def repeated_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_points
     return suspects, stash(counted.where(F.col("n") >= min_docs).select("key", "last_id"), "line-confirmed")
 
 
-def line_dedup(docs: DataFrame, id_col="doc_id", text_col="text", min_points=MIN_POINTS, min_docs=MIN_DOCS, log2_bits=26) -> DataFrame:
-    """Each document with its repeated lines dropped: id, text, n_lines, n_dropped.
+def line_dedup(docs: DataFrame, id_col="doc_id", text_col="text", min_points=MIN_POINTS, min_docs=MIN_DOCS, log2_bits=26, keep=()) -> DataFrame:
+    """Each document with its repeated lines dropped: id, text, the columns in `keep`, n_lines, n_dropped.
 
     A line's key is the line without white space at its ends, A-Z lower-cased. Keys of at least
     `min_points` code points found in at least `min_docs` documents lose all their lines except in the
@@ -60,15 +63,16 @@ def line_dedup(docs: DataFrame, id_col="doc_id", text_col="text", min_points=MIN
     suspects, confirmed = repeated_lines(docs, id_col, text_col, min_points, min_docs, log2_bits)
     drops = suspects.join(confirmed, "key").where(~F.col("id").eqNullSafe(F.col("last_id"))).groupBy("id").agg(F.collect_set("key").alias("drop"))
     drops = stash(drops, "line-drops")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
+    more = [f"kept_{i}" for i in range(len(keep))]
     probe = might_hold(docs.sparkSession, Blocked.build(drops.select(F.xxhash64("id").alias("h")), "h"))
     marked = rows.withColumn("maybe", probe(F.xxhash64("id")))
     touched = marked.where("maybe").join(drops.withColumnRenamed("id", "drop_id"), F.col("id").eqNullSafe(F.col("drop_id")), "left")
     lines, drop = _lines(F.col("text")), F.coalesce("drop", F.array().cast("array<string>"))
     kept = F.filter(lines, lambda x: ~F.array_contains(drop, _key(x)))
-    touched = touched.select("id", F.array_join(kept, "\n").alias("text"), F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(kept)).cast("long").alias("n_dropped"))
-    rest = marked.where("NOT maybe").select("id", "text", F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
-    return touched.unionByName(rest).withColumnRenamed("id", id_col)
+    touched = touched.select("id", F.array_join(kept, "\n").alias("text"), *more, F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(kept)).cast("long").alias("n_dropped"))
+    rest = marked.where("NOT maybe").select("id", "text", *more, F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    return touched.unionByName(rest).select(F.col("id").alias(id_col), F.col("text").alias(text_col), *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)), "n_lines", "n_dropped")
 
 
 def op10_line_dedup(spark, sf_dir):

@@ -20,7 +20,7 @@ EXCEPTIONS = ["trash can", "trash bin", "clown fish", "class clown", "pathetic f
 LOOKALIKES = dict(zip("аеорсухіјѕԁһӏԛԝвмнткαεικνορτυχßıł", "aeopcyxijsdhlqwbmhtkaeiknoptuxsil"))
 DIGITS = dict(zip("013457@$!", "oieastasi"))
 MAX_POSITIVE, MAX_NEGATIVE = 5_000, 10_000  # documented bounds of the labelled rows that are learned from
-MIN_DOCS, MIN_SUPPORT, MIN_WEIGHT, LENGTHS = 6, 40.0, 2.5, range(4, 9)
+MIN_DOCS, MIN_SUPPORT, MIN_WEIGHT, LENGTHS = 5, 22.0, 2.5, range(4, 9)
 
 
 class Fold(dict):
@@ -54,6 +54,17 @@ def features(text: str) -> set[str]:
     return out
 
 
+def contexts(text: str, wanted: set[str]) -> set[tuple[str, str]]:
+    """(term, word before it) for the terms in a text."""
+    out, last = set(), ""
+    for w in fold(text).split():
+        for f in (f" {w} ", *(f" {w[:n]}" for n in LENGTHS if n <= len(w))):
+            if f in wanted:
+                out.add((f, last))
+        last = w
+    return out
+
+
 class Model:
     def __init__(self, terms: dict[str, float], coef=(-4.0, 2.0, 1.0)):
         self.terms, self.coef = terms, np.asarray(coef, float)
@@ -144,6 +155,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
         w = float(np.log((a + 0.5) / (t_all + 1)) - np.log((clean.get(f, 0) + 0.5) / (c_all + 1)))
         if w >= MIN_WEIGHT and (r := ratio(a, clean.get(f, 0))) >= MIN_SUPPORT:
             scored.append((-r, -len(f), f, w))
+    # near copies of one toxic document share all their words; a term must stand behind different words
+    wanted = {x[2] for x in scored}
+
+    def pairs(batches):
+        got = {x for b in batches for t in b.column(0).to_pylist() for x in contexts(t, wanted)}
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in got], pa.string()), pa.array([w for _, w in got], pa.string())], names=["term", "before"])
+
+    places = rows.where("y = 1").select(text_col).mapInArrow(pairs, "term string, before string").groupBy("term").agg(F.countDistinct("before").alias("n")).toArrow()
+    places = dict(zip(places["term"].to_pylist(), places["n"].to_pylist()))
+    scored = [x for x in scored if places.get(x[2], 0) >= max(MIN_DOCS, 0.2 * toxic[x[2]])]
     taken: set[str] = set()
     for _, _, f, w in sorted(scored):
         stem = f.strip()
