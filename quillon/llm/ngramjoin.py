@@ -8,8 +8,8 @@
    built over the prefixes of all documents, drop them before anything is shuffled.
 4. Postings of the first order are grouped by shingle; large groups are cut into tiles, and pairs of tiles
    are compared in numpy. A pair must meet the length and position bounds, share prefix bits under the
-   other orders, and keep its difference bound on a parity bitmap of the whole sets. A first round keeps
-   two candidates for each member of a group, so groups of copies give few rows.
+   other orders, and keep its difference bound on parity bitmaps of the whole sets. A first round keeps
+   two candidates for each document, so groups of copies give few rows.
 5. Candidates are verified on the whole sets; links make components. A second round compares all pairs
    again and keeps each candidate across components, so no link between components is lost.
 """
@@ -33,7 +33,7 @@ WIDTH, ORDERS, TILE = 5, 3, 256
 SKETCH, FILTER_BITS, FILTER_K = 1 << 20, 27, 2
 HOT = 8  # a shingle is frequent from so many times the sketch's mean on
 SEEDS = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-PARITY = 256
+PARITY, FINE = 256, 4096
 
 
 def sets_of(batches):
@@ -53,12 +53,8 @@ def orders(s: np.ndarray, sketch: np.ndarray) -> list[np.ndarray]:
     n = len(s)
     size = n - (4 * n + 4) // 5 + 1
     rate = sketch[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
-    level = np.where(rate >= HOT, np.log2(np.maximum(rate, 1)), 0).astype(np.int64)
-    out = []
-    for seed in SEEDS[:ORDERS]:
-        key = mix(s ^ seed)
-        out.append(s[np.lexsort((key, level))[:size]] if level.any() else s[_lowest(key, size)])
-    return out
+    level = np.where(rate >= HOT, np.log2(np.maximum(rate, 1)) + 1, 0).astype(np.uint64) << np.uint64(58) if n and rate.max() >= HOT else np.uint64(0)
+    return [s[_lowest((mix(s ^ seed) >> np.uint64(6)) | level, size)] for seed in SEEDS[:ORDERS]]
 
 
 def _lowest(key: np.ndarray, size: int) -> np.ndarray:
@@ -149,12 +145,12 @@ def _prefixes(rows: DataFrame, sketch: np.ndarray) -> DataFrame:
                 if all(m.any() for m in may):
                     at = np.flatnonzero(may[0])
                     bits = b"".join(_bitmap(found[k][may[k]], 128, False) for k in range(1, ORDERS)) + _bitmap(s, PARITY, True)
-                    out.append((signature(s), len(s), found[0][at].view(np.int64), at.astype(np.int32), bits))
+                    out.append((signature(s), len(s), found[0][at].view(np.int64), at.astype(np.int32), bits, _bitmap(s, FINE, True)))
             if out:
-                sig, n, tokens, at, bits = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array(bits, pa.binary())], names=["sig", "n", "tokens", "at", "bits"])
+                sig, n, tokens, at, bits, fine = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array(bits, pa.binary()), pa.array(fine, pa.binary())], names=["sig", "n", "tokens", "at", "bits", "fine"])
 
-    return stash(rows.mapInArrow(run, "sig binary, n int, tokens array<long>, at array<int>, bits binary").dropDuplicates(["sig"]), "prefixes")
+    return stash(rows.mapInArrow(run, "sig binary, n int, tokens array<long>, at array<int>, bits binary, fine binary").dropDuplicates(["sig"]), "prefixes")
 
 
 def _units(prefixes: DataFrame) -> DataFrame:
@@ -229,6 +225,21 @@ def _candidates(units: DataFrame, every: bool) -> DataFrame:
     return stash(dealt.mapInArrow(run, "a binary, b binary").distinct(), "candidates")
 
 
+def _finer(candidates: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The candidates whose difference bound also holds on longer parity bitmaps, for long documents."""
+
+    def check(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("x", "y"))
+            n = b.column("n").to_numpy() + b.column("m").to_numpy()
+            ok = 9 * np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= n
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
+
+    pairs = candidates.join(prefixes.select(F.col("sig").alias("a"), "n", F.col("fine").alias("x")), "a")
+    pairs = pairs.join(prefixes.select(F.col("sig").alias("b"), F.col("n").alias("m"), F.col("fine").alias("y")), "b")
+    return pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(check, "a binary, b binary")
+
+
 def _runs(counts: np.ndarray, most: int):
     total, a = np.r_[0, np.cumsum(counts)], 0
     while a < len(counts):
@@ -283,14 +294,19 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text") -> Dat
     prefixes = _prefixes(rows, _sketch(features))
     units = _units(prefixes)
     first = _candidates(units, every=False)
-    links = _links(first, classes, rows)
+    fine = stash(_finer(first, prefixes), "fine")
+    tested = fine.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(fine.groupBy("a").agg(F.max("b").alias("b")))
+    tested = stash(tested.distinct(), "tested")  # two pairs a document at most
+    links = _links(tested, classes, rows)
     near = components(links)
     named = classes.join(near, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").cast("string").alias("comp"))
     second = _candidates(units.join(named.where("comp IS NOT NULL"), "sig"), every=True)
-    if second.limit(1).count():
-        near = components(links.unionByName(_links(second, classes, rows)))
+    rest = stash(_finer(second.join(tested, ["a", "b"], "left_anti"), prefixes), "rest")
+    unstash(first, fine, second, prefixes, tested)
+    if rest.limit(1).count():
+        near = components(links.unionByName(_links(rest, classes, rows)))
     top = classes.join(near, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
-    unstash(prefixes, first, second)
+    unstash(rest)
     full = docs_.where("n > 0").join(top, "sig").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
     none = docs_.where("n = 0").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
     return full.unionByName(none)
