@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.bloom import OnceTwice, possible_rows
+from quillon.llm.bloom import Blocked, OnceTwice
 from quillon.llm.common import slices, stash, table, text_bytes, unstash
 from quillon.llm.components import components
 from quillon.llm.kernels import mix, ragged, shingles
@@ -169,7 +169,7 @@ def _candidates(units: DataFrame, every: bool) -> DataFrame:
     def compare(sig, n, pos, bits, tile, cross, comp, first, size):
         """Candidates of several units; first, size: where each unit's rows are."""
         later = np.repeat(first + size, size) - np.arange(len(n)) - 1
-        for a0, a1 in _runs(later, 400_000):
+        for a0, a1 in _runs(later, 100_000):
             left = np.arange(a0, a1)
             x, y = np.repeat(left, later[a0:a1]), ragged(left + 1, later[a0:a1])
             keep = ~(cross[x] & (tile[x] == tile[y])) if cross.any() else np.ones(len(x), bool)
@@ -253,21 +253,24 @@ def _links(candidates: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFr
     sigs = candidates.select(F.col("a").alias("sig")).unionByName(candidates.select(F.col("b").alias("sig"))).distinct()
     reps = stash(classes.join(sigs, "sig").where("rep IS NOT NULL").select("sig", F.col("rep").alias("id")), "verified")
 
+    maybe = rows.sparkSession.sparkContext.broadcast(Blocked.build(reps.select(F.xxhash64("id").alias("h")), "h"))
+
     def run(batches):
-        for _, sets in sets_of(batches):
+        some = (b.filter(pa.array(maybe.value.hits(b.column(2).to_numpy()))) for b in batches)
+        for _, sets in sets_of(b for b in some if b.num_rows):
             yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "whole"])
 
-    some = possible_rows(rows, "id", reps.select("id")).join(reps.select("id").distinct(), "id", "left_semi")
-    whole = stash(some.select("id", "text").mapInArrow(run, "sig binary, whole binary").join(reps, "sig", "left_semi").dropDuplicates(["sig"]), "whole-sets")
+    found = rows.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, "sig binary, whole binary")
+    whole = stash(found.join(reps, "sig", "left_semi").dropDuplicates(["sig"]), "whole-sets")
 
     def check(batches):
         for b in batches:
-            ok = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                ok.append(9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
+            (xs, x_at), (ys, y_at) = (text_bytes(b.column(i)) for i in (2, 3))
+            ok = np.zeros(b.num_rows, bool)
+            for i in range(b.num_rows):
+                both = np.sort(np.frombuffer(xs[x_at[i] : x_at[i + 1]].tobytes() + ys[y_at[i] : y_at[i + 1]].tobytes(), np.uint64))
+                ok[i] = 9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
     pairs = candidates.join(whole.select(F.col("sig").alias("a"), F.col("whole").alias("x")), "a").join(whole.select(F.col("sig").alias("b"), F.col("whole").alias("y")), "b")
     good = pairs.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
