@@ -76,6 +76,7 @@ def library_coder(spec: str) -> SegmentTable:
 
 
 RAW = "kind string, key binary, id {kind}, n_tokens long, hashes array<binary>, sizes array<int>, payload binary"
+RECIPE = "id {kind}, row long, start long, n_tokens long, hashes array<binary>, sizes array<int>, root binary, shard int"
 
 
 def write_store(docs: DataFrame, path: str, end_id: int = END_ID, id_col="doc_id", text_col="text", folder: str | None = None) -> str:
@@ -143,7 +144,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = END_ID, id_col="doc_id
 
     shards = raw.select("id", "n_tokens", "hashes", "sizes", root("hashes").alias("root")).repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
     shards.withColumn("shard", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()).write.parquet(f"{folder}/sorted")
-    ordered = spark.read.parquet(f"{folder}/sorted")
+    ordered = spark.read.schema(f"id {kind}, n_tokens long, hashes array<binary>, sizes array<int>, root binary, shard int, row long").parquet(f"{folder}/sorted")
     totals = ordered.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("shard", "base")
     inside = F.sum("n_tokens").over(W.partitionBy("shard").orderBy("row").rowsBetween(W.unboundedPreceding, -1))
     starts = ordered.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(totals), "shard")  # one row a shard
@@ -161,7 +162,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = END_ID, id_col="doc_id
         if now is not None:
             yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([fold.digest()])], names=["shard", "root"])
 
-    spark.read.parquet(f"{folder}/recipes").select("shard", "row", "root").repartition("shard").sortWithinPartitions("shard", "row").mapInArrow(shard_root, "shard int, root binary").write.parquet(f"{folder}/manifest")
+    spark.read.schema(RECIPE.format(kind=kind)).parquet(f"{folder}/recipes").select("shard", "row", "root").repartition("shard").sortWithinPartitions("shard", "row").mapInArrow(shard_root, "shard int, root binary").write.parquet(f"{folder}/manifest")
     return folder
 
 
@@ -184,7 +185,7 @@ def _apply(tab: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def read_digests(spark, folder: str) -> DataFrame:
+def read_digests(spark, folder: str, id_type: str = "bigint") -> DataFrame:
     """Reads every stored chunk and recipe back and verifies them: id, start, n_tokens, ids_crc32.
 
     Each chunk's ids are unpacked and must have the hash under which they are stored, each recipe's
@@ -220,8 +221,8 @@ def read_digests(spark, folder: str) -> DataFrame:
             x[at] = _apply(tables.value[k], x[at])
         return pd.Series(x.astype(np.int64))
 
-    chunks = spark.read.parquet(f"{folder}/chunks").where("kind = 'chunk'").select("key", "payload").mapInArrow(verify, "key binary, crc long, found long")
-    recipes = spark.read.parquet(f"{folder}/recipes")
+    chunks = spark.read.schema(RAW.format(kind=id_type)).parquet(f"{folder}/chunks").where("kind = 'chunk'").select("key", "payload").mapInArrow(verify, "key binary, crc long, found long")
+    recipes = spark.read.schema(RECIPE.format(kind=id_type)).parquet(f"{folder}/recipes")
     recipes = recipes.mapInArrow(recipe, recipes.schema)
     tails = F.expr("transform(sizes, (s, i) -> 4L * (n_tokens - aggregate(slice(sizes, 1, i + 1), 0L, (x, y) -> x + y)))")
     parts = recipes.select("id", "row", "start", "n_tokens", F.explode(F.arrays_zip(F.col("hashes").alias("key"), F.col("sizes").alias("size"), tails.alias("tail"))).alias("c")).select("id", "row", "start", "n_tokens", "c.key", "c.size", "c.tail")

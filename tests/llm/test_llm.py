@@ -82,7 +82,9 @@ def test_url_filter(spark):
 def test_language_id(spark, docs, empty):
     model = langid.train(spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([("the cat and the dog", "en"), ("le chat et la souris", "fr")] * 20)], "doc_id long, text string, lang string"))
     got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
-    assert got[1].lang_pred == got[2].lang_pred == "und" and got[8].lang_pred == "en"
+    assert got[1].lang_pred == got[2].lang_pred == "und" and got[1].score == 0 and 0 < got[8].score <= 1
+    near = spark.createDataFrame([(1, "the dog"), (2, "la souris")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(near, model).collect()} == {1: "en", 2: "fr"}
     assert langid.train(empty) is None and langid.identify(docs, None).where("lang_pred <> 'und'").count() == 0
 
 
