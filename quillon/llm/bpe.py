@@ -120,12 +120,18 @@ class Automaton:
         return [self.piece(p) for p in many]
 
 
+def plain_segments(data: np.ndarray, doc_starts: np.ndarray):
+    """(bytes, starts, where the content begins, ends) of the segments as they are."""
+    starts = segments(data, doc_starts)
+    return data, starts, starts, np.r_[starts[1:], len(data)]
+
+
 class SegmentTable:
     """Ids of text segments by their 64-bit hash; segments not met yet are encoded once. It forgets all
-    beyond `limit` segments, so a worker's memory is bounded."""
+    beyond `limit` segments, so a worker's memory is bounded. `cut` says what the segments of some texts are."""
 
-    def __init__(self, encode_pieces, limit: int = 300_000):
-        self.encode_pieces, self.limit = encode_pieces, limit
+    def __init__(self, encode_pieces, limit: int = 300_000, cut=plain_segments):
+        self.encode_pieces, self.limit, self.cut = encode_pieces, limit, cut
         self.clear()
 
     def clear(self):
@@ -135,16 +141,15 @@ class SegmentTable:
         """(ids of all documents, ids of each document) for the texts data[off[i]:off[i+1]]; off[0] is 0."""
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(off) - 1, np.int64)
-        starts = segments(data, off[:-1][off[:-1] < off[1:]])
-        ends = np.r_[starts[1:], len(data)]
-        keys, first, inverse = np.unique(piece_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        data, starts, begins, ends = self.cut(data, off[:-1][off[:-1] < off[1:]])
+        keys, first, inverse = np.unique(piece_hashes(data, begins, ends), return_index=True, return_inverse=True)
         if len(self.keys) > self.limit:
             self.clear()
         at = np.searchsorted(self.keys, keys)
         miss = np.flatnonzero(~((at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == keys))) if len(self.keys) else np.arange(len(keys))
         if len(miss):
             raw = data.tobytes()
-            new = self.encode_pieces([raw[a:b] for a, b in zip(starts[first[miss]].tolist(), ends[first[miss]].tolist())])
+            new = self.encode_pieces([raw[a:b] for a, b in zip(begins[first[miss]].tolist(), ends[first[miss]].tolist())])
             size = np.fromiter(map(len, new), np.int64, len(new))
             start = len(self.flat) + np.r_[0, np.cumsum(size)[:-1]].astype(np.int64)
             self.flat = np.r_[self.flat, np.fromiter((i for x in new for i in x), np.int32, int(size.sum()))]

@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.bpe import SegmentTable, remembered, shared_file, tokenizer_path
+from quillon.llm.bpe import SegmentTable, plain_segments, remembered, shared_file, tokenizer_path
 from quillon.llm.common import shared_dir, slices, table, text_bytes
-from quillon.llm.kernels import MULT, mix
+from quillon.llm.kernels import LOWERED, MULT, mix, segments
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 WINDOW, MASK, LONGEST = 8, 511, 4096  # ids a rolling hash sees; 512 ids a chunk in the mean; longest chunk
@@ -64,6 +64,27 @@ def unpack(payload: bytes, expand) -> np.ndarray:
     return np.frombuffer(expand(payload[1:]), "<u4" if payload[0] == 4 else "<u2").astype("<u4")
 
 
+IS_LETTER = np.zeros(256, bool)
+IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
+IS_MARK = np.zeros(256, bool)
+IS_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+def word_segments(data: np.ndarray, doc_starts: np.ndarray):
+    """Segments for a tokenizer that lower-cases and drops white space: cut also where an ASCII mark follows
+    an ASCII letter, without the space or line feed before them, A-Z lower-cased. A letter before a
+    character beyond ASCII stays, as both may compose. Text with `<|`, in which special tokens may stand,
+    is cut like any other tokenizer's."""
+    starts = segments(data, doc_starts)
+    at = np.flatnonzero(data[:-1] == 60)
+    if (data[at + 1] == 124).any():
+        return data, starts, starts, np.r_[starts[1:], len(data)]
+    starts = np.union1d(starts, np.flatnonzero(IS_LETTER[data[:-1]] & IS_MARK[data[1:]]) + 1)
+    ends = np.r_[starts[1:], len(data)]
+    plain = np.r_[data[1:] < 128, True]
+    return np.where(plain, LOWERED[data], data), starts, starts + ((data[starts] == 32) | (data[starts] == 10)), ends
+
+
 def library_coder(spec: str) -> SegmentTable:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -72,7 +93,33 @@ def library_coder(spec: str) -> SegmentTable:
     t.no_truncation()
     t.no_padding()
     run = getattr(t, "encode_batch_fast", t.encode_batch)
-    return SegmentTable(lambda many: [e.ids for e in run([p.decode("utf-8", "replace") for p in many], add_special_tokens=False)])
+    special = next((x for x in t.get_added_tokens_decoder().items() if not x[1].normalized and not x[1].single_word), None)
+
+    def encode_pieces(many: list[bytes]) -> list[list[int]]:
+        """A special token parts pieces, of which many make one text; the library treats what is between
+        special tokens as texts of their own. Pieces with a special token's first letter go alone."""
+        if special is None:
+            return [e.ids for e in run([p.decode("utf-8", "replace") for p in many], add_special_tokens=False)]
+        out: list = [None] * len(many)
+        mark, between = special[1].content.encode(), []
+        alone = [i for i, p in enumerate(many) if b"<" in p]
+        for i, e in zip(alone, run([many[i].decode("utf-8", "replace") for i in alone], add_special_tokens=False)):
+            out[i] = e.ids
+        rest = [i for i, p in enumerate(many) if b"<" not in p]
+        groups = [rest[k : k + 256] for k in range(0, len(rest), 256)]
+        texts = [mark.join(many[i] for i in g).decode("utf-8", "replace") for g in groups]
+        for g, e in zip(groups, run(texts, add_special_tokens=False)):
+            ids = e.ids
+            between = [-1, *(k for k, x in enumerate(ids) if x == special[0]), len(ids)]
+            if len(between) != len(g) + 1:
+                raise ValueError("the tokenizer's special token does not part texts")
+            for i, a, b in zip(g, between, between[1:]):
+                out[i] = ids[a + 1 : b]
+        return out
+
+    # only a tokenizer that lower-cases and drops white space may get word segments
+    lowers = run(["Ab c"], add_special_tokens=False)[0].ids == run(["ab  \nc"], add_special_tokens=False)[0].ids
+    return SegmentTable(encode_pieces, 1_000_000, word_segments if lowers else plain_segments)
 
 
 RAW = "kind string, key binary, id {kind}, n_tokens long, hashes array<binary>, sizes array<int>, payload binary"
