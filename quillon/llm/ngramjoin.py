@@ -6,10 +6,13 @@
    differently seeded hashes. Linked sets share a shingle in their prefixes under each order.
 3. Prefix shingles that only one document has cannot be shared: once/twice Bloom filters of each order,
    built over the prefixes of all documents, drop them before anything is shuffled.
-4. Postings of the first order are grouped by shingle; large groups are cut into tiles, and pairs of tiles
-   are compared in numpy. A pair must meet the length and position bounds, share prefix bits under the
-   other orders, and keep its difference bound on parity bitmaps of the whole sets. A first round keeps
-   two candidates for each document, so groups of copies give few rows.
+4. Postings of the first order are narrow rows (shingle, class number, length, position); those of
+   shingles that one class alone has are dropped exactly, and only then do the rest get their bitmaps;
+   nothing of a class without postings is shuffled any more.
+   Groups of a shingle are compared in numpy, large ones as pairs of tiles. A pair must meet the length and
+   position bounds, share prefix bits under the other orders, and keep its difference bound on parity
+   bitmaps of the whole sets. A first round keeps two candidates for each document, so groups of copies
+   give few rows.
 5. Candidates are verified on the whole sets; links make components. A second round compares all pairs
    again and keeps each candidate across components, so no link between components is lost.
 """
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.bloom import Blocked, OnceTwice
+from quillon.llm.bloom import Blocked, OnceTwice, might_hold
 from quillon.llm.common import slices, stash, table, text_bytes, unstash
 from quillon.llm.components import components
 from quillon.llm.kernels import mix, ragged, shingles
@@ -113,8 +116,8 @@ def _sketch(features: DataFrame) -> np.ndarray:
     return (out / max(out.mean(), 1.0)).astype(np.float32)
 
 
-def _prefixes(rows: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """One row a class: sig, n, the first order's prefix shingles that another document may have with their
+def _prefixes(rows: DataFrame, classes: DataFrame, sketch: np.ndarray) -> DataFrame:
+    """One row a class: its number c, sig, rep, n, the first order's prefix shingles that another document may have with their
     positions, and the bitmaps that the pair filters use."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(sketch)
@@ -150,23 +153,37 @@ def _prefixes(rows: DataFrame, sketch: np.ndarray) -> DataFrame:
                 sig, n, tokens, at, bits, fine = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array(bits, pa.binary()), pa.array(fine, pa.binary())], names=["sig", "n", "tokens", "at", "bits", "fine"])
 
-    return stash(rows.mapInArrow(run, "sig binary, n int, tokens array<long>, at array<int>, bits binary, fine binary").dropDuplicates(["sig"]), "prefixes")
+    found = rows.mapInArrow(run, "sig binary, n int, tokens array<long>, at array<int>, bits binary, fine binary").dropDuplicates(["sig"])
+    found = found.join(classes, "sig").withColumn("c", F.monotonically_increasing_id())  # fixed once it is written
+    return stash(found, "prefixes")
 
 
-def _units(prefixes: DataFrame) -> DataFrame:
-    """Postings dealt to pairs of tiles: a group of at most TILE members is one tile."""
-    p = prefixes.select("sig", "n", "bits", F.explode(F.arrays_zip("tokens", "at")).alias("p")).select("sig", "n", "bits", F.col("p.tokens").alias("token"), F.col("p.at").alias("pos"))
-    groups = p.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token", F.ceil(F.col("c") / TILE).cast("int").alias("tiles"))
-    p = p.join(groups, "token").withColumn("tile", F.expr("CAST(pmod(xxhash64(sig), tiles) AS INT)"))
+def _postings(prefixes: DataFrame) -> DataFrame:
+    """The postings of shingles that several classes have: token, tiles (of TILE members each), c, n, pos."""
+    p = prefixes.select("c", "n", F.explode(F.arrays_zip("tokens", "at")).alias("p")).select("c", "n", F.col("p.tokens").alias("token"), F.col("p.at").alias("pos"))
+    groups = p.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
+    return stash(p.join(groups, "token").select("token", "tiles", "c", "n", "pos"), "postings")
+
+
+def _live(prefixes: DataFrame, postings: DataFrame) -> DataFrame:
+    """The classes that have postings, without their shingles. A Bloom filter of their numbers picks them
+    where they are; a false hit only keeps a class that nothing refers to."""
+    probe = might_hold(prefixes.sparkSession, Blocked.build(postings.select(F.xxhash64("c").alias("h")).distinct(), "h"))
+    return stash(prefixes.drop("tokens", "at").where(probe(F.xxhash64("c"))), "live")
+
+
+def _units(postings: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Postings with their bitmaps, dealt to pairs of tiles: a group of at most TILE members is one tile."""
+    p = postings.join(prefixes.select("c", "bits"), "c").withColumn("tile", F.expr("CAST(pmod(xxhash64(c), tiles) AS INT)"))
     p = p.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-    return p.select("token", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "sig", "n", "pos", "bits")
+    return p.withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")})
 
 
 def _candidates(units: DataFrame, every: bool) -> DataFrame:
     """Pairs (a < b) that pass all filters; `every`: all across components, else two for each member."""
-    cols = ["token", "lo", "hi", "tile", "sig", "n", "pos", "bits"] + (["comp"] if every else [])
+    cols = ["token", "lo", "hi", "tile", "c", "n", "pos", "bits"] + (["comp"] if every else [])
 
-    def compare(sig, n, pos, bits, tile, cross, comp, first, size):
+    def compare(n, pos, bits, tile, cross, comp, first, size):
         """Candidates of several units; first, size: where each unit's rows are."""
         later = np.repeat(first + size, size) - np.arange(len(n)) - 1
         for a0, a1 in _runs(later, 100_000):
@@ -199,30 +216,29 @@ def _candidates(units: DataFrame, every: bool) -> DataFrame:
 
     def emit(t, starts, key):
         size = np.diff(np.r_[starts, t.num_rows])
-        sig = t["sig"].to_pylist()
         bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
-        n, pos, tile = (t[c].to_numpy().astype(np.int64) for c in ("n", "pos", "tile"))
+        c, n, pos, tile = (t[x].to_numpy().astype(np.int64) for x in ("c", "n", "pos", "tile"))
         comp = np.array(t["comp"].to_pylist(), object) if every else None
         if comp is not None:
             comp = np.unique(comp, return_inverse=True)[1]
         cross = key[: t.num_rows, 1] != key[: t.num_rows, 2]
-        seen: set = set()
-        for x, y in compare(sig, n, pos, bits, tile, cross, comp, starts, size):
+        seen = [np.zeros((0, 2), np.int64)]
+        for x, y in compare(n, pos, bits, tile, cross, comp, starts, size):
             if not every and len(x):
-                # x is in order; rows of a unit stand in order of sig, so units agree on whom a member meets first
+                # x is in order; rows of a unit stand in order of c, so units agree on whom a member meets first
                 by_y = np.lexsort((x, y))
                 head = by_y[np.r_[True, y[by_y][1:] != y[by_y][:-1]]]
                 tail = np.flatnonzero(np.r_[x[1:] != x[:-1], True])
                 pick = np.unique(np.r_[head, tail])
                 x, y = x[pick], y[pick]
-            seen.update(zip((sig[i] for i in x), (sig[i] for i in y)))
-        pairs = [(a, b) if a < b else (b, a) for a, b in seen if a != b]
-        if pairs:
-            a, b = zip(*pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            pairs = np.sort(np.stack([c[x], c[y]], 1), 1)
+            seen.append(np.unique(pairs[pairs[:, 0] < pairs[:, 1]], axis=0))
+        pairs = np.unique(np.concatenate(seen), axis=0)
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    dealt = units.select(*cols).repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "sig")
-    return stash(dealt.mapInArrow(run, "a binary, b binary").distinct(), "candidates")
+    dealt = units.select(*cols).repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "c")
+    return stash(dealt.mapInArrow(run, "a long, b long").distinct(), "candidates")
 
 
 def _finer(candidates: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -235,9 +251,9 @@ def _finer(candidates: DataFrame, prefixes: DataFrame) -> DataFrame:
             ok = 9 * np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= n
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
-    pairs = candidates.join(prefixes.select(F.col("sig").alias("a"), "n", F.col("fine").alias("x")), "a")
-    pairs = pairs.join(prefixes.select(F.col("sig").alias("b"), F.col("n").alias("m"), F.col("fine").alias("y")), "b")
-    return pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(check, "a binary, b binary")
+    pairs = candidates.join(prefixes.select(F.col("c").alias("a"), "n", F.col("fine").alias("x")), "a")
+    pairs = pairs.join(prefixes.select(F.col("c").alias("b"), F.col("n").alias("m"), F.col("fine").alias("y")), "b")
+    return pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def _runs(counts: np.ndarray, most: int):
@@ -248,10 +264,10 @@ def _runs(counts: np.ndarray, most: int):
         a = b
 
 
-def _links(candidates: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+def _links(candidates: DataFrame, prefixes: DataFrame, rows: DataFrame) -> DataFrame:
     """The candidates whose whole sets are similar, as (u, v) of class representatives."""
-    sigs = candidates.select(F.col("a").alias("sig")).unionByName(candidates.select(F.col("b").alias("sig"))).distinct()
-    reps = stash(classes.join(sigs, "sig").where("rep IS NOT NULL").select("sig", F.col("rep").alias("id")), "verified")
+    some = candidates.select(F.col("a").alias("c")).unionByName(candidates.select(F.col("b").alias("c"))).distinct()
+    reps = stash(prefixes.select("c", "sig", "rep").join(some, "c").where("rep IS NOT NULL").select("c", "sig", F.col("rep").alias("id")), "verified")
 
     maybe = rows.sparkSession.sparkContext.broadcast(Blocked.build(reps.select(F.xxhash64("id").alias("h")), "h"))
 
@@ -260,8 +276,8 @@ def _links(candidates: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFr
         for _, sets in sets_of(b for b in some if b.num_rows):
             yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "whole"])
 
-    found = rows.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, "sig binary, whole binary")
-    whole = stash(found.join(reps, "sig", "left_semi").dropDuplicates(["sig"]), "whole-sets")
+    found = rows.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, "sig binary, whole binary").dropDuplicates(["sig"])
+    whole = stash(found.join(reps.select("c", "sig"), "sig").select("c", "whole"), "whole-sets")
 
     def check(batches):
         for b in batches:
@@ -272,9 +288,9 @@ def _links(candidates: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFr
                 ok[i] = 9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
-    pairs = candidates.join(whole.select(F.col("sig").alias("a"), F.col("whole").alias("x")), "a").join(whole.select(F.col("sig").alias("b"), F.col("whole").alias("y")), "b")
-    good = pairs.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
-    good = good.join(reps.select(F.col("sig").alias("a"), F.col("id").alias("u")), "a").join(reps.select(F.col("sig").alias("b"), F.col("id").alias("v")), "b")
+    pairs = candidates.join(whole.select(F.col("c").alias("a"), F.col("whole").alias("x")), "a").join(whole.select(F.col("c").alias("b"), F.col("whole").alias("y")), "b")
+    good = pairs.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    good = good.join(reps.select(F.col("c").alias("a"), F.col("id").alias("u")), "a").join(reps.select(F.col("c").alias("b"), F.col("id").alias("v")), "b")
     out = stash(good.select("u", "v"), "links")
     unstash(whole, reps)
     return out
@@ -294,22 +310,24 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text") -> Dat
     features = _features(rows)
     docs_ = features.where("part IS NULL").select("id", "n", "sig")
     classes = stash(docs_.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep")), "classes")
-    prefixes = _prefixes(rows, _sketch(features))
-    units = _units(prefixes)
-    first = _candidates(units, every=False)
-    fine = stash(_finer(first, prefixes), "fine")
+    prefixes = _prefixes(rows, classes, _sketch(features))
+    postings = _postings(prefixes)
+    live = _live(prefixes, postings)
+    unstash(prefixes)
+    first = _candidates(_units(postings, live), every=False)
+    fine = stash(_finer(first, live), "fine")
     tested = fine.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(fine.groupBy("a").agg(F.max("b").alias("b")))
     tested = stash(tested.distinct(), "tested")  # two pairs a document at most
-    links = _links(tested, classes, rows)
+    links = _links(tested, live, rows)
     near = components(links)
-    named = classes.join(near, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").cast("string").alias("comp"))
-    second = _candidates(units.join(named.where("comp IS NOT NULL"), "sig"), every=True)
-    rest = stash(_finer(second.join(tested, ["a", "b"], "left_anti"), prefixes), "rest")
-    unstash(first, fine, second, prefixes, tested)
+    named = live.select("c", "rep").join(near, F.col("rep") == F.col("node"), "left").select("c", F.coalesce("component", "rep").cast("string").alias("comp"))
+    second = _candidates(_units(postings.join(named.where("comp IS NOT NULL"), "c"), live), every=True)
+    rest = stash(_finer(second.join(tested, ["a", "b"], "left_anti"), live), "rest")
+    unstash(first, fine, second, postings, tested)
     if rest.limit(1).count():
-        near = components(links.unionByName(_links(rest, classes, rows)))
+        near = components(links.unionByName(_links(rest, live, rows)))
     top = classes.join(near, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
-    unstash(rest)
+    unstash(rest, live)
     full = docs_.where("n > 0").join(top, "sig").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
     none = docs_.where("n = 0").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
     return full.unionByName(none)
