@@ -53,7 +53,7 @@ STAGES = [
     ("bpe", bpe_encoding),
 ]
 
-#: Naive Bayes and BPE have no SQL form; a brute-force test of the whole run is still to be written.
+#: Naive Bayes and BPE have no SQL form; tests/llm/test_pipeline.py holds the whole run against brute force.
 ORACLE_SQL = None
 
 
