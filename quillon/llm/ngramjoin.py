@@ -71,6 +71,22 @@ def _bitmap(tokens: np.ndarray, bits: int, parity: bool) -> bytes:
     return np.packbits(count & 1 if parity else count > 0).tobytes()
 
 
+def _fine(s: np.ndarray) -> bytes:
+    """Parity bitmap of about four to eight bits a shingle, FINE at most; halves of one folded by XOR are the next."""
+    bits = min(FINE, max(PARITY, 1 << (4 * len(s) - 1).bit_length()))
+    at = ((s * SEEDS[0]) >> np.uint64(32)).astype(np.int64) & (bits - 1)
+    return np.packbits(np.bincount(at, minlength=bits) & 1).tobytes()
+
+
+def _folded(data: np.ndarray, off: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The bitmaps data[off[i]:off[i+1]] of the rows `at`, folded to `width` bytes."""
+    out, size = np.zeros((len(at), width), np.uint8), off[at + 1] - off[at]
+    for k in range(0, int(size.max()), width):
+        some = np.flatnonzero(size > k)
+        out[some] ^= data[(off[at[some]] + k)[:, None] + np.arange(width)]
+    return out
+
+
 def _scan(docs, id_col, text_col):
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
@@ -148,7 +164,7 @@ def _prefixes(rows: DataFrame, classes: DataFrame, sketch: np.ndarray) -> DataFr
                 if all(m.any() for m in may):
                     at = np.flatnonzero(may[0])
                     bits = b"".join(_bitmap(found[k][may[k]], 128, False) for k in range(1, ORDERS)) + _bitmap(s, PARITY, True)
-                    out.append((signature(s), len(s), found[0][at].view(np.int64), at.astype(np.int32), bits, _bitmap(s, FINE, True)))
+                    out.append((signature(s), len(s), found[0][at].view(np.int64), at.astype(np.int32), bits, _fine(s)))
             if out:
                 sig, n, tokens, at, bits, fine = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array(bits, pa.binary()), pa.array(fine, pa.binary())], names=["sig", "n", "tokens", "at", "bits", "fine"])
@@ -246,9 +262,13 @@ def _finer(candidates: DataFrame, prefixes: DataFrame) -> DataFrame:
 
     def check(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("x", "y"))
-            n = b.column("n").to_numpy() + b.column("m").to_numpy()
-            ok = 9 * np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= n
+            (xs, x_at), (ys, y_at) = text_bytes(b.column("x")), text_bytes(b.column("y"))
+            n, width = b.column("n").to_numpy() + b.column("m").to_numpy(), np.minimum(np.diff(x_at), np.diff(y_at))
+            ok = np.zeros(b.num_rows, bool)
+            for w in np.unique(width).tolist():
+                at = np.flatnonzero(width == w)
+                differ = np.bitwise_count(_folded(xs, x_at, at, w) ^ _folded(ys, y_at, at, w)).sum(1, dtype=np.int64)
+                ok[at] = 9 * differ <= n[at]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
     pairs = candidates.join(prefixes.select(F.col("c").alias("a"), "n", F.col("fine").alias("x")), "a")
