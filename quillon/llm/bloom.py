@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import lean
+
 MAX_BLOCKS = 1 << 18  # 512 bits each: 16 MB
 WORDS = 8
 
@@ -143,7 +145,7 @@ class OnceTwice:
         step = min(CHUNK, (1 << self.log2) // 8)
         bits = np.zeros((1 << self.log2) // 8, np.uint8)
         parts = max(1, min(64, len(bits) // step))
-        merged = partials.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(fold, "part int, twice binary").toArrow()
+        merged = partials.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lean(fold), "part int, twice binary").toArrow()
         for part, two in zip(merged["part"].to_pylist(), merged["twice"].to_pylist()):
             bits[part * step : (part + 1) * step] = np.frombuffer(two, np.uint8)
         return bits

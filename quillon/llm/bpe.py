@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import slices, table, text_bytes
+from quillon.llm.common import lean, slices, table, text_bytes
 from quillon.llm.kernels import piece_hashes, ragged, segments
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -201,7 +201,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_col="
         for key, ids in encode_batches(batches, coder):
             yield pa.RecordBatch.from_arrays([key, ids], names=[id_col, "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {kind}, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, tokenizer_path: str, id_col="doc_id") -> DataFrame:
@@ -232,7 +232,7 @@ def bpe_decode(encoded: DataFrame, tokenizer_path: str, id_col="doc_id") -> Data
                     out = pa.array([raw[i:j].decode("utf-8", "replace") for i, j in zip(total[:-1], total[1:])], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, step), part, out], names=[id_col, "ids", "text"])
 
-    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, text string")
+    return encoded.select(id_col, "ids").mapInArrow(lean(run), f"`{id_col}` {kind}, ids array<int>, text string")
 
 
 def tokenizer_path(name: str) -> str:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import slices, table, text_bytes
+from quillon.llm.common import lean, slices, table, text_bytes
 
 BITS, ORDERS, SMOOTHING = 15, (1, 2, 3), 0.5
 MAX_TRAINING_ROWS = 20_000  # documented bound of the sample that the classifier is fitted on
@@ -87,7 +87,7 @@ def train(labelled: DataFrame, text_col="text", lang_col="lang", key_col="doc_id
             at = np.flatnonzero(got)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(got[at])], names=["lang", "feature", "n"])
 
-    got = rows.select(text_col, F.col(lang_col).cast("string").alias("lang")).mapInArrow(count, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.select(text_col, F.col(lang_col).cast("string").alias("lang")).mapInArrow(lean(count), "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
     if not got.num_rows:
         return None
     langs = sorted(set(got["lang"].to_pylist()))
@@ -118,7 +118,7 @@ def identify(docs: DataFrame, model: Model | None, id_col="doc_id", text_col="te
                 names = np.array([*(m.langs if m else []), "und"], object)
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(a, z - a) for i in range(len(cols))), pa.array(names[best], pa.string()), pa.array(p, pa.float64())], names=[*cols, "lang_pred", "score"])
 
-    return docs.select(*cols, *[text_col][at < len(cols) :]).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(*cols, *[text_col][at < len(cols) :]).mapInArrow(lean(run), f"{kinds}, lang_pred string, score double")
 
 
 def held_out(id_col="doc_id"):

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillon.llm.common import slices, table, text_bytes
+from quillon.llm.common import lean, slices, table, text_bytes
 from quillon.llm.kernels import LOWERED, words
 
 # Phrases whose places are counted, and their labels.
@@ -122,7 +122,7 @@ def scan_licenses(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFram
                     [b.column(0).slice(a, z - a), pa.array(n_words, pa.int64()), *(pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), span]))],
                     names=[id_col, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<word:bigint,label:string,confidence:double>>")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<word:bigint,label:string,confidence:double>>")
 
 
 def op6_license_scan(spark, sf_dir):

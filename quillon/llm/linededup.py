@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bloom import Blocked, OnceTwice, might_hold
-from quillon.llm.common import SPACE, ascii_lower, stash, table
+from quillon.llm.common import SPACE, ascii_lower, lean, stash, table
 
 MIN_POINTS, MIN_DOCS = 40, 5
 
@@ -37,7 +37,7 @@ def repeated_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_points
             filters.add(state, b.column(0).to_numpy(zero_copy_only=False))
         yield from filters.rows(state)
 
-    twice = spark.sparkContext.broadcast(filters.merge(held.select(F.xxhash64("key").alias("h")).mapInArrow(partial, OnceTwice.SCHEMA)))
+    twice = spark.sparkContext.broadcast(filters.merge(held.select(F.xxhash64("key").alias("h")).mapInArrow(lean(partial), OnceTwice.SCHEMA)))
 
     @F.pandas_udf("boolean")
     def seen_twice(h: pd.Series) -> pd.Series:

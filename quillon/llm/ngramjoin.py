@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bloom import Blocked, OnceTwice, might_hold
-from quillon.llm.common import slices, stash, table, text_bytes, unstash
+from quillon.llm.common import lean, slices, stash, table, text_bytes, unstash
 from quillon.llm.components import components
 from quillon.llm.kernels import mix, ragged, shingles
 
@@ -108,7 +108,7 @@ def _features(rows: DataFrame) -> DataFrame:
             parts = [zlib.compress(sketch[i * step : (i + 1) * step], 1) for i in range(16)]
             yield pa.RecordBatch.from_arrays([pa.nulls(16, kind_), pa.nulls(16, pa.int32()), pa.nulls(16, pa.binary()), pa.array(range(16), pa.int32()), pa.array(parts, pa.binary())], names=["id", "n", "sig", "part", "counts"])
 
-    return stash(rows.mapInArrow(run, schema), "sets")
+    return stash(rows.mapInArrow(lean(run), schema), "sets")
 
 
 def _sketch(features: DataFrame) -> np.ndarray:
@@ -125,7 +125,7 @@ def _sketch(features: DataFrame) -> np.ndarray:
         if now is not None:
             yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
 
-    got = features.where("part IS NOT NULL").select("part", "counts").repartition(16, "part").sortWithinPartitions("part").mapInArrow(fold, "part int, counts binary").toArrow()
+    got = features.where("part IS NOT NULL").select("part", "counts").repartition(16, "part").sortWithinPartitions("part").mapInArrow(lean(fold), "part int, counts binary").toArrow()
     out, step = np.zeros(SKETCH), SKETCH // 16
     for part, counts in zip(got["part"].to_pylist(), got["counts"].to_pylist()):
         out[part * step : (part + 1) * step] = np.frombuffer(counts, np.int64)
@@ -149,7 +149,7 @@ def _prefixes(rows: DataFrame, classes: DataFrame, sketch: np.ndarray) -> DataFr
             for b in filters.rows(state):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *b.columns], names=["o", "part", "once", "twice"])
 
-    partials = stash(rows.mapInArrow(build, "o int, part int, once binary, twice binary"), "prefix-filters")
+    partials = stash(rows.mapInArrow(lean(build), "o int, part int, once binary, twice binary"), "prefix-filters")
     twice = spark.sparkContext.broadcast([filters.merge(partials.where(F.col("o") == k).drop("o")) for k in range(ORDERS)])
     unstash(partials)
 
@@ -169,7 +169,7 @@ def _prefixes(rows: DataFrame, classes: DataFrame, sketch: np.ndarray) -> DataFr
                 sig, n, tokens, at, bits, fine = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array(bits, pa.binary()), pa.array(fine, pa.binary())], names=["sig", "n", "tokens", "at", "bits", "fine"])
 
-    found = rows.mapInArrow(run, "sig binary, n int, tokens array<long>, at array<int>, bits binary, fine binary").dropDuplicates(["sig"])
+    found = rows.mapInArrow(lean(run), "sig binary, n int, tokens array<long>, at array<int>, bits binary, fine binary").dropDuplicates(["sig"])
     found = found.join(classes, "sig").withColumn("c", F.monotonically_increasing_id())  # fixed once it is written
     return stash(found, "prefixes")
 
@@ -254,7 +254,7 @@ def _candidates(units: DataFrame, every: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     dealt = units.select(*cols).repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "c")
-    return stash(dealt.mapInArrow(run, "a long, b long").distinct(), "candidates")
+    return stash(dealt.mapInArrow(lean(run), "a long, b long").distinct(), "candidates")
 
 
 def _finer(candidates: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -273,7 +273,7 @@ def _finer(candidates: DataFrame, prefixes: DataFrame) -> DataFrame:
 
     pairs = candidates.join(prefixes.select(F.col("c").alias("a"), "n", F.col("fine").alias("x")), "a")
     pairs = pairs.join(prefixes.select(F.col("c").alias("b"), F.col("n").alias("m"), F.col("fine").alias("y")), "b")
-    return pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(check, "a long, b long")
+    return pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(lean(check), "a long, b long")
 
 
 def _runs(counts: np.ndarray, most: int):
@@ -296,7 +296,7 @@ def _links(candidates: DataFrame, prefixes: DataFrame, rows: DataFrame) -> DataF
         for _, sets in sets_of(b for b in some if b.num_rows):
             yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "whole"])
 
-    found = rows.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, "sig binary, whole binary").dropDuplicates(["sig"])
+    found = rows.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(lean(run), "sig binary, whole binary").dropDuplicates(["sig"])
     whole = stash(found.join(reps.select("c", "sig"), "sig").select("c", "whole"), "whole-sets")
 
     def check(batches):
@@ -309,7 +309,7 @@ def _links(candidates: DataFrame, prefixes: DataFrame, rows: DataFrame) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
     pairs = candidates.join(whole.select(F.col("c").alias("a"), F.col("whole").alias("x")), "a").join(whole.select(F.col("c").alias("b"), F.col("whole").alias("y")), "b")
-    good = pairs.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    good = pairs.select("a", "b", "x", "y").mapInArrow(lean(check), "a long, b long")
     good = good.join(reps.select(F.col("c").alias("a"), F.col("id").alias("u")), "a").join(reps.select(F.col("c").alias("b"), F.col("id").alias("v")), "b")
     out = stash(good.select("u", "v"), "links")
     unstash(whole, reps)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import table
+from quillon.llm.common import lean, table
 
 # Terms that count before anything is learned, phrases that excuse a term, look-alikes.
 SEED = "idiot moron stupid worthless pathetic scum loser trash clown disgusting imbecile cretin filth vermin".split()
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
         return run
 
     def counts(y, wanted=None, least=1):
-        got = rows.where(F.col("y") == y).select(text_col).mapInArrow(count(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("term") == "")).toArrow()
+        got = rows.where(F.col("y") == y).select(text_col).mapInArrow(lean(count(wanted)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("term") == "")).toArrow()
         return dict(zip(got["term"].to_pylist(), got["n"].to_pylist()))
 
     toxic = counts(1, least=MIN_DOCS)
@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
         got = {x for b in batches for t in b.column(0).to_pylist() for x in contexts(t, wanted)}
         yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in got], pa.string()), pa.array([w for _, w in got], pa.string())], names=["term", "before"])
 
-    places = rows.where("y = 1").select(text_col).mapInArrow(pairs, "term string, before string").groupBy("term").agg(F.countDistinct("before").alias("n")).toArrow()
+    places = rows.where("y = 1").select(text_col).mapInArrow(lean(pairs), "term string, before string").groupBy("term").agg(F.countDistinct("before").alias("n")).toArrow()
     places = dict(zip(places["term"].to_pylist(), places["n"].to_pylist()))
     scored = [x for x in scored if places.get(x[2], 0) >= max(MIN_DOCS, 0.2 * toxic[x[2]])]
     taken: set[str] = set()
@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
             got = np.array([Model.measures(fold(t), automaton) for t in b.column(0).to_pylist()], float).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1]), b.column(1).cast(pa.int32())], names=["total", "dense", "y"])
 
-    got = rows.mapInArrow(measure, "total double, dense double, y int").toArrow()  # 15,000 rows of three numbers
+    got = rows.mapInArrow(lean(measure), "total double, dense double, y int").toArrow()  # 15,000 rows of three numbers
     model.coef = _logistic(np.c_[got["total"].to_numpy(), got["dense"].to_numpy()], got["y"].to_numpy().astype(float))
     return model
 
@@ -204,7 +204,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col="doc_id", text_col="tex
                 got = np.array([Model.measures(fold(t or ""), automaton) for t in texts], float).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, 256), pa.array(shared.value.probability(got)), pa.array(got[:, 0])], names=[id_col, "score", "weight"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, weight double")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {kind}, score double, weight double")
 
 
 def held_out(id_col="doc_id"):
