@@ -44,6 +44,7 @@ def repeated_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_points
         return pd.Series(filters.hits(twice.value, h.to_numpy(np.int64)))
 
     suspects = stash(held.where(seen_twice(F.xxhash64("key"))), "line-suspects")
+    twice.unpersist()
     counted = suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
     return suspects, stash(counted.where(F.col("n") >= min_docs).select("key", "last_id"), "line-confirmed")
 

@@ -171,7 +171,10 @@ def _prefixes(rows: DataFrame, classes: DataFrame, sketch: np.ndarray) -> DataFr
 
     found = rows.mapInArrow(lean(run), "sig binary, n int, tokens array<long>, at array<int>, bits binary, fine binary").dropDuplicates(["sig"])
     found = found.join(classes, "sig").withColumn("c", F.monotonically_increasing_id())  # fixed once it is written
-    return stash(found, "prefixes")
+    out = stash(found, "prefixes")
+    shared.unpersist()
+    twice.unpersist()
+    return out
 
 
 def _postings(prefixes: DataFrame) -> DataFrame:
@@ -298,6 +301,7 @@ def _links(candidates: DataFrame, prefixes: DataFrame, rows: DataFrame) -> DataF
 
     found = rows.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(lean(run), "sig binary, whole binary").dropDuplicates(["sig"])
     whole = stash(found.join(reps.select("c", "sig"), "sig").select("c", "whole"), "whole-sets")
+    maybe.unpersist()
 
     def check(batches):
         for b in batches:
