@@ -37,10 +37,11 @@ FAMILIES = [
     ("osl-3.0", "open software", r"open software license(?: v)? 3 0"), ("afl-3.0", "academic", r"academic free"), ("ms-pl", "microsoft", r"microsoft public"), ("ms-rl", "microsoft", r"microsoft reciprocal"), ("postgresql", "postgresql", r"postgresql"), ("ncsa", "ncsa", r"ncsa|university of illinois"),
     ("sspl", "server side", r"server side public"), ("busl", "business source", r"business source"), ("elastic", "elastic", r"elastic"), ("vim", "vim", r"vim"), ("w3c", "w3c", r"w3c(?: software)?"), ("beerware", "beerware", r"beerware|beer ware"),
 ]
-# The forms in which a name is written, with confidence; each family gives a rule by each form.
+# The forms in which a name is written, words of which every match has one, and confidence; each
+# family gives a rule by each form.
 FORMS = [
-    (r"spdx license identifier (?:{0})", 1.0), (r"licensed under (?:the )?(?:terms of )?(?:the )?(?:{0})(?: licen[cs]e)?", 0.95), (r"released under (?:the )?(?:{0})(?: licen[cs]e)?", 0.95),
-    (r"distributed under (?:the )?(?:terms of )?(?:the )?(?:{0})(?: licen[cs]e)?", 0.9), (r"(?:the )?(?:{0}) licen[cs]e", 0.85), (r"licen[cs]e (?:type )?(?:is )?(?:the )?(?:{0})", 0.7),
+    (r"spdx license identifier (?:{0})", "license", 1.0), (r"licensed under (?:the )?(?:terms of )?(?:the )?(?:{0})(?: licen[cs]e)?", "licensed", 0.95), (r"released under (?:the )?(?:{0})(?: licen[cs]e)?", "released", 0.95),
+    (r"distributed under (?:the )?(?:terms of )?(?:the )?(?:{0})(?: licen[cs]e)?", "distributed", 0.9), (r"(?:the )?(?:{0}) licen[cs]e", "license licence", 0.85), (r"licen[cs]e (?:type )?(?:is )?(?:the )?(?:{0})", "license licence", 0.7),
 ]
 # Wordings of texts of licenses themselves.
 WORDINGS = [
@@ -48,8 +49,10 @@ WORDINGS = [
     ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification", 1.0), ("public-domain", "public domain", r"(?:released into|dedicated to|placed in(?:to)?|in) the public domain", 0.8),
     ("proprietary", "all rights reserved", r"(?:copyright [^ ]+ (?:[^ ]+ ){0,4})?all rights reserved", 0.4), ("gpl", "free software", r"this program is free software you can redistribute it and or modify it", 1.0), ("warranty", "warranty", r"without warranty of any kind|as is without warranty", 0.3),
 ]
-#: A document without any of these words is not looked at by any rule.
-GATE = (b"licens", b"licenc", b"permission", b"redistribut", b"public domain", b"rights reserved", b"free software", b"warranty", b"same terms")
+_NEEDED = {w for _, ws, _ in FORMS for w in ws.split()} | {max(reversed(k.split()), key=len) for k in [p for p, _ in BASE] + [k for _, k, _, _ in WORDINGS]}
+#: A document without any of these words is not looked at by any rule: every match of a rule has one of them
+#: (its form's, or the longest of its base phrase or of its wording's keyword).
+GATE = tuple(sorted(w.encode() for w in _NEEDED if not any(v != w and v in w for v in _NEEDED)))
 IS_GAP = np.ones(256, bool)
 IS_GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 SPACED = LOWERED.copy()
@@ -60,7 +63,7 @@ def rules():
     """(priority, keyword, pattern, label, confidence); a lower priority goes first. Base phrases lead, then
     longer-named families before shorter ones in each form."""
     out = [(0, p.encode(), re.compile(rb"(?<![^ ])" + p.encode() + rb"(?![^ ])"), label, 0.9) for p, label in BASE]
-    made = [(1 + i, k, form.format(name), label, w) for i, (form, w) in enumerate(FORMS) for label, k, name in FAMILIES]
+    made = [(1 + i, k, form.format(name), label, w) for i, (form, _, w) in enumerate(FORMS) for label, k, name in FAMILIES]
     made += [(1, k, text, label, w) for label, k, text, w in WORDINGS]
     return out + [(p, k.encode(), re.compile(rb"(?<![^ ])(?:" + t.encode() + rb")(?![^ ])"), label, w) for p, k, t, label, w in made]
 
@@ -99,11 +102,11 @@ def scan_licenses(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFram
                 n_words = np.diff(np.searchsorted(starts, bounds))
                 raw, open_ = part.tobytes(), set()
                 for g in GATE:
-                    at = raw.find(g.split(b" ")[0])
+                    at = raw.find(g)
                     while at >= 0:
                         i = int(np.searchsorted(bounds, at, "right")) - 1
                         open_.add(i)
-                        at = raw.find(g.split(b" ")[0], int(bounds[i + 1]))
+                        at = raw.find(g, int(bounds[i + 1]))
                 rows = [(0, None, None, "", "", 0.0, [])] * (z - a)
                 for i in open_:
                     text = b" ".join(raw[bounds[i] : bounds[i + 1]].split())
