@@ -13,9 +13,10 @@ from quillon.llm.kernels import LOWERED, words
 
 # Phrases whose places are counted, and their labels.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
-# Label, keyword, names as regular expressions over words separated by one space.
+# Label, keywords (parted by |, one of which every name has), names as regular expressions over words
+# separated by one space.
 FAMILIES = [
-    ("mit", "mit", r"mit|mit x11|x11 mit|expat"), ("mit-0", "mit", r"mit 0|mit no attribution"), ("x11", "x11", r"x11|x consortium|x window system"),
+    ("mit", "mit|expat", r"mit|mit x11|x11 mit|expat"), ("mit-0", "mit", r"mit 0|mit no attribution"), ("x11", "x11|x consortium|x window system", r"x11|x consortium|x window system"),
     ("apache-1.0", "apache", r"apache(?: software)?(?: license)?,? (?:version )?1 0"), ("apache-1.1", "apache", r"apache(?: software)?(?: license)? (?:version )?1 1"),
     ("apache-2.0", "apache", r"apache(?: software)?(?: license)? (?:version |v )?2 0|apache 2"), ("apache", "apache", r"apache(?: software)?"),
     ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"), ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
@@ -28,14 +29,14 @@ FAMILIES = [
     ("mpl-1.0", "mozilla", r"mozilla public license (?:version |v )?1 0"), ("mpl-1.1", "mozilla", r"mozilla public license (?:version |v )?1 1"), ("mpl-2.0", "mozilla", r"mozilla public license (?:version |v )?2 0"), ("mpl", "mozilla", r"mozilla(?: public)?"), ("mpl", "mpl", r"mpl|mpl v?[12] [01]"),
     ("epl-1.0", "eclipse", r"eclipse public license (?:version |v )?1 0"), ("epl-2.0", "eclipse", r"eclipse public license (?:version |v )?2 0"), ("epl", "eclipse", r"eclipse(?: public| distribution)?"), ("epl", "epl", r"epl|epl v?[12] 0"),
     ("cddl-1.0", "cddl", r"cddl|cddl v?1 [01]"), ("cddl-1.0", "common development", r"common development and distribution"), ("cpl-1.0", "common public", r"common public"), ("ipl-1.0", "ibm", r"ibm public"),
-    ("isc", "isc", r"isc|internet systems consortium"), ("zlib", "zlib", r"zlib|zlib libpng"), ("libpng", "libpng", r"libpng"), ("boost-1.0", "boost", r"boost(?: software)?|bsl 1 0"), ("unlicense", "unlicense", r"(?:the )?unlicense"), ("wtfpl", "wtfpl", r"wtfpl"),
+    ("isc", "isc|internet systems consortium", r"isc|internet systems consortium"), ("zlib", "zlib", r"zlib|zlib libpng"), ("libpng", "libpng", r"libpng"), ("boost-1.0", "boost|bsl 1 0", r"boost(?: software)?|bsl 1 0"), ("unlicense", "unlicense", r"(?:the )?unlicense"), ("wtfpl", "wtfpl", r"wtfpl"),
     ("cc0-1.0", "cc0", r"cc0|cc0 1 0(?: universal)?"), ("cc-by", "cc by", r"cc by(?: [1234] 0)?"), ("cc-by-sa", "cc by sa", r"cc by sa(?: [1234] 0)?"), ("cc-by-nc", "cc by nc", r"cc by nc(?: [1234] 0)?"), ("cc-by-nd", "cc by nd", r"cc by nd(?: [1234] 0)?"),
     ("cc-by-nc-sa", "cc by nc sa", r"cc by nc sa(?: [1234] 0)?"), ("cc-by-nc-nd", "cc by nc nd", r"cc by nc nd(?: [1234] 0)?"), ("cc-by", "creative", r"creative commons attribution(?: [1234] 0)?"), ("cc-by-sa", "creative", r"creative commons attribution share ?alike(?: [1234] 0)?"),
     ("cc-by-nc", "creative", r"creative commons attribution non ?commercial(?: [1234] 0)?"), ("cc-by-nd", "creative", r"creative commons attribution no ?deriv(?:ative)?s?(?: [1234] 0)?"), ("cc", "creative", r"creative commons"),
-    ("artistic-1.0", "artistic", r"artistic license 1 0"), ("artistic-2.0", "artistic", r"artistic license 2 0"), ("artistic", "artistic", r"artistic"), ("perl", "perl", r"same terms as perl(?: itself)?"), ("python-2.0", "python", r"python(?: software foundation)?|psf"),
+    ("artistic-1.0", "artistic", r"artistic license 1 0"), ("artistic-2.0", "artistic", r"artistic license 2 0"), ("artistic", "artistic", r"artistic"), ("perl", "perl", r"same terms as perl(?: itself)?"), ("python-2.0", "python|psf", r"python(?: software foundation)?|psf"),
     ("ruby", "ruby", r"ruby"), ("php-3.0", "php", r"php(?: license)?(?: version)? 3 0[01]?"), ("openssl", "openssl", r"openssl"), ("ofl-1.1", "sil", r"sil open font"), ("odbl", "open database", r"open database"), ("eupl", "european", r"european union public"), ("eupl", "eupl", r"eupl"),
-    ("osl-3.0", "open software", r"open software license(?: v)? 3 0"), ("afl-3.0", "academic", r"academic free"), ("ms-pl", "microsoft", r"microsoft public"), ("ms-rl", "microsoft", r"microsoft reciprocal"), ("postgresql", "postgresql", r"postgresql"), ("ncsa", "ncsa", r"ncsa|university of illinois"),
-    ("sspl", "server side", r"server side public"), ("busl", "business source", r"business source"), ("elastic", "elastic", r"elastic"), ("vim", "vim", r"vim"), ("w3c", "w3c", r"w3c(?: software)?"), ("beerware", "beerware", r"beerware|beer ware"),
+    ("osl-3.0", "open software", r"open software license(?: v)? 3 0"), ("afl-3.0", "academic", r"academic free"), ("ms-pl", "microsoft", r"microsoft public"), ("ms-rl", "microsoft", r"microsoft reciprocal"), ("postgresql", "postgresql", r"postgresql"), ("ncsa", "ncsa|university of illinois", r"ncsa|university of illinois"),
+    ("sspl", "server side", r"server side public"), ("busl", "business source", r"business source"), ("elastic", "elastic", r"elastic"), ("vim", "vim", r"vim"), ("w3c", "w3c", r"w3c(?: software)?"), ("beerware", "beerware|beer ware", r"beerware|beer ware"),
 ]
 # The forms in which a name is written, words of which every match has one, and confidence; each
 # family gives a rule by each form.
@@ -60,20 +61,20 @@ SPACED[IS_GAP] = 32
 
 
 def rules():
-    """(priority, keyword, pattern, label, confidence); a lower priority goes first. Base phrases lead, then
-    longer-named families before shorter ones in each form."""
-    out = [(0, p.encode(), re.compile(rb"(?<![^ ])" + p.encode() + rb"(?![^ ])"), label, 0.9) for p, label in BASE]
+    """(priority, keywords, pattern, label, confidence); every match has one of the keywords. A lower priority goes
+    first. Base phrases lead, then longer-named families before shorter ones in each form."""
+    out = [(0, (p.encode(),), re.compile(rb"(?<![^ ])" + p.encode() + rb"(?![^ ])"), label, 0.9) for p, label in BASE]
     made = [(1 + i, k, form.format(name), label, w) for i, (form, _, w) in enumerate(FORMS) for label, k, name in FAMILIES]
     made += [(1, k, text, label, w) for label, k, text, w in WORDINGS]
-    return out + [(p, k.encode(), re.compile(rb"(?<![^ ])(?:" + t.encode() + rb")(?![^ ])"), label, w) for p, k, t, label, w in made]
+    return out + [(p, tuple(k.encode().split(b"|")), re.compile(rb"(?<![^ ])(?:" + t.encode() + rb")(?![^ ])"), label, w) for p, k, t, label, w in made]
 
 
 def detect(text: bytes, all_rules) -> list[tuple[int, int, int, str, float]]:
     """Detections (start, end, priority, label, confidence) in words joined by single spaces.
 
-    Rules run only where their keyword stands. A detection inside one of a rule that goes first, or inside
+    Rules run only where one of their keywords stands. A detection inside one of a rule that goes first, or inside
     a longer one of an equal rule, is suppressed; base phrases (priority 0) are never."""
-    found = [(m.start(), m.end(), p, label, w) for p, k, pattern, label, w in all_rules if k in text for m in pattern.finditer(text)]
+    found = [(m.start(), m.end(), p, label, w) for p, ks, pattern, label, w in all_rules if any(k in text for k in ks) for m in pattern.finditer(text)]
     found.sort(key=lambda d: (d[2] > 0, -(d[1] - d[0]), d[2], d[0], d[3]))
     kept: list = []
     for d in found:
