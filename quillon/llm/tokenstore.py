@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -131,7 +132,9 @@ def write_store(docs: DataFrame, path: str, end_id: int = END_ID, id_col="doc_id
 
     A null or empty text is the end id alone. Ids of rows may repeat; null ids come first. Other columns
     are not read. Each task emits a chunk once for each hash it meets; the chunks' rows are shuffled by
-    hash, where one of each stays, so no group of copies meets in one task.
+    hash, where one of each stays, so no group of copies meets in one task. A recipe's key follows from its
+    row and partition alone, so a task that runs again sends it to the same place. Raises if the store has
+    more or fewer recipes than there are rows.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
@@ -140,6 +143,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = END_ID, id_col="doc_id
 
     def run(batches):
         coder = remembered(("library", name), lambda: library_coder(spec.value))
+        part = TaskContext.get().partitionId().to_bytes(8, "little")
         press, met = zstandard.ZstdCompressor(level=1).compress, set()
         for batch in batches:
             data, off = text_bytes(batch.column(1))
@@ -164,8 +168,10 @@ def write_store(docs: DataFrame, path: str, end_id: int = END_ID, id_col="doc_id
                 n = b - a
                 none = lambda t, m: pa.nulls(m, t)
                 names = ["kind", "key", "id", "n_tokens", "hashes", "sizes", "payload"]
-                # a recipe's key is drawn from its row, so recipes spread over the tasks
-                own = [hashlib.blake2b(x + np.int64(a + i).tobytes() + uuid.uuid4().bytes, digest_size=16).digest() for i, x in enumerate([b"r"] * n)]
+                # a recipe's key is a hash of partition, id and chunks, so recipes spread over the tasks; the row's
+                # place plays no part, as rows of a recomputed partition may come in another order
+                docs_of = zip(batch.column(0).slice(a, n).to_pylist(), first.tolist(), first[1:].tolist())
+                own = [hashlib.blake2b(b"r" + part + b"".join(hashes[s:e]) + repr(i).encode(), digest_size=16).digest() for i, s, e in docs_of]
                 yield pa.RecordBatch.from_arrays([pa.array(["recipe"] * n), pa.array(own, pa.binary()), batch.column(0).slice(a, n), pa.array(counts + 1, pa.int64()), lists(hashes, pa.binary()), lists((ends - begins).astype(np.int32), pa.int32()), none(pa.binary(), n)], names=names)
                 m = len(new)
                 if m:
@@ -196,6 +202,9 @@ def write_store(docs: DataFrame, path: str, end_id: int = END_ID, id_col="doc_id
     inside = F.sum("n_tokens").over(W.partitionBy("shard").orderBy("row").rowsBetween(W.unboundedPreceding, -1))
     starts = ordered.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(totals), "shard")  # one row a shard
     starts.select("id", "row", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "hashes", "sizes", "root", "shard").sortWithinPartitions("row").write.parquet(f"{folder}/recipes")
+    found, rows_in = spark.read.schema(RECIPE.format(kind=kind)).parquet(f"{folder}/recipes").agg(F.count("*")).first()[0], docs.count()
+    if found != rows_in:
+        raise ValueError(f"the store has {found} recipes of {rows_in} documents")
 
     def shard_root(batches):
         now, fold = None, None
