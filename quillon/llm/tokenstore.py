@@ -2,7 +2,8 @@
 
 Files under one folder: `chunks` (chunk hash, payload; each chunk once) and `recipes` (documents in
 ascending id order: the hashes and lengths of their chunks, the start of their ids in the whole stream,
-their Merkle root), both Parquet, and `manifest` (one root over the documents of each recipe shard).
+their Merkle root), both Parquet, and `manifest` (of each recipe shard the number of documents and the Merkle
+root over its recipes), which every reader holds against the recipes.
 A payload is a width byte (2 or 4) and the Zstandard-compressed ids, little-endian.
 """
 
@@ -56,6 +57,28 @@ def merkle(hashes: list[bytes]) -> bytes:
     return level[0]
 
 
+class Fold:
+    """merkle() of hashes that come one by one, with the roots of whole subtrees alone in memory."""
+
+    def __init__(self):
+        self.n, self.roots = 0, []
+
+    def add(self, h: bytes) -> None:
+        n = self.n
+        while n & 1:
+            h, n = hashlib.blake2b(self.roots.pop() + h, digest_size=16).digest(), n >> 1
+        self.roots.append(h)
+        self.n += 1
+
+    def root(self) -> bytes:
+        if not self.roots:
+            return merkle([])
+        *rest, out = self.roots
+        for h in reversed(rest):
+            out = hashlib.blake2b(h + out, digest_size=16).digest()
+        return out
+
+
 def pack(ids: np.ndarray, press) -> bytes:
     wide = len(ids) and ids.max() > 65535
     return (b"\4" if wide else b"\2") + press(ids.astype("<u4" if wide else "<u2").tobytes())
@@ -206,20 +229,66 @@ def write_store(docs: DataFrame, path: str, end_id: int = END_ID, id_col="doc_id
     if found != rows_in:
         raise ValueError(f"the store has {found} recipes of {rows_in} documents")
 
-    def shard_root(batches):
-        now, fold = None, None
+    shard_roots(spark.read.schema(RECIPE.format(kind=kind)).parquet(f"{folder}/recipes")).write.parquet(f"{folder}/manifest")
+    return folder
+
+
+MANIFEST = "shard int, n long, root binary"
+
+
+def shard_roots(recipes: DataFrame) -> DataFrame:
+    """shard, n, root: of each recipe shard the documents and the Merkle root over its recipes in row order,
+    each with its id, row, start, number of ids and root. Narrow hashes are shuffled."""
+
+    def leaf(batches):
         for b in batches:
-            for s, r in zip(b.column("shard").to_pylist(), b.column("root").to_pylist()):
-                if s != now and now is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([fold.digest()])], names=["shard", "root"])
+            cols = [b.column(x).to_pylist() for x in ("id", "row", "start", "n_tokens", "root")]
+            leaves = [hashlib.blake2b(b"%r %d %d %d " % (i, row, at, n) + r, digest_size=16).digest() for i, row, at, n, r in zip(*cols)]
+            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("row"), pa.array(leaves, pa.binary())], names=["shard", "row", "leaf"])
+
+    def fold(batches):
+        now, tree, out = None, Fold(), []
+        for b in batches:
+            for s, h in zip(b.column("shard").to_pylist(), b.column("leaf").to_pylist()):
                 if s != now:
-                    now, fold = s, hashlib.blake2b(digest_size=16)
-                fold.update(r)
-        if now is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([fold.digest()])], names=["shard", "root"])
+                    out.append((now, tree.n, tree.root()))
+                    now, tree = s, Fold()
+                tree.add(h)
+        out = [*out, (now, tree.n, tree.root())]
+        shard, n, root = zip(*(x for x in out if x[1])) if tree.n else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(n, pa.int64()), pa.array(root, pa.binary())], names=["shard", "n", "root"])
 
-    spark.read.schema(RECIPE.format(kind=kind)).parquet(f"{folder}/recipes").select("shard", "row", "root").repartition("shard").sortWithinPartitions("shard", "row").mapInArrow(shard_root, "shard int, root binary").write.parquet(f"{folder}/manifest")
-    return folder
+    leaves = recipes.select("id", "row", "start", "n_tokens", "root", "shard").mapInArrow(leaf, "shard int, row long, leaf binary")
+    return leaves.repartition("shard").sortWithinPartitions("shard", "row").mapInArrow(fold, MANIFEST)
+
+
+def verified_recipes(spark, folder: str, id_type: str) -> DataFrame:
+    """The recipes, held against the manifest at once (a missing, doubled or replaced one raises) and against
+    their own Merkle roots as they are read."""
+    recipes = spark.read.schema(RECIPE.format(kind=id_type)).parquet(f"{folder}/recipes")
+    stored = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").select("shard", F.col("n").alias("want_n"), F.col("root").alias("want"))
+    same = F.col("n").eqNullSafe(F.col("want_n")) & F.col("root").eqNullSafe(F.col("want"))
+    wrong = shard_roots(recipes).join(stored, "shard", "full").where(~same).select("shard").first()
+    if wrong is not None:
+        raise ValueError(f"recipe shard {wrong[0]} differs from the manifest")
+
+    def recipe(batches):
+        for b in batches:
+            for h, r, i in zip(b.column("hashes").to_pylist(), b.column("root").to_pylist(), b.column("id").to_pylist()):
+                if merkle(h) != r:
+                    raise ValueError(f"the recipe of {i} is damaged")
+            yield b
+
+    return recipes.mapInArrow(recipe, recipes.schema)
+
+
+def unpack_verified(key: bytes, payload: bytes | None, expand) -> np.ndarray:
+    if payload is None:
+        raise ValueError(f"chunk {key.hex()} is missing")
+    ids = unpack(payload, expand)
+    if hashlib.blake2b(ids.tobytes(), digest_size=16).digest() != key:
+        raise ValueError(f"chunk {key.hex()} is damaged")
+    return ids
 
 
 def _shift_tables() -> np.ndarray:
@@ -245,7 +314,7 @@ def read_digests(spark, folder: str, id_type: str = "bigint") -> DataFrame:
     """Reads every stored chunk and recipe back and verifies them: id, start, n_tokens, ids_crc32.
 
     Each chunk's ids are unpacked and must have the hash under which they are stored, each recipe's
-    hashes must have its Merkle root. A document's CRC-32 follows from its chunks' (appending bytes is a
+    hashes must have its Merkle root, and each shard's recipes the manifest's (checked at once). A document's CRC-32 follows from its chunks' (appending bytes is a
     linear map of a CRC), so narrow rows are shuffled instead of ids. Raises where anything differs.
     """
     tables = spark.sparkContext.broadcast(_shift_tables())
@@ -255,20 +324,11 @@ def read_digests(spark, folder: str, id_type: str = "bigint") -> DataFrame:
         for b in batches:
             keys, crc, size = b.column(0).to_pylist(), [], []
             for k, p in zip(keys, b.column(1).to_pylist()):
-                raw = unpack(p, expand).tobytes()
-                if hashlib.blake2b(raw, digest_size=16).digest() != k:
-                    raise ValueError(f"chunk {k.hex()} is damaged")
+                raw = unpack_verified(k, p, expand).tobytes()
                 crc.append(zlib.crc32(raw))
                 size.append(len(raw) // 4)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crc, pa.int64()), pa.array(size, pa.int64())], names=["key", "crc", "found"])
 
-    def recipe(batches):
-        for b in batches:
-            for h, r, i in zip(b.column("hashes").to_pylist(), b.column("root").to_pylist(), b.column("id").to_pylist()):
-                if merkle(h) != r:
-                    raise ValueError(f"the recipe of {i} is damaged")
-            yield b
-
     @F.pandas_udf("long")
     def shifted(crc: pd.Series, tail: pd.Series) -> pd.Series:
         x, n = crc.to_numpy().astype(np.uint32), tail.to_numpy(np.int64)
@@ -278,8 +338,7 @@ def read_digests(spark, folder: str, id_type: str = "bigint") -> DataFrame:
         return pd.Series(x.astype(np.int64))
 
     chunks = spark.read.schema(RAW.format(kind=id_type)).parquet(f"{folder}/chunks").where("kind = 'chunk'").select("key", "payload").mapInArrow(verify, "key binary, crc long, found long")
-    recipes = spark.read.schema(RECIPE.format(kind=id_type)).parquet(f"{folder}/recipes")
-    recipes = recipes.mapInArrow(recipe, recipes.schema)
+    recipes = verified_recipes(spark, folder, id_type)
     tails = F.expr("transform(sizes, (s, i) -> 4L * (n_tokens - aggregate(slice(sizes, 1, i + 1), 0L, (x, y) -> x + y)))")
     parts = recipes.select("id", "row", "start", "n_tokens", F.explode(F.arrays_zip(F.col("hashes").alias("key"), F.col("sizes").alias("size"), tails.alias("tail"))).alias("c")).select("id", "row", "start", "n_tokens", "c.key", "c.size", "c.tail")
     joined = parts.join(chunks, "key", "left").select("id", "row", "start", "n_tokens", "size", "found", shifted(F.coalesce("crc", F.lit(0)), "tail").alias("crc"))
@@ -289,8 +348,10 @@ def read_digests(spark, folder: str, id_type: str = "bigint") -> DataFrame:
 
 
 def reconstruct(spark, folder: str, ids: DataFrame | None = None) -> DataFrame:
-    """The ids of each document (or of those in `ids`, column id), from chunks and recipes: id, ids."""
-    recipes = spark.read.parquet(f"{folder}/recipes")
+    """The ids of each document (or of those in `ids`, column id), from chunks and recipes: id, ids.
+
+    Chunks and recipes are verified as by read_digests; raises where one differs or is missing."""
+    recipes = verified_recipes(spark, folder, spark.read.parquet(f"{folder}/recipes").schema["id"].dataType.simpleString())
     if ids is not None:
         recipes = recipes.join(ids.select("id").distinct(), "id", "left_semi")
     parts = recipes.select("row", "id", F.posexplode("hashes").alias("pos", "key"))
@@ -299,9 +360,9 @@ def reconstruct(spark, folder: str, ids: DataFrame | None = None) -> DataFrame:
     @F.pandas_udf("array<long>")
     def expand(payloads: pd.Series) -> pd.Series:
         run = zstandard.ZstdDecompressor().decompress
-        return payloads.map(lambda xs: np.concatenate([unpack(x["payload"], run) for x in xs]).astype(np.int64))
+        return payloads.map(lambda xs: np.concatenate([unpack_verified(x["key"], x["payload"], run) for x in xs]).astype(np.int64))
 
-    whole = parts.join(chunks, "key").groupBy("row", "id").agg(F.array_sort(F.collect_list(F.struct("pos", "payload"))).alias("parts"))
+    whole = parts.join(chunks, "key", "left").groupBy("row", "id").agg(F.array_sort(F.collect_list(F.struct("pos", "key", "payload"))).alias("parts"))
     return whole.select("id", expand("parts").alias("ids"))
 
 
