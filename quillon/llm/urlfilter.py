@@ -10,7 +10,7 @@ from quillon.llm.common import ascii_lower, table
 
 # The rules of the query, (host and path, verdict).
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
-# Fixed value: the host that stands for a published listing of bad URLs.
+# Fixed value: the host that stands for a published listing of bad hosts, all of whose URLs are listed.
 LISTED_HOST = "spam-farm.example.org"
 
 
@@ -26,25 +26,28 @@ def canonical(host, path):
     return F.concat(host, F.rtrim(path, F.lit("/")))
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col="page_id", url_col="url") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col="page_id", url_col="url", hosts: DataFrame | None = None) -> DataFrame:
     """Verdict of each URL: id, host, path, rule, verdict, listed.
 
-    rules: rule string (host and path such as `net/es/`), verdict. listed: canonical URLs (column url).
+    rules: rule string (host and path such as `net/es/`), verdict. listed: canonical URLs (column url);
+    hosts: hosts all of whose URLs are listed (column host; subdomains are hosts of their own).
     A rule fits its host and all subdomains if the URL's path starts with the rule's; the longest rule
     wins; otherwise listed URLs are blocked and the rest allowed. All keys by which a URL could be hit
-    (its host suffixes with the path prefixes of the lengths that rules have, and its canonical form) are
+    (its host suffixes with the path prefixes of the lengths that rules have, its canonical form and its host) are
     looked up in one blocked Bloom filter; only keys that pass it are shuffled, to an exact join that
     removes the false ones. The rule list's path lengths are a small bounded set; the filter's size is
     bounded whatever the list's.
 
     A null URL, or one without ://, has an empty host and path: no rule fits it and it is listed only if
     the empty string is. Rows with the same id are judged one by one. Empty tables give no rows; an empty
-    list blocks nothing. Null rules and null listed URLs are ignored. Other columns are not read.
+    list blocks nothing. Null rules, listed URLs and hosts are ignored. Other columns are not read.
     """
     spark = pages.sparkSession
     rules = rules.where("rule IS NOT NULL").groupBy("rule").agg(F.min("verdict").alias("verdict"))
     keys = rules.select(F.concat(F.lit("r:"), "rule").alias("key"), "rule", "verdict").unionByName(
         listed.where("url IS NOT NULL").select(F.concat(F.lit("u:"), "url").alias("key")).distinct(), allowMissingColumns=True)
+    if hosts is not None:
+        keys = keys.unionByName(hosts.where("host IS NOT NULL").select(F.concat(F.lit("h:"), "host").alias("key")).distinct(), allowMissingColumns=True)
     lengths = [r[0] for r in rules.select(F.length(F.regexp_replace("rule", r"\A[^/]*", "")).alias("n")).distinct().collect()]
     probe = might_hold(spark, Blocked.build(keys.select(F.xxhash64("key").alias("h")), "h"))
 
@@ -56,7 +59,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col="p
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.array(*[F.expr(f"substring(path, 1, {int(n)})") for n in lengths] or [F.lit("")])
     whole = F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(F.lit("r:"), s, p)))))
-    asked = rows.select("host", "path").distinct().select("host", "path", F.explode(F.concat(whole, F.array(F.concat(F.lit("u:"), canonical(F.col("host"), F.col("path")))))).alias("key"))
+    asked = rows.select("host", "path").distinct().select("host", "path", F.explode(F.concat(whole, F.array(F.concat(F.lit("u:"), canonical(F.col("host"), F.col("path"))), F.concat(F.lit("h:"), F.col("host"))))).alias("key"))
     hits = asked.where(probe(F.xxhash64("key"))).join(keys, "key")
     found = hits.groupBy("host", "path").agg(
         F.max_by("rule", F.when(F.col("rule").isNotNull(), F.length("rule"))).alias("rule"),
@@ -69,9 +72,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col="p
 def op2_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     rules = spark.createDataFrame(RULES, "rule string, verdict string")
-    host, path = url_parts(F.col("url"))
-    listed = pages.select(F.coalesce("url", F.lit("")).alias("url")).select(host.alias("host"), path.alias("path")).where(F.col("host") == LISTED_HOST)
-    return filter_urls(pages, rules, listed.select(canonical(F.col("host"), F.col("path")).alias("url")))
+    hosts = spark.createDataFrame([(LISTED_HOST,)], "host string")
+    return filter_urls(pages, rules, spark.createDataFrame([], "url string"), hosts=hosts)
 
 
 SQL = {
