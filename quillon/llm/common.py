@@ -17,22 +17,36 @@ SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+BATCH_ROWS, BATCH_BYTES = 1000, "4m"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the given folder. Texts can be long, so the session's Arrow batches are made smaller where they
+    are larger: an executor holds a few of them outside its heap."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a temporary folder on a local master, as
+    in tests; on a cluster that is an error, as executors would not see one machine's files."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it again: lineage is cut, lost executors lose nothing."""
+def stash(df: DataFrame, name: str, rows: int | None = None, each: int = 100_000) -> DataFrame:
+    """Write a table into the shared folder and read it again: lineage is cut, lost executors lose nothing.
+    rows: a bound on its rows where one is known; there is a file for every `each` of them then, not one a task."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(rows // each + 1)
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
@@ -43,9 +57,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 def unstash(*frames: DataFrame) -> None:
     """Delete stashed tables that nothing reads any more."""
     for df in frames:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.stashed_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        unstash_at(df.sparkSession, df.stashed_at)
+
+
+def unstash_at(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(col):

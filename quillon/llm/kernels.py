@@ -1,34 +1,18 @@
-"""Vectorised text kernels: segment boundaries and 64-bit hashes of many pieces of bytes at once."""
+"""Vectorised text kernels: words, segments, and 64-bit hashes of many pieces of bytes at once."""
 
 from __future__ import annotations
 
 import numpy as np
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
-#: A random 64-bit value per byte, and the odd base of the positional sum.
-BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 2**64)
 MULT = _RNG.integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Masks that keep the first 0 to 8 bytes of a little-endian word.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-BYTE_LOWERED = BYTE[LOWERED]
-
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64, for i below n at least."""
-    if not _powers or len(_powers["up"]) < n:
-        size = max(1 << 21, 1 << int(n).bit_length())
-        for key, by in (("up", BASE), ("down", INVERSE)):
-            steps = np.full(size, by, np.uint64)
-            steps[0] = 1
-            _powers[key] = np.cumprod(steps)
-    return _powers["up"], _powers["down"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,12 +24,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE) -> np.ndarray:
-    """Hash of each data[start:end]; the position of a piece has no influence."""
-    up, down = _power(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * MULT[0])
+def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each data[start:end]; the position of a piece has no influence.
+
+    A piece is read as words of 8 bytes; each is mixed with its number, and the mixed words are added up. Pieces of
+    at most 8 bytes never share a hash with one another; no sums cancel by the structure of a text."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    count = (size + 7) >> 3
+    first = np.cumsum(count) - count
+    number = np.arange(int(count.sum()), dtype=np.int64) - np.repeat(first, count)
+    left = np.minimum(np.repeat(size, count) - 8 * number, 8)
+    padded = np.r_[data, np.zeros(8, np.uint8)]
+    at_each_byte = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    block = at_each_byte[np.repeat(starts, count) + 8 * number] & FIRST[left]
+    block = mix(block + MULT[0]) + number.astype(np.uint64) * MULT[6]
+    some = count > 0
+    total = np.zeros(len(starts), np.uint64)
+    if some.any():
+        total[some] = np.add.reduceat(mix(block), first[some])
+    return mix(total ^ (size.astype(np.uint64) * MULT[5]))
 
 
 def words(data: np.ndarray, doc_starts: np.ndarray, is_gap: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +96,7 @@ def shingles(data: np.ndarray, off: np.ndarray, width: int = 5):
     whole sequence as one shingle; one without words has none.
     """
     starts, ends = words(data, off[:-1])
-    hashes = piece_hashes(data, starts, ends, BYTE_LOWERED)
+    hashes = piece_hashes(LOWERED[data], starts, ends)
     first = np.searchsorted(starts, off)
     n = len(hashes)
     if n >= width:

@@ -10,21 +10,24 @@ A payload is a width byte (2 or 4) and the Zstandard-compressed ids, little-endi
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.bpe import SegmentTable, plain_segments, remembered, shared_file, tokenizer_path
-from quillon.llm.common import shared_dir, slices, table, text_bytes
+from quillon.llm.bpe import SegmentTable, tokenizer_path
+from quillon.llm.common import lean, shared_dir, slices, table, text_bytes, unstash_at
 from quillon.llm.kernels import LOWERED, MULT, mix, segments
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
@@ -88,6 +91,8 @@ def unpack(payload: bytes, expand) -> np.ndarray:
     return np.frombuffer(expand(payload[1:]), "<u4" if payload[0] == 4 else "<u2").astype("<u4")
 
 
+# Fixed value: the pre-split pattern of tokenizers that lower-case and drop white space.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 IS_LETTER = np.zeros(256, bool)
 IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
 IS_MARK = np.zeros(256, bool)
@@ -103,12 +108,32 @@ def word_segments(data: np.ndarray, doc_starts: np.ndarray):
     at = np.flatnonzero(data[:-1] == 60)
     if (data[at + 1] == 124).any():
         return data, starts, starts, np.r_[starts[1:], len(data)]
-    starts = np.union1d(starts, np.flatnonzero(IS_LETTER[data[:-1]] & IS_MARK[data[1:]]) + 1)
+    cut = np.r_[False, IS_LETTER[data[:-1]] & IS_MARK[data[1:]]]
+    cut[starts] = True
+    starts = np.flatnonzero(cut)
     ends = np.r_[starts[1:], len(data)]
     plain = np.r_[data[1:] < 128, True]
     return np.where(plain, LOWERED[data], data), starts, starts + ((data[starts] == 32) | (data[starts] == 10)), ends
 
 
+def splits_words(spec: dict) -> bool:
+    """Does the tokenizer (by its parsed file) treat word_segments one by one? Others get whole texts."""
+    parts = lambda x, many: (x or {}).get(many, [x] if x else [])
+    normal = [(n["type"], n.get("pattern"), n.get("content")) for n in parts(spec.get("normalizer"), "normalizers")]
+    split = [p for p in parts(spec.get("pre_tokenizer"), "pretokenizers")]
+    return (
+        all(n[0] in ("NFC", "Lowercase") or n == ("Replace", {"Regex": r"\s+"}, " ") for n in normal)
+        and [p["type"] for p in split] == ["Split", "ByteLevel"]
+        and (split[0]["pattern"], split[0]["behavior"], split[0]["invert"]) == ({"Regex": WORD_PATTERN}, "Removed", True)
+        and not split[1]["add_prefix_space"]
+        and all("<|" in t["content"] for t in spec.get("added_tokens", []))
+    )
+
+
+def whole_texts(data: np.ndarray, doc_starts: np.ndarray):
+    return data, doc_starts, doc_starts, np.r_[doc_starts[1:], len(data)]
+
+
 def library_coder(spec: str) -> SegmentTable:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -119,6 +144,9 @@ def library_coder(spec: str) -> SegmentTable:
     run = getattr(t, "encode_batch_fast", t.encode_batch)
     special = next((x for x in t.get_added_tokens_decoder().items() if not x[1].normalized and not x[1].single_word), None)
 
+    if not splits_words(json.loads(spec)):
+        special = None
+
     def encode_pieces(many: list[bytes]) -> list[list[int]]:
         """A special token parts pieces, of which many make one text; the library treats what is between
         special tokens as texts of their own. Pieces with a special token's first letter go alone."""
@@ -141,9 +169,13 @@ def library_coder(spec: str) -> SegmentTable:
                 out[i] = ids[a + 1 : b]
         return out
 
-    # only a tokenizer that lower-cases and drops white space may get word segments
-    lowers = run(["Ab c"], add_special_tokens=False)[0].ids == run(["ab  \nc"], add_special_tokens=False)[0].ids
-    return SegmentTable(encode_pieces, 1_000_000, word_segments if lowers else plain_segments)
+    return SegmentTable(encode_pieces, cut=word_segments if splits_words(json.loads(spec)) else whole_texts)
+
+
+@lru_cache(maxsize=1)
+def remembered(spec: str) -> SegmentTable:
+    """A worker's coder, kept for its later tasks: the tokenizer and a table of bounded size."""
+    return library_coder(spec)
 
 
 RAW = "kind string, key binary, id {kind}, n_tokens long, hashes array<binary>, sizes array<int>, payload binary"
@@ -161,11 +193,11 @@ def write_store(docs: DataFrame, path: str, end_id: int = END_ID, id_col="doc_id
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    name, spec = shared_file(spark, path)
+    spec = spark.sparkContext.broadcast(open(path, encoding="utf-8").read())
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        coder = remembered(("library", name), lambda: library_coder(spec.value))
+        coder = remembered(spec.value)
         part = TaskContext.get().partitionId().to_bytes(8, "little")
         press, met = zstandard.ZstdCompressor(level=1).compress, set()
         for batch in batches:
@@ -184,7 +216,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = END_ID, id_col="doc_id
                     if h not in met:
                         met.add(h)
                         new.append((h, pack(full[s:e], press)))
-                if len(met) > 1_000_000:
+                if len(met) > 200_000:
                     met.clear()
                 first = np.searchsorted(begins, bounds)
                 lists = lambda x, t: pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x, t))
@@ -210,8 +242,8 @@ def write_store(docs: DataFrame, path: str, end_id: int = END_ID, id_col="doc_id
                 last = k
             yield b.filter(pa.array(stay))
 
-    rows = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, RAW.format(kind=kind))
-    rows.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(once, RAW.format(kind=kind)).write.partitionBy("kind").option("compression", "none").parquet(f"{folder}/chunks")
+    rows = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), RAW.format(kind=kind))
+    rows.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(lean(once), RAW.format(kind=kind)).write.partitionBy("kind").option("compression", "none").parquet(f"{folder}/chunks")
     raw = spark.read.schema(RAW.format(kind=kind)).parquet(f"{folder}/chunks").where("kind = 'recipe'")
 
     @F.pandas_udf("binary")
@@ -225,6 +257,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = END_ID, id_col="doc_id
     inside = F.sum("n_tokens").over(W.partitionBy("shard").orderBy("row").rowsBetween(W.unboundedPreceding, -1))
     starts = ordered.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(totals), "shard")  # one row a shard
     starts.select("id", "row", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "hashes", "sizes", "root", "shard").sortWithinPartitions("row").write.parquet(f"{folder}/recipes")
+    unstash_at(spark, f"{folder}/sorted")
     found, rows_in = spark.read.schema(RECIPE.format(kind=kind)).parquet(f"{folder}/recipes").agg(F.count("*")).first()[0], docs.count()
     if found != rows_in:
         raise ValueError(f"the store has {found} recipes of {rows_in} documents")
@@ -233,32 +266,37 @@ def write_store(docs: DataFrame, path: str, end_id: int = END_ID, id_col="doc_id
     return folder
 
 
-MANIFEST = "shard int, n long, root binary"
+MANIFEST = "shard int, n long, first long, after long, root binary"
 
 
 def shard_roots(recipes: DataFrame) -> DataFrame:
-    """shard, n, root: of each recipe shard the documents and the Merkle root over its recipes in row order,
-    each with its id, row, start, number of ids and root. Narrow hashes are shuffled."""
+    """shard, n, first, after, root: of each recipe shard the documents, the start of its first document's ids and
+    the end of its last one's, and the Merkle root over its recipes in row order, each with its id, row, start, number
+    of ids and root. Raises where a document's ids do not start at the end of those before it. Narrow hashes are
+    shuffled."""
 
     def leaf(batches):
         for b in batches:
             cols = [b.column(x).to_pylist() for x in ("id", "row", "start", "n_tokens", "root")]
             leaves = [hashlib.blake2b(b"%r %d %d %d " % (i, row, at, n) + r, digest_size=16).digest() for i, row, at, n, r in zip(*cols)]
-            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("row"), pa.array(leaves, pa.binary())], names=["shard", "row", "leaf"])
+            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("row"), b.column("start"), b.column("n_tokens"), pa.array(leaves, pa.binary())], names=["shard", "row", "start", "n_tokens", "leaf"])
 
     def fold(batches):
-        now, tree, out = None, Fold(), []
+        now, tree, first, at, out = None, Fold(), 0, 0, []
         for b in batches:
-            for s, h in zip(b.column("shard").to_pylist(), b.column("leaf").to_pylist()):
+            for s, start, n, h in zip(*(b.column(x).to_pylist() for x in ("shard", "start", "n_tokens", "leaf"))):
                 if s != now:
-                    out.append((now, tree.n, tree.root()))
-                    now, tree = s, Fold()
+                    out.append((now, tree.n, first, at, tree.root()))
+                    now, tree, first, at = s, Fold(), start, start
+                if start != at:
+                    raise ValueError(f"recipe shard {s} differs from the manifest: a start is {start}, not {at}")
                 tree.add(h)
-        out = [*out, (now, tree.n, tree.root())]
-        shard, n, root = zip(*(x for x in out if x[1])) if tree.n else ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(n, pa.int64()), pa.array(root, pa.binary())], names=["shard", "n", "root"])
+                at += n
+        out = [x for x in [*out, (now, tree.n, first, at, tree.root())] if x[1]]
+        cols = list(zip(*out)) if out else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["shard", "n", "first", "after", "root"])
 
-    leaves = recipes.select("id", "row", "start", "n_tokens", "root", "shard").mapInArrow(leaf, "shard int, row long, leaf binary")
+    leaves = recipes.select("id", "row", "start", "n_tokens", "root", "shard").mapInArrow(leaf, "shard int, row long, start long, n_tokens long, leaf binary")
     return leaves.repartition("shard").sortWithinPartitions("shard", "row").mapInArrow(fold, MANIFEST)
 
 
@@ -266,9 +304,17 @@ def verified_recipes(spark, folder: str, id_type: str) -> DataFrame:
     """The recipes, held against the manifest at once (a missing, doubled or replaced one raises) and against
     their own Merkle roots as they are read."""
     recipes = spark.read.schema(RECIPE.format(kind=id_type)).parquet(f"{folder}/recipes")
+    at = 0
+    for r in spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").select("shard", "first", "after").orderBy("shard").collect():  # one row a shard
+        if r["first"] != at:
+            raise ValueError(f"recipe shard {r['shard']} differs from the manifest: it starts at {r['first']}, not {at}")
+        at = r["after"]
     stored = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").select("shard", F.col("n").alias("want_n"), F.col("root").alias("want"))
     same = F.col("n").eqNullSafe(F.col("want_n")) & F.col("root").eqNullSafe(F.col("want"))
-    wrong = shard_roots(recipes).join(stored, "shard", "full").where(~same).select("shard").first()
+    try:
+        wrong = shard_roots(recipes).join(stored, "shard", "full").where(~same).select("shard").first()
+    except PythonException as x:
+        raise ValueError(f"the recipes differ from the manifest: {x}") from x
     if wrong is not None:
         raise ValueError(f"recipe shard {wrong[0]} differs from the manifest")
 

@@ -12,7 +12,7 @@ import regex
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillon.llm import ngramjoin, tokenstore
+from quillon.llm import bpe, ngramjoin, tokenstore
 from tests.llm.test_llm import brute_components
 
 SF, SPACE = "/root/testdata/sf0.001", " \t\n\x0b\x0c\r"
@@ -66,8 +66,12 @@ def test_stages_return_the_columns_of_documents(spark, name):
         assert stage(spark, docs, SF).columns == docs.columns
 
 
-def test_ngram_join_across_components(spark):
-    """Chains of near copies that share a passage with other chains: the second round must find every link."""
+@pytest.mark.parametrize("limits", [{}, {"TILE": 3, "PARTNERS": 1, "FIRST_SHARE": 64, "FIRST_SHORT": 0}])
+def test_ngram_join_across_components(spark, monkeypatch, limits):
+    """Chains of near copies that share a passage with other chains: the later rounds must find every link, in small
+    tiles and with few partners a round too."""
+    for name, value in limits.items():
+        monkeypatch.setattr(ngramjoin, name, value)
     rng, rows, i = np.random.default_rng(11), [], 0
     passage = [f"p{k}" for k in range(30)]
     for _ in range(12):
@@ -84,6 +88,7 @@ def test_ngram_join_across_components(spark):
 def test_word_segments_encode_as_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     coder = tokenstore.library_coder(open(path, encoding="utf-8").read())
+    coder.limit = 500
     assert coder.cut is tokenstore.word_segments
     t, rng = Tokenizer.from_file(path), random.Random(1)
     bits = ["A", "h", "H", "T", "̱", "̌", "̇", "I", " ", "  ", "\n", "\t", "'s", "'ll", "'", "’", ".", "!", "<", ">", "|", "<|endoftext|>", "<|ENDOFTEXT|>", "é", "É", "日", "1", "22", "　", "̸", "İ", "don't", "ﬁ", "Σ", "the", "</w>", "\x00", "\x85"]
@@ -96,6 +101,47 @@ def test_word_segments_encode_as_the_library():
             assert got.tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
 
 
-def test_a_tokenizer_that_keeps_case_gets_plain_segments():
+def test_other_tokenizers_get_whole_texts():
     spec = json.loads(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
-    assert tokenstore.library_coder(json.dumps(spec)).cut is tokenstore.plain_segments
+    assert not tokenstore.splits_words(spec)
+    word = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    assert tokenstore.splits_words(word)
+    assert not tokenstore.splits_words(word | {"normalizer": {"type": "Sequence", "normalizers": [{"type": "StripAccents"}]}})
+    t, text = Tokenizer.from_str(json.dumps(spec)), "Two  words\n"
+    assert tokenstore.library_coder(json.dumps(spec)).encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0].tolist() == t.encode(text).ids
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_long_and_alike_words_encode_as_the_library(name, monkeypatch):
+    """Words that a hash of positional sums cannot tell apart, words without a break, and a hash that long segments share."""
+    path = public_tokenizers.path(name)
+    spec, t = open(path, encoding="utf-8").read(), Tokenizer.from_file(path)
+    other = str.maketrans("ab", "ba")
+    words = [w for n in (1024, 2048, 4096) for w in (thue_morse(n), thue_morse(n).translate(other))] + ["-" * 5000, "xyzw" * 50_000, "a" * 10_000]
+
+    def ids(coder, texts):
+        raw = [x.encode() for x in texts]
+        flat, n = coder.encode(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])].astype(np.int64))
+        return [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])]
+
+    make = (lambda: bpe.SegmentTable(bpe.Coder(bpe.Automaton(spec)).pieces)) if name.startswith("byte") else lambda: tokenstore.library_coder(spec)
+    coder = make()
+    for w in words:
+        assert ids(coder, [w]) == [t.encode(w, add_special_tokens=False).ids]
+    real = bpe.piece_hashes
+    monkeypatch.setattr(bpe, "piece_hashes", lambda data, starts, ends: np.where(ends - starts > 8, np.uint64(7), real(data, starts, ends)))
+    some = ["one two-three four", "five hundredandmore words", "one hundredandless", "", "words hundredandless hundredandmost"]
+    assert ids(make(), some) == [t.encode(x, add_special_tokens=False).ids for x in some]
+
+
+def test_the_automaton_has_the_transitions_of_the_merges():
+    m = bpe.Merges(json.loads(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()))
+    a, rng, labels = bpe.Automaton(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()), random.Random(2), sorted(m.alive.values())
+    for x, y in [*m.pair][:20_000] + [(rng.choice(labels), rng.choice(labels)) for _ in range(50_000)]:
+        s, c = a.state[x], a.column[y]
+        lost = any(a.low[k] <= c < a.high[k] for k in range(a.begin[s], a.begin[s + 1]))
+        assert lost != m.follows(x, y, 1 << 30)
