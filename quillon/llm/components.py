@@ -15,7 +15,8 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     narrow rows. Null ends and loops are ignored. Raises if the steps do not settle.
     """
     u, v = F.col("u"), F.col("v")
-    edges = stash(links.where("u <> v").select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "stars")
+    known = links.count()
+    edges = stash(links.where("u <> v").select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "stars", known)
     before = None
     for _ in range(most):
         both = edges.unionByName(edges.select(v.alias("u"), u.alias("v")))
@@ -24,10 +25,12 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         down = large.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(v.alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        last, edges = edges, stash(small.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "stars")
+        last, edges = edges, stash(small.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "stars", 2 * known)
         unstash(last)
         now = tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
         if now == before:
-            return edges.select(u.alias("node"), v.alias("component")).unionByName(edges.select(v.alias("node"), v.alias("component")).distinct())
-        before = now
+            out = edges.select(u.alias("node"), v.alias("component")).unionByName(edges.select(v.alias("node"), v.alias("component")).distinct())
+            out.kept = edges  # the table behind it, to be deleted by whoever reads the result last
+            return out
+        before, known = now, now[0]
     raise RuntimeError("components did not settle")

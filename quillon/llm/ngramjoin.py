@@ -6,21 +6,24 @@
    differently seeded hashes. Linked sets share a shingle in their prefixes under each order.
 3. Prefix shingles that only one document has cannot be shared: once/twice Bloom filters of each order,
    built over the prefixes of all documents, drop them before anything is shuffled.
-4. Postings of the first order are narrow rows (shingle, class number, length, position); those of
-   shingles that one class alone has are dropped exactly, and only then do the rest get their bitmaps;
-   nothing of a class without postings is shuffled any more.
-   Groups of a shingle are compared in numpy, large ones as pairs of tiles. A pair must meet the length and
-   position bounds, share prefix bits under the other orders, and keep its difference bound on parity
-   bitmaps of the whole sets. A first round keeps two candidates for each document, so groups of copies
-   give few rows.
-5. Candidates are verified on the whole sets; links make components. A second round compares all pairs
-   again and keeps each candidate across components, so no link between components is lost.
+4. Postings of the first order are narrow rows (shingle, class number, length, position). Those of shingles
+   that one class alone has are dropped exactly, and those without a partner that meets the length and
+   position bounds.
+5. First round: a sample of the shingles (all those of short documents), in tiles of at most TILE members,
+   gives each member at most two candidates a shingle. A candidate must meet the bounds, share prefix bits under
+   the other orders and keep its difference bound on parity bitmaps of the whole sets, whose size follows the
+   sets'. Candidates are verified on the whole sets; links make components.
+6. Further rounds take the shingles that several components have. Members of one component are never
+   compared again, and a tile that one component fills is not paired with itself. A member has at most so many
+   candidates of other components a shingle; shingles where one had more are looked at again with four times as
+   many allowed, until none has. So no link between components is lost, and a group of copies gives rows in proportion.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bloom import Blocked, OnceTwice, might_hold
-from quillon.llm.common import lean, slices, stash, table, text_bytes, unstash
+from quillon.llm.common import lean, release, slices, stash, table, text_bytes, unstash
 from quillon.llm.components import components
 from quillon.llm.kernels import mix, ragged, shingles
 
-WIDTH, ORDERS, TILE = 5, 3, 256
+WIDTH, ORDERS, TILE = 5, 3, 1024
+FIRST_SHARE, FIRST_SHORT = 8, 64  # the first round takes one shingle of so many; all of sets so small
+PARTNERS = 32  # candidates of other components that a member may have a shingle in the second round
 SKETCH, FILTER_BITS, FILTER_K = 1 << 20, 27, 2
 HOT = 8  # a shingle is frequent from so many times the sketch's mean on
 SEEDS = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-PARITY, FINE = 256, 4096
+PARITY, FINE = 256, 1 << 16  # least bits of a coarse parity bitmap, most of a fine one
 
 
 def sets_of(batches):
@@ -65,28 +70,47 @@ def _lowest(key: np.ndarray, size: int) -> np.ndarray:
     return at[np.argsort(key[at])]
 
 
-def _bitmap(tokens: np.ndarray, bits: int, parity: bool) -> bytes:
+def _bitmap(tokens: np.ndarray, bits: int) -> bytes:
     at = ((tokens * SEEDS[0]) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
-    count = np.bincount(at, minlength=bits)
-    return np.packbits(count & 1 if parity else count > 0).tobytes()
+    return np.packbits(np.bincount(at, minlength=bits) > 0).tobytes()
 
 
-def _fine(s: np.ndarray) -> bytes:
-    """Parity bitmap of about four to eight bits a shingle, FINE at most; halves of one folded by XOR are the next."""
-    bits = min(FINE, max(PARITY, 1 << (4 * len(s) - 1).bit_length()))
+def _parity(s: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """(coarse, fine) parity bitmaps of a set: from 0.6 and 4 bits a shingle on. One folded by XOR is a smaller one."""
+    n = len(s)
+    coarse = max(PARITY, 1 << int(0.6 * n).bit_length())
+    bits = max(coarse, min(FINE, 1 << (4 * n - 1).bit_length()))
     at = ((s * SEEDS[0]) >> np.uint64(32)).astype(np.int64) & (bits - 1)
-    return np.packbits(np.bincount(at, minlength=bits) & 1).tobytes()
+    fine = np.packbits(np.bincount(at, minlength=bits) & 1)
+    return np.bitwise_xor.reduce(fine.reshape(-1, coarse // 8)), fine.tobytes()
+
+
+def _differ(data: np.ndarray, off: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the bitmaps of the rows x and y differ, the longer one folded to the other's size. data: all
+    bitmaps as 8-byte words, off: their bounds."""
+    size = np.diff(off)
+    width, out = np.minimum(size[x], size[y]), np.zeros(len(x), np.int64)
+    for w in np.unique(width).tolist():
+        some = np.flatnonzero(width == w)
+        for k in range(0, len(some), max(1, (1 << 20) // w)):
+            at = some[k : k + max(1, (1 << 20) // w)]
+            out[at] = np.bitwise_count(_folded(data, off, size, x[at], w) ^ _folded(data, off, size, y[at], w)).sum(1, dtype=np.int64)
+    return out
 
 
-def _folded(data: np.ndarray, off: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """The bitmaps data[off[i]:off[i+1]] of the rows `at`, folded to `width` bytes."""
-    out, size = np.zeros((len(at), width), np.uint8), off[at + 1] - off[at]
-    for k in range(0, int(size.max()), width):
-        some = np.flatnonzero(size > k)
+def _folded(data, off, size, at, width):
+    out = data[off[at][:, None] + np.arange(width)]
+    for k in range(width, int(size[at].max()), width):
+        some = np.flatnonzero(size[at] > k)
         out[some] ^= data[(off[at[some]] + k)[:, None] + np.arange(width)]
     return out
 
 
+def _words8(column) -> tuple[np.ndarray, np.ndarray]:
+    data, off = text_bytes(column)
+    return np.frombuffer(data[off[0] : off[-1]].tobytes(), np.uint64), (off - off[0]) >> 3
+
+
 def _scan(docs, id_col, text_col):
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
@@ -152,6 +176,7 @@ def _prefixes(rows: DataFrame, classes: DataFrame, sketch: np.ndarray) -> DataFr
     partials = stash(rows.mapInArrow(lean(build), "o int, part int, once binary, twice binary"), "prefix-filters")
     twice = spark.sparkContext.broadcast([filters.merge(partials.where(F.col("o") == k).drop("o")) for k in range(ORDERS)])
     unstash(partials)
+    release()
 
     def run(batches):
         for _, sets in sets_of(batches):
@@ -163,8 +188,9 @@ def _prefixes(rows: DataFrame, classes: DataFrame, sketch: np.ndarray) -> DataFr
                 may = [filters.hits(twice.value[k], found[k]) for k in range(ORDERS)]
                 if all(m.any() for m in may):
                     at = np.flatnonzero(may[0])
-                    bits = b"".join(_bitmap(found[k][may[k]], 128, False) for k in range(1, ORDERS)) + _bitmap(s, PARITY, True)
-                    out.append((signature(s), len(s), found[0][at].view(np.int64), at.astype(np.int32), bits, _fine(s)))
+                    coarse, fine = _parity(s)
+                    bits = b"".join(_bitmap(found[k][may[k]], 128) for k in range(1, ORDERS)) + coarse.tobytes()
+                    out.append((signature(s), len(s), found[0][at].view(np.int64), at.astype(np.int32), bits, fine))
             if out:
                 sig, n, tokens, at, bits, fine = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array(bits, pa.binary()), pa.array(fine, pa.binary())], names=["sig", "n", "tokens", "at", "bits", "fine"])
@@ -177,11 +203,52 @@ def _prefixes(rows: DataFrame, classes: DataFrame, sketch: np.ndarray) -> DataFr
     return out
 
 
+def _bounded(n, pos, x, y) -> np.ndarray:
+    """May the sets x and y, whose shared shingle stands at these positions, be similar by length and position?"""
+    nx, ny = n[x], n[y]
+    return (5 * np.minimum(nx, ny) >= 4 * np.maximum(nx, ny)) & (9 * np.minimum(nx - pos[x], ny - pos[y]) >= 4 * (nx + ny))
+
+
+def _pairs(first: np.ndarray, size: np.ndarray, most: int = 100_000):
+    """All pairs (x < y) of rows within units, in parts; first, size: where each unit's rows are."""
+    later = np.repeat(first + size, size) - np.arange(int(size.sum())) - 1
+    for a, b in _runs(later, most):
+        left = np.arange(a, b)
+        yield np.repeat(left, later[a:b]), ragged(left + 1, later[a:b])
+
+
+def _by_unit(batches, keys: list[str], emit):
+    """emit(table, starts of its units) of batches sorted by `keys`; no unit is parted."""
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        key = np.stack([t[c].to_numpy() for c in keys], 1)
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
+        rest = t.slice(int(starts[-1]))
+        if len(starts) > 1:
+            yield from emit(t.slice(0, int(starts[-1])), starts[:-1])
+    if rest is not None and rest.num_rows:
+        yield from emit(rest, np.array([0]))
+
+
 def _postings(prefixes: DataFrame) -> DataFrame:
-    """The postings of shingles that several classes have: token, tiles (of TILE members each), c, n, pos."""
+    """The postings (token, c, n, pos) of shingles that several classes have, without those that have no partner by
+    length and position; in groups of more than TILE members all stay."""
     p = prefixes.select("c", "n", F.explode(F.arrays_zip("tokens", "at")).alias("p")).select("c", "n", F.col("p.tokens").alias("token"), F.col("p.at").alias("pos"))
-    groups = p.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    return stash(p.join(groups, "token").select("token", "tiles", "c", "n", "pos"), "postings")
+    groups = p.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
+    p = p.join(groups, "token").select("token", "c", "n", "pos", "m")
+    schema = "token long, c long, n int, pos int"
+
+    def emit(t, starts):
+        n, pos = (t[x].to_numpy().astype(np.int64) for x in ("n", "pos"))
+        some = np.zeros(t.num_rows, bool)
+        for x, y in _pairs(starts, np.diff(np.r_[starts, t.num_rows])):
+            ok = _bounded(n, pos, x, y)
+            some[x[ok]] = some[y[ok]] = True
+        yield from t.select(["token", "c", "n", "pos"]).filter(pa.array(some)).combine_chunks().to_batches()
+
+    usual = p.where(F.col("m") <= TILE).drop("m").repartition("token").sortWithinPartitions("token").mapInArrow(lean(lambda batches: _by_unit(batches, ["token"], emit)), schema)
+    return stash(usual.unionByName(p.where(F.col("m") > TILE).drop("m")), "postings")
 
 
 def _live(prefixes: DataFrame, postings: DataFrame) -> DataFrame:
@@ -191,92 +258,101 @@ def _live(prefixes: DataFrame, postings: DataFrame) -> DataFrame:
     return stash(prefixes.drop("tokens", "at").where(probe(F.xxhash64("c"))), "live")
 
 
-def _units(postings: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Postings with their bitmaps, dealt to pairs of tiles: a group of at most TILE members is one tile."""
-    p = postings.join(prefixes.select("c", "bits"), "c").withColumn("tile", F.expr("CAST(pmod(xxhash64(c), tiles) AS INT)"))
-    p = p.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-    return p.withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")})
-
-
-def _candidates(units: DataFrame, every: bool) -> DataFrame:
-    """Pairs (a < b) that pass all filters; `every`: all across components, else two for each member."""
-    cols = ["token", "lo", "hi", "tile", "c", "n", "pos", "bits"] + (["comp"] if every else [])
-
-    def compare(n, pos, bits, tile, cross, comp, first, size):
-        """Candidates of several units; first, size: where each unit's rows are."""
-        later = np.repeat(first + size, size) - np.arange(len(n)) - 1
-        for a0, a1 in _runs(later, 100_000):
-            left = np.arange(a0, a1)
-            x, y = np.repeat(left, later[a0:a1]), ragged(left + 1, later[a0:a1])
-            keep = ~(cross[x] & (tile[x] == tile[y])) if cross.any() else np.ones(len(x), bool)
-            nx, ny = n[x], n[y]
-            keep &= (5 * np.minimum(nx, ny) >= 4 * np.maximum(nx, ny)) & (9 * np.minimum(nx - pos[x], ny - pos[y]) >= 4 * (nx + ny))
-            if comp is not None:
-                keep &= comp[x] != comp[y]
-            x, y = x[keep], y[keep]
-            for k in range(ORDERS - 1):
-                ok = (bits[x, 2 * k : 2 * k + 2] & bits[y, 2 * k : 2 * k + 2]).any(1)
-                x, y = x[ok], y[ok]
-            differ = np.bitwise_count(bits[x, 2 * (ORDERS - 1) :] ^ bits[y, 2 * (ORDERS - 1) :]).sum(1, dtype=np.int64)
-            ok = 9 * differ <= n[x] + n[y]
-            yield x[ok], y[ok]
-
-    def run(batches):
-        rest = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            key = np.stack([t[c].to_numpy().astype(np.int64) for c in ("token", "lo", "hi")], 1)
-            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
-            rest = t.slice(int(starts[-1]))
-            if len(starts) > 1:
-                yield from emit(t.slice(0, int(starts[-1])), starts[:-1], key)
-        if rest is not None and rest.num_rows > 1:
-            yield from emit(rest, np.array([0]), np.stack([rest[c].to_numpy().astype(np.int64) for c in ("token", "lo", "hi")], 1))
-
-    def emit(t, starts, key):
+def _first_units(postings: DataFrame) -> DataFrame:
+    """The first round's units: a sample of the shingles, each member in one tile only."""
+    p = postings.where((F.col("n") < FIRST_SHORT) | (F.expr(f"pmod(xxhash64(token), {FIRST_SHARE})") == 0))
+    tiles = p.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token", F.ceil(F.col("m") / TILE).alias("tiles"))
+    lo = F.expr("pmod(xxhash64(c, token), tiles)")
+    return p.join(tiles, "token").select("token", lo.alias("lo"), lo.alias("hi"), "c", "n", "pos", F.col("c").alias("comp"))
+
+
+def _later_units(postings: DataFrame, comps: DataFrame) -> DataFrame:
+    """Units of the shingles that several components have. Small groups are one unit. In others, a component of
+    more than TILE members has tiles of its own, the rest share tiles; each pair of tiles is a unit, but for those of
+    one component. comps: c, comp of the classes that are linked; others are components of their own."""
+    p = postings.join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    parts = p.groupBy("token", "comp").agg(F.count("*").alias("k"))
+    groups = parts.groupBy("token").agg(F.sum("k").alias("m"), F.count("*").alias("parts"), F.sum(F.when(F.col("k") <= TILE, F.col("k")).otherwise(0)).alias("rest")).where("parts > 1")
+    usual = p.join(groups.where(F.col("m") <= TILE).select("token"), "token").select("token", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), "c", "n", "pos", "comp")
+    large = parts.join(groups.where(F.col("m") > TILE).select("token", "rest"), "token")
+    count = F.ceil(F.when(F.col("k") > TILE, F.col("k")).otherwise(F.col("rest")) / TILE)
+    large = large.select("token", "comp", F.when(F.col("k") > TILE, F.col("comp")).alias("own"), count.alias("tiles"))
+    # a tile is a number that follows from its owner and its place; equal numbers by chance would only join two tiles
+    every = large.select("token", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("i")).distinct()
+    every = every.groupBy("token").agg(F.collect_list(F.struct("own", F.xxhash64(F.coalesce("own", F.lit(-1)), "i").alias("tile"))).alias("all"))  # m / TILE entries
+    mine = F.xxhash64(F.coalesce("own", F.lit(-1)), F.expr("pmod(xxhash64(c), tiles)")).alias("mine")
+    dealt = p.join(large, ["token", "comp"]).select("token", "c", "n", "pos", "comp", "own", mine).join(every, "token")
+    dealt = dealt.withColumn("other", F.explode(F.expr("transform(filter(all, t -> own IS NULL OR NOT t.own <=> own), t -> t.tile)")))
+    return usual.unionByName(dealt.select("token", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "c", "n", "pos", "comp"))
+
+
+def _candidates(units: DataFrame, live: DataFrame, partners: int | None = None) -> DataFrame:
+    """Pairs a < b that pass all filters. Without `partners` each member gets at most two; else at most that many
+    later and as many earlier members of other components, and a shingle where there are more is a row (-1, token)."""
+
+    def emit(t, starts):
         size = np.diff(np.r_[starts, t.num_rows])
-        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
-        c, n, pos, tile = (t[x].to_numpy().astype(np.int64) for x in ("c", "n", "pos", "tile"))
-        comp = np.array(t["comp"].to_pylist(), object) if every else None
-        if comp is not None:
-            comp = np.unique(comp, return_inverse=True)[1]
-        cross = key[: t.num_rows, 1] != key[: t.num_rows, 2]
+        raw, off = text_bytes(t["bits"])
+        fixed = 16 * (ORDERS - 1)
+        heads = raw[off[:-1, None] + np.arange(fixed)].view(np.uint64).reshape(t.num_rows, -1)
+        rest = ragged(off[:-1] + fixed, np.diff(off) - fixed)
+        words, bounds = raw[rest].view(np.uint64), np.r_[0, np.cumsum(np.diff(off) - fixed)] >> 3
+        c, n, pos, comp = (t[x].to_numpy().astype(np.int64) for x in ("c", "n", "pos", "comp"))
+        token = t["token"].to_numpy()
         seen = [np.zeros((0, 2), np.int64)]
-        for x, y in compare(n, pos, bits, tile, cross, comp, starts, size):
-            if not every and len(x):
+        for x, y in _pairs(starts, size):
+            ok = _bounded(n, pos, x, y) & (comp[x] != comp[y])
+            x, y = x[ok], y[ok]
+            for k in range(ORDERS - 1):
+                ok = (heads[x, 2 * k : 2 * k + 2] & heads[y, 2 * k : 2 * k + 2]).any(1)
+                x, y = x[ok], y[ok]
+            ok = 9 * _differ(words, bounds, x, y) <= n[x] + n[y]
+            x, y = x[ok], y[ok]
+            if len(x):
                 # x is in order; rows of a unit stand in order of c, so units agree on whom a member meets first
                 by_y = np.lexsort((x, y))
-                head = by_y[np.r_[True, y[by_y][1:] != y[by_y][:-1]]]
-                tail = np.flatnonzero(np.r_[x[1:] != x[:-1], True])
-                pick = np.unique(np.r_[head, tail])
+                ahead, back = _place(x), np.zeros(len(x), np.int64)
+                back[by_y] = _place(y[by_y])
+                if partners is None:
+                    last = np.r_[x[1:] != x[:-1], True]
+                    pick = last | (back == 0)
+                else:
+                    pick = (ahead < partners) | (back < partners)
+                    full = np.unique(token[x[~pick]])
+                    seen.append(np.stack([np.full(len(full), -1), full], 1))
                 x, y = x[pick], y[pick]
             pairs = np.sort(np.stack([c[x], c[y]], 1), 1)
-            seen.append(np.unique(pairs[pairs[:, 0] < pairs[:, 1]], axis=0))
+            seen.append(np.unique(pairs, axis=0))
         pairs = np.unique(np.concatenate(seen), axis=0)
         if len(pairs):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    dealt = units.select(*cols).repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "c")
-    return stash(dealt.mapInArrow(lean(run), "a long, b long").distinct(), "candidates")
+    keys = ["token", "lo", "hi"]
+    dealt = units.join(live.select("c", "bits"), "c").select(*keys, "c", "n", "pos", "comp", "bits").repartition(*keys).sortWithinPartitions(*keys, "c")
+    return stash(dealt.mapInArrow(lean(lambda batches: _by_unit(batches, keys, emit)), "a long, b long").distinct(), "candidates")
+
 
+def _place(x: np.ndarray) -> np.ndarray:
+    """The place of each entry among its equals, which stand together."""
+    if not len(x):
+        return np.zeros(0, np.int64)
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    return np.arange(len(x)) - np.repeat(first, np.diff(np.r_[first, len(x)]))
 
-def _finer(candidates: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """The candidates whose difference bound also holds on longer parity bitmaps, for long documents."""
+
+def _finer(candidates: DataFrame, live: DataFrame) -> DataFrame:
+    """The candidates whose difference bound also holds on the fine parity bitmaps."""
 
     def check(batches):
         for b in batches:
-            (xs, x_at), (ys, y_at) = text_bytes(b.column("x")), text_bytes(b.column("y"))
-            n, width = b.column("n").to_numpy() + b.column("m").to_numpy(), np.minimum(np.diff(x_at), np.diff(y_at))
-            ok = np.zeros(b.num_rows, bool)
-            for w in np.unique(width).tolist():
-                at = np.flatnonzero(width == w)
-                differ = np.bitwise_count(_folded(xs, x_at, at, w) ^ _folded(ys, y_at, at, w)).sum(1, dtype=np.int64)
-                ok[at] = 9 * differ <= n[at]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
+            (xs, x_at), (ys, y_at) = _words8(b.column("x")), _words8(b.column("y"))
+            n, m = b.column("n").to_numpy().astype(np.int64), b.num_rows
+            differ = _differ(np.r_[xs, ys], np.r_[x_at, y_at[1:] + x_at[-1]], np.arange(m), np.arange(m) + m) if m else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(9 * differ <= n))
 
-    pairs = candidates.join(prefixes.select(F.col("c").alias("a"), "n", F.col("fine").alias("x")), "a")
-    pairs = pairs.join(prefixes.select(F.col("c").alias("b"), F.col("n").alias("m"), F.col("fine").alias("y")), "b")
-    return pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(lean(check), "a long, b long")
+    pairs = candidates.join(live.select(F.col("c").alias("a"), F.col("n").alias("k"), F.col("fine").alias("x")), "a")
+    pairs = pairs.join(live.select(F.col("c").alias("b"), F.col("n").alias("m"), F.col("fine").alias("y")), "b")
+    return pairs.select("a", "b", (F.col("k") + F.col("m")).alias("n"), "x", "y").mapInArrow(lean(check), "a long, b long")
 
 
 def _runs(counts: np.ndarray, most: int):
@@ -287,10 +363,10 @@ def _runs(counts: np.ndarray, most: int):
         a = b
 
 
-def _links(candidates: DataFrame, prefixes: DataFrame, rows: DataFrame) -> DataFrame:
-    """The candidates whose whole sets are similar, as (u, v) of class representatives."""
+def _links(candidates: DataFrame, prefixes: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """The candidates (n of them) whose whole sets are similar, as (u, v) of class representatives."""
     some = candidates.select(F.col("a").alias("c")).unionByName(candidates.select(F.col("b").alias("c"))).distinct()
-    reps = stash(prefixes.select("c", "sig", "rep").join(some, "c").where("rep IS NOT NULL").select("c", "sig", F.col("rep").alias("id")), "verified")
+    reps = stash(prefixes.select("c", "sig", "rep").join(some, "c").where("rep IS NOT NULL").select("c", "sig", F.col("rep").alias("id")), "verified", 2 * n)
 
     maybe = rows.sparkSession.sparkContext.broadcast(Blocked.build(reps.select(F.xxhash64("id").alias("h")), "h"))
 
@@ -300,7 +376,7 @@ def _links(candidates: DataFrame, prefixes: DataFrame, rows: DataFrame) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "whole"])
 
     found = rows.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(lean(run), "sig binary, whole binary").dropDuplicates(["sig"])
-    whole = stash(found.join(reps.select("c", "sig"), "sig").select("c", "whole"), "whole-sets")
+    whole = stash(found.join(reps.select("c", "sig"), "sig").select("c", "whole"), "whole-sets", 2 * n, 2000)
     maybe.unpersist()
 
     def check(batches):
@@ -315,7 +391,7 @@ def _links(candidates: DataFrame, prefixes: DataFrame, rows: DataFrame) -> DataF
     pairs = candidates.join(whole.select(F.col("c").alias("a"), F.col("whole").alias("x")), "a").join(whole.select(F.col("c").alias("b"), F.col("whole").alias("y")), "b")
     good = pairs.select("a", "b", "x", "y").mapInArrow(lean(check), "a long, b long")
     good = good.join(reps.select(F.col("c").alias("a"), F.col("id").alias("u")), "a").join(reps.select(F.col("c").alias("b"), F.col("id").alias("v")), "b")
-    out = stash(good.select("u", "v"), "links")
+    out = stash(good.select("u", "v"), "links", n)
     unstash(whole, reps)
     return out
 
@@ -338,20 +414,37 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text") -> Dat
     postings = _postings(prefixes)
     live = _live(prefixes, postings)
     unstash(prefixes)
-    first = _candidates(_units(postings, live), every=False)
-    fine = stash(_finer(first, live), "fine")
+    found = _candidates(_first_units(postings), live)
+    fine = stash(_finer(found, live), "fine", found.count(), 20_000)
     tested = fine.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(fine.groupBy("a").agg(F.max("b").alias("b")))
-    tested = stash(tested.distinct(), "tested")  # two pairs a document at most
-    links = _links(tested, live, rows)
-    near = components(links)
-    named = live.select("c", "rep").join(near, F.col("rep") == F.col("node"), "left").select("c", F.coalesce("component", "rep").cast("string").alias("comp"))
-    second = _candidates(_units(postings.join(named.where("comp IS NOT NULL"), "c"), live), every=True)
-    rest = stash(_finer(second.join(tested, ["a", "b"], "left_anti"), live), "rest")
-    unstash(first, fine, second, postings, tested)
-    if rest.limit(1).count():
-        near = components(links.unionByName(_links(rest, live, rows)))
+    tested = [stash(tested.distinct(), "tested", 2 * fine.count())]  # two pairs a document at most
+    unstash(found, fine)
+    links = [_links(tested[0], live, rows, tested[0].count())]
+    near = components(links[0])
+    partners, left = PARTNERS, True
+    while left:
+        comps = near.join(live.select(F.col("rep").alias("component"), F.col("c").alias("comp")), "component").select("node", "comp")
+        comps = comps.join(live.select(F.col("rep").alias("node"), "c"), "node").select("c", "comp")
+        found = _candidates(_later_units(postings, comps), live, partners)
+        rest = found.where("a >= 0")
+        for pairs in tested:
+            rest = rest.join(pairs, ["a", "b"], "left_anti")
+        tested.append(stash(_finer(rest, live), "tested", found.count(), 20_000))
+        full = found.where("a < 0").select(F.col("b").alias("token"))
+        left = full.limit(1).count()
+        if left:  # only shingles where members had more partners are looked at again
+            postings, old = stash(postings.join(full, "token", "left_semi"), "postings"), postings
+            unstash(old)
+        unstash(found)
+        fresh = tested[-1].count()
+        if fresh:
+            links.append(_links(tested[-1], live, rows, fresh))
+            old, near = near, components(reduce(DataFrame.unionByName, links))
+            unstash(old.kept)
+        partners *= 4
+    unstash(postings, *tested, *links)
     top = classes.join(near, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
-    unstash(rest, live)
+    unstash(live)
     full = docs_.where("n > 0").join(top, "sig").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
     none = docs_.where("n = 0").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
     return full.unionByName(none)
