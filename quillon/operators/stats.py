@@ -34,6 +34,14 @@ def ks_p_value(d: float, n: int, m: int) -> float:
     return 1.0 if x < 0.2 else min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))
 
 
+def ks_p(d: Column, n: Column, m: Column) -> Column:
+    """ks_p_value of columns: 100 terms of the Kolmogorov series."""
+    x = d * F.sqrt(n.cast("double") * m / (n + m))
+    terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * x * x))
+    total = 2 * F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
+    return F.when(x < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)))
+
+
 def ks_effect(d: Column) -> Column:
     return F.when(d < 0.1, "negligible").when(d < 0.2, "small").when(d < 0.3, "medium").otherwise("large")
 
@@ -83,11 +91,24 @@ def fbeta_threshold(df: DataFrame, score: str, label: str, beta: float = 0.5) ->
     return f.agg(F.max(F.struct("f", (-F.col("threshold")).alias("t"))).alias("b")).select((-F.col("b.t")).alias("threshold"), F.col("b.f").alias("f_beta"))
 
 
+# Coefficients of the rational forms of the normal quantile in the middle and in the tails.
+MIDDLE = ([-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00], [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0])
+TAIL = ([-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00], [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0])
+
+
 def inverse_normal(p: Column) -> Column:
-    """Quantile of the standard normal by a rational approximation (absolute error below 5e-4)."""
-    q = F.least(p, 1 - p)
-    t = F.sqrt(-2 * F.log(q))
-    x = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
+    """Quantile of the standard normal by rational forms (relative error below 1.2e-9)."""
+
+    def horner(coefficients, x):
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * x + c
+        return out
+
+    low = F.least(p, 1 - p)
+    q, t = 0.5 - low, F.sqrt(-2 * F.log(low))
+    middle = q * horner(MIDDLE[0], q * q) / horner(MIDDLE[1], q * q)
+    x = F.when(low < 0.02425, -horner(TAIL[0], t) / horner(TAIL[1], t)).otherwise(middle)
     return F.when(p < 0.5, -x).otherwise(x)
 
 

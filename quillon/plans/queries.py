@@ -407,7 +407,7 @@ def length_bucket_stats(spark, sf):
 
 @query("SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '\\r\\n|\\r|\\n', ' ', 'g'), ' +', ' ', 'g'))) AS cleaned, md5(regexp_replace(html, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')) AS stripped FROM pages")
 def clean_page_text(spark, sf):
-    return read(spark, sf, "pages").select("page_id", F.md5(X.clean_text(F.col("html"))).alias("cleaned"), F.md5(F.regexp_replace("html", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")).alias("stripped"))
+    return read(spark, sf, "pages").select("page_id", F.md5(X.clean_text(F.col("html"))).alias("cleaned"), F.md5(X.strip_controls(F.col("html"))).alias("stripped"))
 
 
 @query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages")
@@ -597,3 +597,6 @@ def interval_overlap_weights(spark, sf):
     p = c.select("conv_id", F.col("turn").alias("s"), (F.col("turn") + 2).alias("e"), F.length("text").cast("double").alias("w"))
     q = c.select("conv_id", F.col("turn").alias("s"), (F.col("turn") + 1).alias("e"), F.col("role").alias("term"))
     return r6(relational.overlap_weights(p, q, "conv_id"), "weight")
+
+
+from quillon.plans import more  # noqa: E402,F401 - registers its queries here
