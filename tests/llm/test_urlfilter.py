@@ -9,12 +9,24 @@ def test_listed_hosts(spark):
     rules = spark.createDataFrame(urlfilter.RULES, "rule string, verdict string")
     listed, hosts = spark.createDataFrame([("u.org/x",)], "url string"), spark.createDataFrame([("bad.org",), (None,)], "host string")
     got = {r.page_id: (r.verdict, r.listed) for r in urlfilter.filter_urls(pages, rules, listed, hosts=hosts).collect()}
-    assert {i for i, x in got.items() if x == ("block", True)} == {0, 1, 2, 5}
-    assert got[3] == got[4] == got[6] == ("allow", False) and got[7] == ("block", False)
+    assert {i for i, x in got.items() if x == ("block", True)} == {0, 1, 2, 3, 5}
+    assert got[4] == got[6] == ("allow", False) and got[7] == ("block", False)
 
 
 def test_query_reads_its_list_not_the_pages(spark, monkeypatch):
     seen = {}
     monkeypatch.setattr(urlfilter, "filter_urls", lambda pages, rules, listed, **more: seen.update(more, listed=listed))
     urlfilter.op2_url_filter(spark, "/root/testdata/sf0.001")
-    assert seen["listed"].count() == 0 and [r.host for r in seen["hosts"].collect()] == [urlfilter.LISTED_HOST]
+    assert seen["listed"].count() == urlfilter.LISTED_URLS and [r.host for r in seen["hosts"].collect()] == urlfilter.LISTED_HOSTS
+
+
+def test_near_misses_long_urls_and_clashing_columns(spark):
+    """Listed URLs with ports, dots and slashes; near misses; a URL of many labels; a repeated id; columns named like ours."""
+    urls = ["http://list-3.example.org:80/page/3/", "http://list-3.example.org./page/3", "http://list-3.example.org/page/33", "http://list-4.example.org/page/3", "http://" + "a." * 20_000 + "example.com/en/", "http://xspam-farm.example.org/", "http://list-3.example.org:8080/page/3"]
+    pages = spark.createDataFrame([(1 if i == 2 else i, u, "h", "k", True) for i, u in enumerate(urls)], "page_id long, url string, host string, key string, listed boolean")
+    rules = spark.createDataFrame([("example.com/en/", "block"), ("example.com/en/", "allow"), (None, "block")], "rule string, verdict string")
+    listed = spark.createDataFrame([("list-3.example.org/page/3",), ("list-3.example.org/page/3",), (None,)], "url string")
+    hosts = spark.createDataFrame([("spam-farm.example.org",)], "host string")
+    got = [(r.page_id, r.rule, r.verdict, r.listed) for r in urlfilter.filter_urls(pages, rules, listed, hosts=hosts).collect()]
+    want = [(0, None, "block", True), (1, None, "block", True), (1, None, "allow", False), (3, None, "allow", False), (4, "example.com/en/", "allow", False), (5, None, "allow", False), (6, None, "allow", False)]
+    assert sorted(got, key=str) == sorted(want, key=str)
