@@ -75,11 +75,14 @@ def detect(text: bytes, all_rules) -> list[tuple[int, int, int, str, float]]:
     Rules run only where one of their keywords stands. A detection inside one of a rule that goes first, or inside
     a longer one of an equal rule, is suppressed; base phrases (priority 0) are never."""
     found = [(m.start(), m.end(), p, label, w) for p, ks, pattern, label, w in all_rules if any(k in text for k in ks) for m in pattern.finditer(text)]
-    found.sort(key=lambda d: (d[2] > 0, -(d[1] - d[0]), d[2], d[0], d[3]))
-    kept: list = []
+    found.sort(key=lambda d: (d[0], -d[1], d[2], d[3]))  # what could contain a detection comes before it
+    reach, kept, same = [-1] * (1 + max((d[2] for d in found), default=0)), [], set()
     for d in found:
-        if d[2] == 0 or not any(k[2] > 0 and k[0] <= d[0] and d[1] <= k[1] and (k[2], -(k[1] - k[0])) <= (d[2], -(d[1] - d[0])) and (k[0], k[1], k[3]) != (d[0], d[1], d[3]) or (k[0], k[1], k[3]) == (d[0], d[1], d[3]) for k in kept):
+        start, end, p, label, _ = d
+        if p == 0 or (start, end, label) not in same and max(reach[1 : p + 1]) < end:
             kept.append(d)
+            same.add((start, end, label))
+            reach[p] = max(reach[p], end)  # how far the detections of a priority reach so far
     return kept
 
 
@@ -114,8 +117,10 @@ def scan_licenses(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFram
                     found = sorted(detect(text, all_rules))
                     if not found:
                         continue
-                    spans = [(text.count(b" ", 0, s), label, w) for s, _, _, label, w in found]
-                    base = [text.count(b" ", 0, s) for s, _, p, _, _ in found if p == 0]
+                    gaps = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+                    at = np.searchsorted(gaps, [d[0] for d in found]).tolist()
+                    spans = [(i, label, w) for i, (_, _, _, label, w) in zip(at, found)]
+                    base = [i for i, (_, _, p, _, _) in zip(at, found) if p == 0]
                     best: dict = {}
                     for _, label, w in spans:
                         best[label] = max(w, best.get(label, 0))

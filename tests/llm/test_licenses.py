@@ -3,6 +3,8 @@
 import re
 from itertools import product
 
+from pyspark.sql import functions as F
+
 from quillon.llm import licenses
 
 
@@ -65,3 +67,30 @@ def test_every_alternative_of_every_rule_is_detected(spark):
     assert [got[i][0] for i in range(len(many) - 3, len(many))] == ["mit", "x11", "python-2.0"]
     for i, text in enumerate(many):
         assert spans(text) and got[i][1] == spans(text), text
+
+
+def test_long_texts_of_notices_take_time_in_proportion():
+    text = b" ".join([b"licensed under the mit license and the gnu general public license version 3"] * 12_000)
+    found = licenses.detect(text, licenses.rules())
+    assert len(found) >= 24_000
+
+
+def brute_base(text):
+    words = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    at, labels = [], set()
+    for phrase, label in licenses.BASE:
+        p = phrase.split()
+        here = [i for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
+        at += here
+        labels |= {label} if here else set()
+    return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
+
+
+def test_base_columns_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    more = [(-1, None), (-2, ""), (-3, "MIT\nLicense, mit license"), (-4, "é1mit license mit\u00a0license"), (-5, "general public license\x7fgeneral public license"), (-5, "apache license")]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string")).withColumns({"labels": F.lit("x"), "score": F.lit("y")})
+    text = lambda r: (r.doc_id, brute_base(r.text))
+    want = sorted(map(text, docs.collect()), key=str)
+    got = sorted(((r.doc_id, (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels)) for r in licenses.scan_licenses(docs).collect()), key=str)
+    assert got == want
