@@ -11,37 +11,39 @@ from pyspark.sql import functions as F
 
 from quillon.llm import bpe, decontam, langid, linededup, ngramjoin
 from quillon.llm.bloom import drop_rows
-from quillon.llm.common import stash, table
+from quillon.llm.common import stash, table, unstash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter (`und`) go; all others stay as they are."""
+    """Documents without a letter (`und`: null, empty or without words) go. A missing lang becomes the predicted one;
+    all else stays as it is. Repeated ids are judged row by row; an empty table stays empty."""
     found = langid.identify(docs, langid.train_on(docs), keep=COLUMNS)
-    return found.where("lang_pred <> 'und'").select(*COLUMNS)
+    return found.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go from the texts; n_chars is counted again. No document goes."""
+    """Repeated lines go from the texts; n_chars is counted again. No document goes; a null text becomes empty."""
     out = linededup.line_dedup(docs, keep=["lang", "source"])
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id stays."""
+    """Of each component of near duplicates the document with the smallest id stays, in all rows of that id. Rows
+    without an id stay, as do empty and null texts."""
     found = ngramjoin.jaccard_components(docs).where("doc_id <> component_id").select("doc_id")
     return drop_rows(docs.select(*COLUMNS), "doc_id", stash(found, "near-copies"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go. DataFrame operations only."""
+    """Documents that contain a benchmark item go. DataFrame operations only. Rows without an id stay."""
     found = decontam.contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").where("doc_id IS NOT NULL").distinct()
     return docs.select(*COLUMNS).join(decontam.small(stash(found, "contaminated")), "doc_id", "left_anti")
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded texts."""
+    """Token counts and digests of ids and decoded texts; a null text is an empty one."""
     return bpe.bpe_digests(docs, bpe.tokenizer_path(bpe.TOKENIZER))
 
 
@@ -58,7 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last is not None:
+            unstash(last)
+        last = docs
     return docs
