@@ -58,9 +58,9 @@ def unit_sums(df: DataFrame, keys: Sequence[str], vector: str = "embedding", out
 
 
 def gram(df: DataFrame, key: str | None = None, vector: str = "embedding", normalise: bool = False) -> DataFrame:
-    """n, sums and Gram matrix (row-major) of each key: one d x d block a task and key, then a sum.
+    """n, sums and Gram matrix (row-major) of each key: one d x d block a task and key, then a sum by matrix row.
 
-    Columns: key (string), n, d, s array<double>, g array<double>. Whatever the rows, tasks hand on d*d numbers.
+    Columns: key (string), n, s array<double>, g array<double>. Whatever the rows, tasks hand on d*d numbers a key.
     """
     source = df.select((F.col(key).cast("string") if key else F.lit("")).alias("key"), doubles(vector).alias("v"))
 
@@ -78,9 +78,15 @@ def gram(df: DataFrame, key: str | None = None, vector: str = "embedding", norma
                 part = x[keys == k]
                 n, s, g = sums.get(k, (0, 0, 0))
                 sums[k] = (n + len(part), s + part.sum(0), g + part.T @ part)
-        for k, (n, s, g) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([n], pa.int64()), pa.array([s.tolist()]), pa.array([g.ravel().tolist()])], names=["key", "n", "s", "g"])
-
-    parts = source.mapInArrow(partial, "key string, n long, s array<double>, g array<double>")
-    add = lambda c: F.expr(f"aggregate(collect_list({c}), CAST(array() AS array<double>), (a, b) -> IF(size(a) = 0, b, zip_with(a, b, (x, y) -> x + y)))").alias(c)
-    return parts.groupBy("key").agg(F.sum("n").alias("n"), add("s"), add("g"))
+        for k, (n, s, g) in sums.items():  # row -1 has the sums, the others a row of the matrix each
+            rows = [s, *g]
+            m = len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([k] * m), pa.array(range(-1, m - 1), pa.int32()), pa.array([n] * m, pa.int64()), pa.array([r.tolist() for r in rows])], names=["key", "row", "n", "x"])
+
+    parts = source.mapInArrow(partial, "key string, row int, n long, x array<double>").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
+    add = F.expr("aggregate(collect_list(x), CAST(array() AS array<double>), (a, b) -> IF(size(a) = 0, b, zip_with(a, b, (p, q) -> p + q)))").alias("x")
+    # rows are added up in two steps, so a task holds a 64th of all tasks' rows at a time, not whole matrices
+    some = parts.groupBy("key", "row", "salt").agg(F.sum("n").alias("n"), add).groupBy("key", "row").agg(F.sum("n").alias("n"), add)
+    cells = F.array_sort(F.collect_list(F.struct("row", "x")))
+    whole = some.groupBy("key").agg(F.max("n").alias("n"), cells.alias("rows"))
+    return whole.select("key", "n", F.col("rows")[0]["x"].alias("s"), F.flatten(F.transform(F.slice("rows", 2, F.size("rows") - 1), lambda r: r["x"])).alias("g"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.functions.ordered import running
 from quillon.functions.text import split_list, tokens
 
 
@@ -23,7 +24,7 @@ def top_values(df: DataFrame, column: str, n: int) -> DataFrame:
 
 def values_at_ranks(df: DataFrame, column: str, ranks: list[int]) -> DataFrame:
     c = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    r = c.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), column)) - 1)
+    r = running(c, [F.desc("n"), column], {"rank": F.lit(1)}).withColumn("rank", (F.col("rank") - 1).cast("int"))
     return r.where(F.col("rank").isin(ranks)).select(column, "n", "rank")
 
 
@@ -81,11 +82,13 @@ def poisson_bootstrap(df: DataFrame, key: str, id_col: str, value: str, reps: in
 
 
 def token_features(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Tokens, distinct tokens and Shannon entropy (bits) of each text; 0 for a text without tokens."""
-    c = df.select(id_col, F.explode(tokens(F.col(text))).alias("w")).groupBy(id_col, "w").agg(F.count("*").alias("c"))
-    s = c.groupBy(id_col).agg(F.sum("c").alias("n"), F.count("*").alias("d"), F.sum(F.col("c") * F.log2("c")).alias("e"))
-    out = df.select(id_col).join(s, id_col, "left")
-    return out.select(id_col, F.coalesce("n", F.lit(0)).cast("long").alias("n_tokens"), F.coalesce("d", F.lit(0)).cast("long").alias("n_distinct"), F.coalesce(F.log2("n") - F.col("e") / F.col("n"), F.lit(0.0)).alias("entropy"))
+    """Tokens, distinct tokens and Shannon entropy (bits) of each text; 0 for a text without tokens. A row's figures
+    come from runs in its sorted tokens, so nothing is shuffled."""
+    zero = "named_struct('last', CAST(NULL AS string), 'run', 0D, 'd', 0L, 'e', 0D)"
+    step = "IF(x <=> a.last, named_struct('last', a.last, 'run', a.run + 1D, 'd', a.d, 'e', a.e), named_struct('last', x, 'run', 1D, 'd', a.d + 1L, 'e', a.e + IF(a.run > 1D, a.run * log2(a.run), 0D)))"
+    end = "named_struct('d', a.d, 'e', a.e + IF(a.run > 1D, a.run * log2(a.run), 0D))"
+    t = df.select(id_col, F.array_sort(tokens(F.col(text))).alias("t")).select(id_col, F.size("t").cast("long").alias("n"), F.expr(f"aggregate(t, {zero}, (a, x) -> {step}, a -> {end})").alias("s"))
+    return t.select(id_col, F.col("n").alias("n_tokens"), F.col("s.d").alias("n_distinct"), F.when(F.col("n") > 0, F.log2("n") - F.col("s.e") / F.col("n")).otherwise(0.0).alias("entropy"))
 
 
 def clean_funnel(df: DataFrame, id_col: str, text: str, steps: list[tuple[str, object]]) -> DataFrame:
@@ -98,24 +101,32 @@ def clean_funnel(df: DataFrame, id_col: str, text: str, steps: list[tuple[str, o
     return one.select(F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(name).alias("name"), F.col(f"n{i}").alias("n")) for i, (name, _) in enumerate(steps)])).alias("x")).select("x.*")
 
 
-def closure(edges: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, most: int = 10_000) -> DataFrame:
     """Nodes reached from the roots (root, node), roots included; the frontier shrinks to nothing, so cycles end.
 
-    Each level is checkpointed into the shared folder when one is set, so lineage stays short."""
-    edges = edges.select("parent", "child").distinct()
+    Each level is one job. Levels are written into the shared folder (spark.checkpoint.dir) where one is set, so
+    lineage stays short however deep the graph; else, as in tests, they are cached."""
+    spark = edges.sparkSession
+    edges = edges.select("parent", "child").distinct().persist()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    keep = (lambda d: d.checkpoint(eager=True)) if folder else (lambda d: d.persist())
     seen = roots.select(F.col("node").alias("root"), "node").distinct()
-    frontier = seen
+    frontier = seen = keep(seen)
     for _ in range(most):
-        frontier = frontier.join(edges, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node")).distinct().join(seen, ["root", "node"], "left_anti").persist()
-        if not frontier.limit(1).count():
+        step = frontier.join(edges, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node")).distinct()
+        frontier = keep(step.join(seen, ["root", "node"], "left_anti"))
+        if not frontier.count():
+            edges.unpersist()
             return seen
-        seen = seen.unionByName(frontier)
+        seen = keep(seen.unionByName(frontier)) if folder else seen.unionByName(frontier)
     raise RuntimeError("closure did not settle")
 
 
 def length_buckets(df: DataFrame, id_col: str, length: str, buckets: int) -> DataFrame:
     """Equal-count buckets in order of length: the bucket of rank r is the largest i with int(i n / B) <= r."""
-    r = df.select(id_col, length, (F.row_number().over(W.orderBy(length, id_col)) - 1).alias("r"), F.count("*").over(W.partitionBy()).alias("n"))
+    r = running(df.select(id_col, length), [length, id_col], {"r": F.lit(1)}).withColumn("r", F.col("r") - 1).withColumnRenamed("r_total", "n")
     guess = F.floor((F.col("r") + 1) * buckets / F.col("n")).cast("int")
     b = F.when(F.floor(guess * F.col("n") / buckets) <= F.col("r"), guess).otherwise(guess - 1)
     return r.withColumn("bucket", F.least(b, F.lit(buckets - 1)))

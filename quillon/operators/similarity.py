@@ -95,15 +95,22 @@ def resultant_length(df: DataFrame, vector: str = "embedding") -> DataFrame:
 def novelty(df: DataFrame, id_col: str, time_col: str, vector: str = "embedding", block: int = 4096) -> DataFrame:
     """Distance to the nearest strictly earlier row; rows of the first period are absent.
 
-    Rows are dealt to blocks; each pair of blocks is one unit that meets in a cogroup of bounded size and is
-    one matrix product. Nothing is broadcast and no pair is emitted: a unit hands on one number a row.
+    Rows are dealt to blocks of a stretch of time; each pair of blocks of which the second may be earlier is one unit
+    that meets in a cogroup of bounded size and is one matrix product. Nothing is broadcast and no pair is emitted: a
+    unit hands on one number a row.
     """
     base = df.select(F.col(id_col).alias("id"), F.col(time_col).alias("t"), unit(doubles(vector)).alias("u"))
-    blocks = max(1, -(-base.count() // block))
-    a = base.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = a.withColumn("j", other)
-    right = a.select(F.col("id").alias("id_2"), F.col("t").alias("t_2"), F.col("u").alias("u_2"), F.col("i").alias("j"), other.alias("i"))
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    blocks = max(-(-base.count() // block), int(tasks**0.5) + 1)
+    # times at which stretches begin: 64 numbers at most, whatever the rows
+    cuts = sorted({x for x in base.agg(F.percentile_approx("t", [k / 64 for k in range(1, 64)])).first()[0] or []})
+    stretch = sum((F.col("t") >= F.lit(c)).cast("int") for c in cuts) if cuts else F.lit(0)
+    each = max(1, blocks // (len(cuts) + 1))  # blocks of a stretch
+    a = base.where("t IS NOT NULL").withColumn("i", (stretch * each + F.pmod(F.xxhash64("id"), F.lit(each))).cast("int"))
+    last, top = (F.floor(F.col("i") / each) * each + each - 1).cast("int"), (len(cuts) + 1) * each - 1
+    first = (F.floor(F.col("i") / each) * each).cast("int")
+    left = a.withColumn("j", F.explode(F.sequence(F.lit(0), last)))
+    right = a.select(F.col("id").alias("id_2"), F.col("t").alias("t_2"), F.col("u").alias("u_2"), F.col("i").alias("j"), F.explode(F.sequence(first, F.lit(top))).alias("i"))
 
     def best(x, y):
         import pandas as pd

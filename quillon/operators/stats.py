@@ -5,24 +5,23 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.functions.ordered import running
+
 
 def ecdf(df: DataFrame, value: str) -> DataFrame:
     """(value, cdf) at the distinct values."""
     c = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    run = F.sum("c").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    return c.select(value, (run / F.sum("c").over(W.partitionBy())).alias("cdf"))
+    return running(c, [value], {"run": F.col("c")}).select(value, (F.col("run") / F.col("run_total")).alias("cdf"))
 
 
 def ks_distance(df: DataFrame, value: str, group: str, a, b, weight: str | None = None) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov D (step functions) with both sizes; counts may come weighted, never expanded."""
     w = F.col(weight) if weight else F.lit(1)
     c = df.where(F.col(group).isin(a, b)).groupBy(value).agg(F.sum(F.when(F.col(group) == a, w).otherwise(0)).alias("ca"), F.sum(F.when(F.col(group) == b, w).otherwise(0)).alias("cb"))
-    o = W.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy()
-    c = c.select(F.abs(F.sum("ca").over(o) / F.sum("ca").over(every) - F.sum("cb").over(o) / F.sum("cb").over(every)).alias("d"), F.sum("ca").over(every).alias("n_a"), F.sum("cb").over(every).alias("n_b"))
+    c = running(c, [value], {"a": F.col("ca"), "b": F.col("cb")})
+    c = c.select(F.abs(F.col("a") / F.col("a_total") - F.col("b") / F.col("b_total")).alias("d"), F.col("a_total").alias("n_a"), F.col("b_total").alias("n_b"))
     return c.agg(F.max("d").alias("d"), F.max("n_a").cast("long").alias("n_a"), F.max("n_b").cast("long").alias("n_b"))
 
 
@@ -84,8 +83,8 @@ def kde(df: DataFrame, value: str, points: int = 200) -> DataFrame:
 def fbeta_threshold(df: DataFrame, score: str, label: str, beta: float = 0.5) -> DataFrame:
     """The score threshold (score >= threshold is positive) with the best F-beta; of equals the smallest."""
     c = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.sum(label).alias("p"), F.count("*").alias("c"))
-    o, every = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0), W.partitionBy()
-    tp, got, all_ = F.sum("p").over(o), F.sum("c").over(o), F.sum("p").over(every)
+    c = running(c, [F.desc(score)], {"tp": F.col("p"), "got": F.col("c")})
+    tp, got, all_ = F.col("tp"), F.col("got"), F.col("tp_total")
     k = beta * beta
     f = c.select(F.col(score).alias("threshold"), ((1 + k) * tp / (k * all_ + got)).alias("f"))
     return f.agg(F.max(F.struct("f", (-F.col("threshold")).alias("t"))).alias("b")).select((-F.col("b.t")).alias("threshold"), F.col("b.f").alias("f_beta"))
@@ -114,7 +113,7 @@ def inverse_normal(p: Column) -> Column:
 
 def qq_pairs(df: DataFrame, value: str) -> DataFrame:
     """(rn, observed, theoretical) with p = 0.01 + 0.98 (rn - 1) / (n - 1)."""
-    r = df.where(F.col(value).isNotNull()).select(F.col(value).alias("observed"), F.row_number().over(W.orderBy(value)).alias("rn"), F.count("*").over(W.partitionBy()).alias("n"))
+    r = running(df.where(F.col(value).isNotNull()).select(F.col(value).alias("observed")), ["observed"], {"rn": F.lit(1)}).withColumnRenamed("rn_total", "n")
     return r.select("rn", "observed", inverse_normal(0.01 + 0.98 * (F.col("rn") - 1) / F.greatest(F.col("n") - 1, F.lit(1))).alias("theoretical"))
 
 
