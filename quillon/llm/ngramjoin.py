@@ -211,10 +211,10 @@ def _bounded(n, pos, x, y) -> np.ndarray:
 
 def _pairs(first: np.ndarray, size: np.ndarray, most: int = 100_000):
     """All pairs (x < y) of rows within units, in parts; first, size: where each unit's rows are."""
-    later = np.repeat(first + size, size) - np.arange(int(size.sum())) - 1
+    at = ragged(first, size)
+    later = np.repeat(first + size, size) - at - 1
     for a, b in _runs(later, most):
-        left = np.arange(a, b)
-        yield np.repeat(left, later[a:b]), ragged(left + 1, later[a:b])
+        yield np.repeat(at[a:b], later[a:b]), ragged(at[a:b] + 1, later[a:b])
 
 
 def _by_unit(batches, keys: list[str], emit):
@@ -232,23 +232,23 @@ def _by_unit(batches, keys: list[str], emit):
 
 
 def _postings(prefixes: DataFrame) -> DataFrame:
-    """The postings (token, c, n, pos) of shingles that several classes have, without those that have no partner by
-    length and position; in groups of more than TILE members all stay."""
+    """The postings (token, c, n, pos, and m, the members of its group) of shingles that several classes have, without
+    those that have no partner by length and position; in groups of more than TILE members all stay."""
     p = prefixes.select("c", "n", F.explode(F.arrays_zip("tokens", "at")).alias("p")).select("c", "n", F.col("p.tokens").alias("token"), F.col("p.at").alias("pos"))
     groups = p.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-    p = p.join(groups, "token").select("token", "c", "n", "pos", "m")
-    schema = "token long, c long, n int, pos int"
+    p = p.join(groups, "token").select("token", F.expr(f"IF(m > {TILE}, pmod(xxhash64(c), CAST(ceil(m / {TILE}) AS INT)), 0)").alias("salt"), "c", "n", "pos", "m")
 
     def emit(t, starts):
         n, pos = (t[x].to_numpy().astype(np.int64) for x in ("n", "pos"))
-        some = np.zeros(t.num_rows, bool)
-        for x, y in _pairs(starts, np.diff(np.r_[starts, t.num_rows])):
+        some = t["m"].to_numpy() > TILE
+        size = np.where(some[starts], 0, np.diff(np.r_[starts, t.num_rows]))
+        for x, y in _pairs(starts, size):
             ok = _bounded(n, pos, x, y)
             some[x[ok]] = some[y[ok]] = True
-        yield from t.select(["token", "c", "n", "pos"]).filter(pa.array(some)).combine_chunks().to_batches()
+        yield from t.select(["token", "c", "n", "pos", "m"]).filter(pa.array(some)).combine_chunks().to_batches()
 
-    usual = p.where(F.col("m") <= TILE).drop("m").repartition("token").sortWithinPartitions("token").mapInArrow(lean(lambda batches: _by_unit(batches, ["token"], emit)), schema)
-    return stash(usual.unionByName(p.where(F.col("m") > TILE).drop("m")), "postings")
+    dealt = p.repartition("token", "salt").sortWithinPartitions("token", "salt")  # large groups are spread
+    return stash(dealt.mapInArrow(lean(lambda batches: _by_unit(batches, ["token", "salt"], emit)), "token long, c long, n int, pos int, m long"), "postings")
 
 
 def _live(prefixes: DataFrame, postings: DataFrame) -> DataFrame:
@@ -260,20 +260,23 @@ def _live(prefixes: DataFrame, postings: DataFrame) -> DataFrame:
 
 def _first_units(postings: DataFrame) -> DataFrame:
     """The first round's units: a sample of the shingles, each member in one tile only."""
-    p = postings.where((F.col("n") < FIRST_SHORT) | (F.expr(f"pmod(xxhash64(token), {FIRST_SHARE})") == 0))
+    p = postings.drop("m").where((F.col("n") < FIRST_SHORT) | (F.expr(f"pmod(xxhash64(token), {FIRST_SHARE})") == 0))
     tiles = p.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token", F.ceil(F.col("m") / TILE).alias("tiles"))
     lo = F.expr("pmod(xxhash64(c, token), tiles)")
     return p.join(tiles, "token").select("token", lo.alias("lo"), lo.alias("hi"), "c", "n", "pos", F.col("c").alias("comp"))
 
 
-def _later_units(postings: DataFrame, comps: DataFrame) -> DataFrame:
+def _later_units(postings: DataFrame, comps: DataFrame, large_groups: bool) -> DataFrame:
     """Units of the shingles that several components have. Small groups are one unit. In others, a component of
     more than TILE members has tiles of its own, the rest share tiles; each pair of tiles is a unit, but for those of
-    one component. comps: c, comp of the classes that are linked; others are components of their own."""
-    p = postings.join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    one component. comps: c, comp of the classes that are linked; others are components of their own. large_groups: are
+    there groups of more than TILE members?"""
+    p = postings.drop("m").join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     parts = p.groupBy("token", "comp").agg(F.count("*").alias("k"))
     groups = parts.groupBy("token").agg(F.sum("k").alias("m"), F.count("*").alias("parts"), F.sum(F.when(F.col("k") <= TILE, F.col("k")).otherwise(0)).alias("rest")).where("parts > 1")
     usual = p.join(groups.where(F.col("m") <= TILE).select("token"), "token").select("token", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), "c", "n", "pos", "comp")
+    if not large_groups:
+        return usual
     large = parts.join(groups.where(F.col("m") > TILE).select("token", "rest"), "token")
     count = F.ceil(F.when(F.col("k") > TILE, F.col("k")).otherwise(F.col("rest")) / TILE)
     large = large.select("token", "comp", F.when(F.col("k") > TILE, F.col("comp")).alias("own"), count.alias("tiles"))
@@ -363,10 +366,10 @@ def _runs(counts: np.ndarray, most: int):
         a = b
 
 
-def _links(candidates: DataFrame, prefixes: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    """The candidates (n of them) whose whole sets are similar, as (u, v) of class representatives."""
+def _links(candidates: DataFrame, prefixes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The candidates whose whole sets are similar, as (u, v) of class representatives."""
     some = candidates.select(F.col("a").alias("c")).unionByName(candidates.select(F.col("b").alias("c"))).distinct()
-    reps = stash(prefixes.select("c", "sig", "rep").join(some, "c").where("rep IS NOT NULL").select("c", "sig", F.col("rep").alias("id")), "verified", 2 * n)
+    reps = stash(prefixes.select("c", "sig", "rep").join(some, "c").where("rep IS NOT NULL").select("c", "sig", F.col("rep").alias("id")), "verified")
 
     maybe = rows.sparkSession.sparkContext.broadcast(Blocked.build(reps.select(F.xxhash64("id").alias("h")), "h"))
 
@@ -376,7 +379,7 @@ def _links(candidates: DataFrame, prefixes: DataFrame, rows: DataFrame, n: int)
             yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "whole"])
 
     found = rows.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(lean(run), "sig binary, whole binary").dropDuplicates(["sig"])
-    whole = stash(found.join(reps.select("c", "sig"), "sig").select("c", "whole"), "whole-sets", 2 * n, 2000)
+    whole = stash(found.join(reps.select("c", "sig"), "sig").select("c", "whole"), "whole-sets")
     maybe.unpersist()
 
     def check(batches):
@@ -391,7 +394,7 @@ def _links(candidates: DataFrame, prefixes: DataFrame, rows: DataFrame, n: int)
     pairs = candidates.join(whole.select(F.col("c").alias("a"), F.col("whole").alias("x")), "a").join(whole.select(F.col("c").alias("b"), F.col("whole").alias("y")), "b")
     good = pairs.select("a", "b", "x", "y").mapInArrow(lean(check), "a long, b long")
     good = good.join(reps.select(F.col("c").alias("a"), F.col("id").alias("u")), "a").join(reps.select(F.col("c").alias("b"), F.col("id").alias("v")), "b")
-    out = stash(good.select("u", "v"), "links", n)
+    out = stash(good.select("u", "v"), "links")
     unstash(whole, reps)
     return out
 
@@ -415,30 +418,29 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text") -> Dat
     live = _live(prefixes, postings)
     unstash(prefixes)
     found = _candidates(_first_units(postings), live)
-    fine = stash(_finer(found, live), "fine", found.count(), 20_000)
+    fine = stash(_finer(found, live), "fine")
     tested = fine.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(fine.groupBy("a").agg(F.max("b").alias("b")))
     tested = [stash(tested.distinct(), "tested", 2 * fine.count())]  # two pairs a document at most
     unstash(found, fine)
-    links = [_links(tested[0], live, rows, tested[0].count())]
+    links = [_links(tested[0], live, rows)]
     near = components(links[0])
-    partners, left = PARTNERS, True
+    partners, left, large_groups = PARTNERS, True, postings.where(F.col("m") > TILE).limit(1).count() > 0
     while left:
         comps = near.join(live.select(F.col("rep").alias("component"), F.col("c").alias("comp")), "component").select("node", "comp")
         comps = comps.join(live.select(F.col("rep").alias("node"), "c"), "node").select("c", "comp")
-        found = _candidates(_later_units(postings, comps), live, partners)
+        found = _candidates(_later_units(postings, comps, large_groups), live, partners)
         rest = found.where("a >= 0")
         for pairs in tested:
             rest = rest.join(pairs, ["a", "b"], "left_anti")
-        tested.append(stash(_finer(rest, live), "tested", found.count(), 20_000))
+        tested.append(stash(_finer(rest, live), "tested"))
         full = found.where("a < 0").select(F.col("b").alias("token"))
         left = full.limit(1).count()
         if left:  # only shingles where members had more partners are looked at again
             postings, old = stash(postings.join(full, "token", "left_semi"), "postings"), postings
             unstash(old)
         unstash(found)
-        fresh = tested[-1].count()
-        if fresh:
-            links.append(_links(tested[-1], live, rows, fresh))
+        if tested[-1].limit(1).count():
+            links.append(_links(tested[-1], live, rows))
             old, near = near, components(reduce(DataFrame.unionByName, links))
             unstash(old.kept)
         partners *= 4
