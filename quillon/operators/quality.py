@@ -148,3 +148,23 @@ def frequent_weights(long: DataFrame, id_col: str, term: str, weight: str, lexic
     """Rows of terms whose frequency in a lexicon (term, frequency) is at least `least`, weights adding up to 1 an id."""
     kept = long.join(lexicon.where(F.col(frequency) >= least).select(term), term)
     return kept.select(id_col, term, (F.col(weight) / F.sum(weight).over(W.partitionBy(id_col))).alias(weight))
+
+
+def silhouette(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
+    """(n, labels, silhouette): the mean over all rows of (b - a) / max(a, b) by cosine distance, where a is the mean
+    distance to the others of the row's class and b the smallest mean distance to another class; 0 for a row that is
+    alone in its class and for fewer than two classes. Rows with a null class are left out. Mean distances come from
+    the classes' sums of unit vectors, exactly: rows meet classes, never each other. Sums are one row a class."""
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("own"), doubles(vector).alias("v"))
+    rows = rows.withColumn("v", F.transform("v", lambda x: F.when(norm(F.col("v")) > 0, x / norm(F.col("v"))).otherwise(0.0)))
+    sums = unit_sums(df.where(F.col(key).isNotNull()), [key], vector).select(F.col(key).alias("other"), F.col("n").cast("double").alias("n"), "total")
+    classes = sums.agg(F.collect_list(F.struct("other", "n", "total")).alias("classes"))
+    cosines = lambda c: dot(F.col("v"), c["total"])
+    self_cosine = dot(F.col("v"), F.col("v"))
+    mine = F.get(F.filter("classes", lambda c: c["other"] == F.col("own")), F.lit(0))
+    a = 1 - (cosines(mine) - self_cosine) / (mine["n"] - 1)
+    b = F.array_min(F.transform(F.filter("classes", lambda c: c["other"] != F.col("own")), lambda c: 1 - cosines(c) / c["n"]))
+    x = rows.join(F.broadcast(classes)).select(F.when(mine["n"] > 1, a).alias("a"), b.alias("b"), F.size("classes").alias("labels"))
+    score = F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
+    score = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(score)
+    return x.agg(F.count("*").alias("n"), F.coalesce(F.max("labels"), F.lit(0)).alias("labels"), F.coalesce(F.avg(score), F.lit(0.0)).alias("silhouette"))

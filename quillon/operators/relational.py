@@ -146,3 +146,10 @@ def overlap_weights(pieces: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     met = p.join(q, (F.col(f"p.{key}") == F.col(f"q.{key}")) & (F.col("p.s") < F.col("q.e")) & (F.col("p.e") > F.col("q.s")))
     s = met.groupBy(F.col(f"p.{key}").alias(key), F.col("q.term").alias("term")).agg(F.sum("p.w").alias("w"))
     return s.select(key, "term", (F.col("w") / F.sum("w").over(W.partitionBy(key))).alias("weight"))
+
+
+def nested_rows(df: DataFrame, items: str, keep: list[str], category: str, wanted, added: list[tuple] = ()) -> DataFrame:
+    """The structs of the list column `items` as rows beside the columns kept, of one category, and the rows `added`.
+    A null or empty list gives no row."""
+    flat = df.select(*keep, F.explode(items).alias("__item")).select(*keep, "__item.*").where(F.col(category) == F.lit(wanted))
+    return flat.unionByName(df.sparkSession.createDataFrame(list(added), flat.schema)) if added else flat

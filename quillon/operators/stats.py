@@ -125,3 +125,34 @@ def field_completeness(df: DataFrame, fields: list[str], by: str) -> DataFrame:
     size = F.when(ok, F.length("v"))
     out = long.select("by_value", "field", ok.cast("int").alias("ok"), size.alias("size")).groupingSets([["by_value", "field"], ["field"]], "by_value", "field")
     return out.agg(F.count("*").alias("total"), F.coalesce(F.sum("ok"), F.lit(0)).cast("long").alias("present"), F.avg("size").alias("avg_length"), F.max("size").cast("long").alias("max_length")).withColumn("percent", F.round(100.0 * F.col("present") / F.col("total"), 2))
+
+
+def triangle_threshold(df: DataFrame, value: str, bins: int = 256) -> DataFrame:
+    """One row `threshold`: the centre of the histogram bin that lies farthest below the line from the highest bin to the
+    end of the longer tail; of equals the bin nearest to that end. Nulls are left out; without values it is null. What
+    is broadcast has one row a bin at most."""
+    found = histogram(df, value, bins).select("bin", "n")
+    span = df.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
+    shape = found.agg(F.max(F.struct("n", (-F.col("bin")).alias("at"))).alias("top"), F.min("bin").alias("low"), F.max("bin").alias("high"))
+    peak = -F.col("top.at")
+    end = F.when(peak - F.col("low") < F.col("high") - peak, F.col("high")).otherwise(F.col("low"))
+    line = shape.select(F.col("top.n").alias("height"), peak.alias("peak"), end.alias("end"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(F.broadcast(found), "bin", "left").join(F.broadcast(line)).join(F.broadcast(span))
+    steps, width = F.abs(F.col("bin") - F.col("end")), F.abs(F.col("peak") - F.col("end"))
+    between = (steps < F.greatest(width, F.lit(1))) & ((F.col("bin") - F.col("end")) * (F.col("peak") - F.col("end")) >= 0)
+    below = F.col("height") * steps - width * F.coalesce("n", F.lit(0))
+    centre = F.col("lo") + (F.col("bin") + 0.5) * ((F.col("hi") - F.col("lo")) / bins)
+    return every.where(between).agg(F.max(F.struct(below.alias("below"), (-steps).alias("near"), centre.alias("threshold"))).alias("best")).select("best.threshold")
+
+
+def bin_extremes(df: DataFrame, id_col: str, value: str, size: str, width: float) -> DataFrame:
+    """Per half-open bin of `value`: n, and the ids of the rows with the smallest and the largest `size` (of equals the
+    smallest id). Rows with a null in either column are left out."""
+    x = df.where(F.col(value).isNotNull() & F.col(size).isNotNull()).withColumn("bin", F.floor(F.col(value) / width).cast("long"))
+    low, high = F.min(F.struct(size, id_col)), F.max(F.struct(F.col(size), (-F.col(id_col)).alias("back")))
+    return x.groupBy("bin").agg(F.count("*").alias("n"), low.alias("a"), high.alias("b")).select("bin", "n", F.col(f"a.{id_col}").alias("shortest"), (-F.col("b.back")).alias("longest"))
+
+
+def peak(density: DataFrame) -> DataFrame:
+    """(x, density) of the highest point of a density; of equals the smallest x."""
+    return density.agg(F.max(F.struct("density", (-F.col("x")).alias("back"))).alias("m")).select((-F.col("m.back")).alias("x"), F.col("m.density").alias("density"))

@@ -263,3 +263,34 @@ def epsilon_ball_report(spark, sf):
 def text_functions(spark, sf):
     p = read(spark, sf, "pages")
     return p.select("page_id", F.regexp_extract("url", "([^/]+)$", 1).alias("last"), X.file_name(F.col("url")).alias("file"), (X.strip_controls(F.col("html")) == F.col("html")).alias("plain"))
+
+
+# --- thresholds, densities, class separation ---------------------------------------------------------------
+@query("""WITH s AS (SELECT CAST(min(n_chars) AS DOUBLE) AS lo, CAST(max(n_chars) AS DOUBLE) AS hi FROM documents), h AS (SELECT CAST(least(floor((n_chars - lo) / ((hi - lo) / 64)), 63) AS INT) AS bin, count(*) AS n FROM documents, s GROUP BY ALL),
+l AS (SELECT max(n) AS height, arg_max(bin, n * 1000 - bin) AS peak, min(bin) AS low, max(bin) AS high FROM h), e AS (SELECT *, CASE WHEN peak - low < high - peak THEN high ELSE low END AS e FROM l),
+d AS (SELECT i AS bin, abs(i - e) AS steps, height * abs(i - e) - abs(peak - e) * coalesce(n, 0) AS below FROM range(0, 64) t(i) LEFT JOIN h ON h.bin = i, e WHERE abs(i - e) < greatest(abs(peak - e), 1) AND (i - e) * (peak - e) >= 0)
+SELECT round(lo + (bin + 0.5) * ((hi - lo) / 64), 6) AS threshold FROM d, s ORDER BY below DESC, steps LIMIT 1""")
+def length_triangle(spark, sf):
+    return r6(stats.triangle_threshold(read(spark, sf, "documents"), "n_chars", 64), "threshold")
+
+
+@query("""WITH t AS (SELECT doc_id, n_chars, CAST(floor(round(ln(n_chars), 6) / 0.5) AS BIGINT) AS bin FROM documents WHERE n_chars > 0)
+SELECT DISTINCT bin, count(*) OVER (PARTITION BY bin) AS n, first_value(doc_id) OVER (PARTITION BY bin ORDER BY n_chars, doc_id) AS shortest, first_value(doc_id) OVER (PARTITION BY bin ORDER BY n_chars DESC, doc_id) AS longest FROM t""")
+def length_bin_extremes(spark, sf):
+    d = read(spark, sf, "documents").where("n_chars > 0").withColumn("x", F.round(F.log("n_chars"), 6))
+    return stats.bin_extremes(d, "doc_id", "x", "n_chars", 0.5)
+
+
+@query(f"""WITH {EM}, u AS (SELECT vec_id, label, list_transform(v, lambda x: x / {NORM}) AS u FROM e WHERE label IS NOT NULL), p AS (SELECT a.vec_id, a.label, b.label AS other, avg(1 - list_dot_product(a.u, b.u)) AS d FROM u a JOIN u b ON a.vec_id <> b.vec_id GROUP BY ALL),
+s AS (SELECT vec_id, max(d) FILTER (WHERE label = other) AS a, min(d) FILTER (WHERE label <> other) AS b FROM p GROUP BY vec_id) SELECT count(*) AS n, (SELECT count(DISTINCT label) FROM u) AS labels, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s""")
+def label_silhouette(spark, sf):
+    return r6(quality.silhouette(emb(spark, sf), "label"), "silhouette")
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE role = 'user' UNION ALL SELECT -1, 0, 'user'")
+def nested_list_rows(spark, sf):
+    """Rows of a nested JSON list of one category, with rows added by hand."""
+    c = read(spark, sf, "conversations")
+    packed = c.groupBy("conv_id").agg(F.to_json(F.collect_list(F.struct("turn", "role"))).alias("json"))
+    nested = packed.select("conv_id", F.from_json("json", "array<struct<turn: int, role: string>>").alias("items"))
+    return relational.nested_rows(nested, "items", ["conv_id"], "role", "user", [(-1, 0, "user")])
