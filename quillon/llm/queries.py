@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, decontam, exactdedup, langid, licenses, linededup, ngramjoin, tokenstore, toxicity, urlfilter
+from quillon.llm import bpe, conversations, decontam, exactdedup, langid, licenses, linededup, ngramjoin, sharding, tokenstore, toxicity, urlfilter
 
 
 
@@ -23,6 +23,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_exact_dedup": exactdedup.op9_exact_dedup,
     "op10_line_dedup": linededup.op10_line_dedup,
+    "op12_conversation_repair": conversations.op12_conversation_repair,
+    "op13_sharding": sharding.op13_sharding,
     "pipeline": pipeline,
 }
-SQL = urlfilter.SQL | decontam.SQL | ngramjoin.SQL | exactdedup.SQL | linededup.SQL
+SQL = urlfilter.SQL | decontam.SQL | ngramjoin.SQL | exactdedup.SQL | linededup.SQL | conversations.SQL | sharding.SQL
