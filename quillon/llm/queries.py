@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, conversations, decontam, exactdedup, langid, licenses, linededup, ngramjoin, sharding, tokenstore, toxicity, urlfilter
+from quillon.llm import alignment, bpe, conversations, decontam, exactdedup, langid, licenses, linededup, ngramjoin, sharding, tokenstore, toxicity, urlfilter
 
 
 
@@ -23,6 +23,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_exact_dedup": exactdedup.op9_exact_dedup,
     "op10_line_dedup": linededup.op10_line_dedup,
+    "op11_alignment": alignment.op11_alignment,
     "op12_conversation_repair": conversations.op12_conversation_repair,
     "op13_sharding": sharding.op13_sharding,
     "pipeline": pipeline,
