@@ -6,8 +6,9 @@ piece of the second holds a space after another character, or a line feed. So th
 segments one after another, and every cut ends a token of both.
 
 Each chunk of documents becomes one row: its distinct segments and, for each document, which of them it consists of.
-Segments of all chunks are made distinct, tokenized and aligned once; the alignments are joined back to the chunks'
-segments, a row for each chunk and segment however often it occurs there, and documents are composed from them.
+The segments of all chunks are shuffled by their text, where each is tokenized and aligned once; its alignment goes back
+to every chunk that asked for it, a row for each chunk and segment however often it occurs there, and documents are
+composed from them. Chunks also say how many of their documents hold each id pair linked; these numbers add up.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +33,8 @@ from quillon.llm.kernels import piece_hashes, ragged, segments
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK = 4 << 20  # bytes of text in a chunk; a longer document is one alone
+MAX_PAIRS = 2_000_000  # id pairs whose counts are broadcast (17 bytes each); beyond it they are joined to the chunks
+WIDE = 4096  # links of a group above which its distinct ids are paired instead of all its tokens
 
 
 class Pair:
@@ -122,124 +127,214 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 segs = pa.StringArray.from_buffers(len(pick), pa.py_buffer(np.r_[0, np.cumsum(length[pick])].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat)))
                 counts = np.diff(np.searchsorted(starts, bounds))
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), one(batch.column(0).slice(lo, hi - lo)), one(pa.array(counts, pa.int32())), one(pa.array(at, pa.int32())), one(segs)], names=["chunk", "ids", "counts", "at", "segs"])
+                packed = zstandard.ZstdCompressor(level=1).compress(at.astype(np.uint16 if len(pick) <= 1 << 16 else np.int32).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), one(batch.column(0).slice(lo, hi - lo)), one(pa.array(counts, pa.int32())), pa.array([packed], pa.binary()), one(segs)], names=["chunk", "ids", "counts", "at", "segs"])
                 n += 1
 
-    schema = f"chunk long, ids array<{kind}>, counts array<int>, at array<int>, segs array<string>"
+    schema = f"chunk long, ids array<{kind}>, counts array<int>, at binary, segs array<string>"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), schema)
 
 
-ALIGNED = "seg string, ok boolean, n_a int, n_b int, n_groups int, groups string, pairs array<long>, times array<long>"
+def _code(groups: list | None) -> bytes:
+    """A segment's alignment: the number of groups, both sizes of each, then the ids group by group; in 2 bytes each, or 4
+    after a byte that makes the length odd. Empty where either tokenizer changes the segment."""
+    if groups is None:
+        return b""
+    flat = [len(groups)]
+    for u, v in groups:
+        flat += (len(u), len(v))
+    for u, v in groups:
+        flat += u
+        flat += v
+    return array("H", flat).tobytes() if max(flat) < 1 << 16 else b"\0" + array("I", flat).tobytes()
 
 
-def _aligned(segs: DataFrame, spec, model) -> DataFrame:
-    """Each segment's tokens and alignment; pairs: first id * 2**32 + second id, times: how often it is linked."""
+def _aligned(chunks: DataFrame, spec, model) -> DataFrame:
+    """chunk, pos, code: the alignment of each chunk's segments. Equal segments meet in one task in a row and are
+    tokenized once; a segment has one row a chunk at most, so none is a large part of all."""
 
     def run(batches):
-        pair = _pair(spec.value, model.value)
+        pair, last = _pair(spec.value, model.value), (None, b"")
         for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                texts = batch.column(0).slice(a, 2000).to_pylist()
-                rows = []
-                for t, (x, y) in zip(texts, pair.encode(texts)):
-                    groups = pair.align(t, x, y)
-                    if groups is None:
-                        rows.append((t, False, 0, 0, 0, "", [], []))
-                        continue
-                    links: Counter = Counter()
-                    for u, v in groups:
-                        if len(u) == 1 or len(v) == 1:
-                            links.update(p << 32 | q for p in u for q in v)
-                        else:
-                            cu, cv = Counter(u), Counter(v)
-                            for p, k in cu.items():
-                                for q, m in cv.items():
-                                    links[p << 32 | q] += k * m
-                    said = ";".join([f"{','.join(map(str, u))}|{','.join(map(str, v))}" for u, v in groups])
-                    rows.append((t, True, len(x), len(y), len(groups), said, list(links), list(links.values())))
-                cols = list(zip(*rows))
-                types = [pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["seg", "ok", "n_a", "n_b", "n_groups", "groups", "pairs", "times"])
-
-    return segs.mapInArrow(lean(run), ALIGNED)
-
-
-def _with_segments(chunks: DataFrame, aligned: DataFrame, columns: list[str], own: list[str]) -> DataFrame:
-    """The chunks' own columns and `found`, their segments' columns (pos says which). A chunk's segments are bounded by
-    its size, and so is what is gathered for it."""
+            segs = batch.column(2).dictionary_encode()
+            texts = segs.dictionary.to_pylist()
+            known = [last[1]] if texts and texts[0] == last[0] else []
+            new = texts[len(known) :]
+            codes = known + [_code(pair.align(t, a, b)) for t, (a, b) in zip(new, pair.encode(new) if new else [])]
+            if texts:
+                last = texts[-1], codes[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.binary()).take(segs.indices)], names=["chunk", "pos", "code"])
+
     asked = chunks.select("chunk", F.posexplode("segs").alias("pos", "seg"))
-    found = asked.join(aligned.select("seg", *columns), "seg").groupBy("chunk").agg(F.collect_list(F.struct("pos", *columns)).alias("found"))
-    return chunks.select("chunk", *own).join(found.withColumnRenamed("chunk", "__chunk"), F.col("chunk") == F.col("__chunk"), "left").select(*own, "found")
+    return asked.repartition("seg").sortWithinPartitions("seg").mapInArrow(lean(run), "chunk long, pos int, code binary")
+
+
+class Aligned:
+    """A chunk's segments from their codes: ok, n_a, n_b, n_groups, n_links of each; the linked id pairs of all of them
+    (pair, seg, times); texts() for their groups as strings."""
+
+    def __init__(self, codes: pa.Array):
+        raw = codes.to_pylist()
+        n = len(raw)
+        self.ok = np.array([bool(c) for c in raw], bool)
+        self.sizes = {x: np.zeros(n, np.int64) for x in ("n_a", "n_b", "n_groups", "n_links")}
+        pairs, segs, times, self.parts = [], [], [], []
+        for odd, kind in ((0, np.uint16), (1, np.uint32)):
+            mine = [i for i, c in enumerate(raw) if c and len(c) % 2 == odd]
+            if not mine:
+                continue
+            flat = np.frombuffer(b"".join([raw[i][odd:] for i in mine]), kind).astype(np.int64)
+            starts = np.cumsum([0] + [(len(raw[i]) - odd) // np.dtype(kind).itemsize for i in mine])
+            mine = np.array(mine)
+            groups = flat[starts[:-1]]
+            heads = flat[ragged(starts[:-1] + 1, 2 * groups)]
+            la, lb = heads[0::2], heads[1::2]
+            seg = np.repeat(np.arange(len(mine)), groups)
+            first = np.cumsum(groups) - groups
+            ids_at = starts[:-1] + 1 + 2 * groups  # where a segment's ids begin
+            before = np.cumsum(la + lb) - (la + lb)
+            at = ids_at[seg] + before - before[first][seg]
+            for name, x in (("n_a", la), ("n_b", lb), ("n_groups", np.ones_like(la)), ("n_links", la * lb)):
+                self.sizes[name][mine] = np.add.reduceat(x, first)
+            some = np.flatnonzero(la * lb <= WIDE)
+            size = (la * lb)[some]
+            k = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            width = np.repeat(lb[some], size)
+            x = flat[np.repeat(at[some], size) + k // width]
+            y = flat[np.repeat(at[some] + la[some], size) + k % width]
+            pairs.append(x << 32 | y)
+            segs.append(np.repeat(mine[seg[some]], size))
+            times.append(np.ones(len(x), np.int64))
+            for g in np.flatnonzero(la * lb > WIDE).tolist():
+                x, cx = np.unique(flat[at[g] : at[g] + la[g]], return_counts=True)
+                y, cy = np.unique(flat[at[g] + la[g] : at[g] + la[g] + lb[g]], return_counts=True)
+                pairs.append((x[:, None] << 32 | y[None]).ravel())
+                times.append((cx[:, None] * cy[None]).ravel())
+                segs.append(np.full(len(pairs[-1]), mine[seg[g]]))
+            self.parts.append((flat, mine, first, groups, la, lb, at, seg))
+        join = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
+        self.pair, self.seg, self.times = join(pairs), join(segs), join(times)
+        self.n = n
+
+    def texts(self) -> list[str]:
+        """Each segment's groups: ids in digits, parted by , in a group's side, | between sides and ; between groups."""
+        out = [""] * self.n
+        for flat, mine, first, groups, la, lb, at, seg in self.parts:
+            tokens = flat[ragged(at, la + lb)]
+            mark = np.full(len(tokens), 44, np.uint8)
+            ends = np.cumsum(la + lb)
+            mark[ends - lb - 1], mark[ends - 1] = 124, 59
+            known, which = np.unique(tokens, return_inverse=True)
+            digits = [str(x).encode() for x in known.tolist()]
+            length = np.array([len(x) for x in digits])
+            source, begin = np.frombuffer(b"".join(digits), np.uint8), np.cumsum(length) - length
+            size = length[which] + 1
+            text = np.empty(int(size.sum()), np.uint8)
+            stop = np.cumsum(size)
+            text[stop - 1] = mark
+            inside = np.ones(len(text), bool)
+            inside[stop - 1] = False
+            text[inside] = source[ragged(begin[which], length[which])]
+            cut = np.r_[0, stop[ends[np.r_[first[1:], len(la)] - 1] - 1]].tolist()
+            whole = text.tobytes().decode()
+            for i, a, b in zip(mine.tolist(), cut, cut[1:]):
+                out[i] = whole[a : b - 1]
+        return out
 
 
-def _columns(found: pa.Array) -> dict[str, pa.Array]:
-    """A chunk's segment columns, in the order of the segments' places."""
-    rows = found.flatten()
-    if not len(rows):
-        return {f.name: rows.field(i) for i, f in enumerate(rows.type)}
-    return {f.name: x for f, x in zip(rows.type, rows.take(pa.array(np.argsort(rows.field(0).to_numpy()))).flatten())}
+def _chunk_row(batch: pa.RecordBatch, row: int) -> tuple[pa.Array, np.ndarray, np.ndarray, Aligned | None]:
+    """ids, counts, the documents' segments in order, and the segments of a chunk."""
+    ids, counts = batch.column("ids").slice(row, 1).flatten(), batch.column("counts").slice(row, 1).flatten().to_numpy(zero_copy_only=False)
+    found = batch.column("found").slice(row, 1).flatten()
+    if not len(found):
+        return ids, counts, np.zeros(0, np.int64), None
+    pos, codes = found.flatten()
+    codes = codes.take(pa.array(np.argsort(pos.to_numpy(), kind="stable")))
+    at = np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column("at")[row].as_py()), np.uint16 if len(codes) <= 1 << 16 else np.int32).astype(np.int64)
+    return ids, counts, at, Aligned(codes)
 
 
-def _pairs_in_documents(chunks: DataFrame, aligned: DataFrame) -> DataFrame:
-    """pair, n: in how many documents ids are linked. A document is in one chunk, so chunks' counts add up."""
+def _pairs_in_documents(full: DataFrame) -> DataFrame:
+    """chunk, pair, n: in how many of a chunk's documents ids are linked (a pair: first id * 2**32 + second id)."""
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                counts, at = (batch.column(c).slice(row, 1).flatten().to_numpy(zero_copy_only=False) for c in ("counts", "at"))
-                if not len(at):
+                _, counts, at, seg = _chunk_row(batch, row)
+                if seg is None:
                     continue
-                seg = _columns(batch.column("found").slice(row, 1))
-                ok = seg["ok"].to_numpy(zero_copy_only=False)
                 doc = np.repeat(np.arange(len(counts)), counts)
                 bad = np.zeros(len(counts), bool)
-                bad[doc[~ok[at]]] = True
+                bad[doc[~seg.ok[at]]] = True
                 keep = ~bad[doc]
-                held = np.unique(doc[keep] * len(ok) + at[keep])
-                size = seg["pairs"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                values, place = np.unique(seg["pairs"].flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-                begin, mine = np.cumsum(size) - size, held % len(ok)
-                linked = place[ragged(begin[mine], size[mine])]
-                both = np.unique(np.repeat(held // len(ok), size[mine]) * max(len(values), 1) + linked)
-                n = np.bincount(both % max(len(values), 1), minlength=len(values))
+                held = np.unique(doc[keep] * seg.n + at[keep])
+                values, place = np.unique(seg.pair, return_inverse=True)
+                most = max(len(values), 1)
+                mine = np.unique(seg.seg * most + place)  # each segment's pairs once
+                size = np.bincount(mine // most, minlength=seg.n)
+                begin, of = np.cumsum(size) - size, held % seg.n
+                n = np.zeros(len(values), np.int64)
+                cost = np.cumsum(size[of])
+                start = 0
+                while start < len(held):  # some documents at a time
+                    stop = max(start + 1, int(np.searchsorted(cost, (cost[start - 1] if start else 0) + (1 << 20), "right")))
+                    while stop < len(held) and held[stop] // seg.n == held[stop - 1] // seg.n:
+                        stop += 1
+                    part, which = held[start:stop] // seg.n, of[start:stop]
+                    both = np.unique(np.repeat(part, size[which]) * most + mine[ragged(begin[which], size[which])] % most)
+                    n += np.bincount(both % most, minlength=len(values))
+                    start = stop
                 some = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(values[some], pa.int64()), pa.array(n[some], pa.int64())], names=["pair", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), batch.column("chunk")[row].as_py()), pa.int64()), pa.array(values[some], pa.int64()), pa.array(n[some], pa.int64())], names=["chunk", "pair", "n"])
 
-    rows = _with_segments(chunks, aligned, ["ok", "pairs"], ["counts", "at"])
-    return rows.mapInArrow(lean(run), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return full.mapInArrow(lean(run), "chunk long, pair long, n long")
 
 
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
-def _composed(rows: DataFrame, kind: str) -> DataFrame:
-    """id, SUMS and groups of every document."""
+def _composed(full: DataFrame, kind: str, shared=None) -> DataFrame:
+    """id, SUMS and groups of every document. The pairs' counts are broadcast (shared: pair in order, n, best) or stand in
+    the chunk's row (column stats)."""
+
+    def counted(batch, row):
+        if shared is not None:
+            return shared.value
+        stats = batch.column("stats").slice(row, 1).flatten()
+        if not len(stats):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        pair, n, best = (x.to_numpy(zero_copy_only=False) for x in stats.flatten())
+        order = np.argsort(pair)
+        return pair[order], n[order], best[order]
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                ids = batch.column("ids").slice(row, 1).flatten()
-                counts, at = (batch.column(c).slice(row, 1).flatten().to_numpy(zero_copy_only=False) for c in ("counts", "at"))
+                ids, counts, at, seg = _chunk_row(batch, row)
                 sums, said = {x: np.zeros(len(counts), np.int64) for x in SUMS}, [""] * len(counts)
-                if len(at):
-                    seg = _columns(batch.column("found").slice(row, 1))
+                if seg is not None:
+                    pair, n, best = counted(batch, row)
+                    place = np.minimum(np.searchsorted(pair, seg.pair), max(len(pair) - 1, 0))
+                    real = pair[place] == seg.pair if len(pair) else np.zeros(len(seg.pair), bool)  # others are in no document that counts
+                    some = place[real]
+                    add = lambda w: np.bincount(seg.seg[real], weights=w, minlength=seg.n).astype(np.int64)
+                    own = {**seg.sizes, "n_best": add(seg.times[real] * best[some]), "count_sum": add(seg.times[real] * n[some])}
                     bounds = np.r_[0, np.cumsum(counts)]
                     total = lambda x: np.diff(np.r_[0, np.cumsum(x[at])][bounds])
-                    good = total((~seg["ok"].to_numpy(zero_copy_only=False)).astype(np.int64)) == 0
-                    for x in SUMS:
-                        sums[x] = np.where(good, total(seg[x].to_numpy(zero_copy_only=False).astype(np.int64)), 0)
-                    texts = np.array(seg["groups"].to_pylist(), object)
+                    good = total((~seg.ok).astype(np.int64)) == 0
+                    sums = {x: np.where(good, total(own[x]), 0) for x in SUMS}
+                    texts = seg.texts().__getitem__
                     for i in np.flatnonzero(good & (counts > 0)).tolist():
-                        said[i] = ";".join(texts[at[bounds[i] : bounds[i + 1]]].tolist())
+                        said[i] = ";".join(map(texts, at[bounds[i] : bounds[i + 1]].tolist()))
                 step = max(1, len(ids) // 8)
                 for a in range(0, len(ids), step):
                     cut = slice(a, a + step)
                     yield pa.RecordBatch.from_arrays([ids.slice(a, step), *(pa.array(sums[x][cut]) for x in SUMS), pa.array(said[cut], pa.string())], names=["id", *SUMS, "groups"])
 
-    return rows.mapInArrow(lean(run), f"id {kind}, {', '.join(f'{x} long' for x in SUMS)}, groups string")
+    return full.mapInArrow(lean(run), f"id {kind}, {', '.join(f'{x} long' for x in SUMS)}, groups string")
 
 
-def align_tokenizers(docs: DataFrame, first_path: str, second_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def align_tokenizers(docs: DataFrame, first_path: str, second_path: str, id_col: str = "doc_id", text_col: str = "text", most_pairs: int = MAX_PAIRS) -> DataFrame:
     """Aligns the tokens of a byte-level tokenizer (of a space and the text) and a sentencepiece one (of the text, to
     which it adds the space) in every whole text: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups.
 
@@ -260,18 +355,23 @@ def align_tokenizers(docs: DataFrame, first_path: str, second_path: str, id_col:
     _pair(spec, model)  # raises here if the tokenizers do not allow the cuts
     spec, model = spark.sparkContext.broadcast(spec), spark.sparkContext.broadcast(model)
     chunks = stash(_chunks(docs, id_col, text_col), "align-chunks")
-    segs = chunks.select(F.explode("segs").alias("seg")).distinct()
-    aligned = stash(_aligned(segs, spec, model).withColumn("sid", F.monotonically_increasing_id()), "align-segments")
-    pairs = stash(_pairs_in_documents(chunks, aligned), "align-counts")
-    top = pairs.groupBy(F.expr("shiftright(pair, 32)").alias("a")).agg(F.max("n").alias("top"))
-    ranked = stash(pairs.join(top, F.expr("shiftright(pair, 32)") == F.col("a")).select("pair", "n", (F.col("n") == F.col("top")).alias("best")), "align-pairs")
-    unstash(pairs)
-    links = aligned.where("ok").select("sid", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("sid", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
-    scored = links.join(ranked, "pair").groupBy("sid").agg(F.sum(F.col("times") * F.col("n")).alias("count_sum"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"))
-    n_links = F.aggregate("times", F.lit(0).cast("long"), lambda s, x: s + x)
-    full = aligned.join(scored.withColumnRenamed("sid", "__sid"), F.col("sid") == F.col("__sid"), "left")
-    full = full.select("seg", "ok", "n_a", "n_b", "n_groups", n_links.alias("n_links"), *(F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("n_best", "count_sum")), "groups")
-    out = _composed(_with_segments(chunks, full, ["ok", *SUMS, "groups"], ["ids", "counts", "at"]), kind)
+    found = _aligned(chunks, spec, model).groupBy(F.col("chunk").alias("__chunk")).agg(F.collect_list(F.struct("pos", "code")).alias("found"))
+    full = stash(chunks.select("chunk", "ids", "counts", "at").join(found, F.col("chunk") == F.col("__chunk"), "left").drop("__chunk"), "align-documents")
+    unstash(chunks)
+    parts = _pairs_in_documents(full)
+    pairs = stash(parts.groupBy("pair").agg(F.sum("n").alias("n")), "align-counts")
+    first = F.expr("shiftright(pair, 32)")
+    top = pairs.groupBy(first.alias("a")).agg(F.max("n").alias("top"))
+    ranked = pairs.join(top, first == F.col("a")).select("pair", "n", (F.col("n") == F.col("top")).alias("best"))
+    if pairs.count() <= most_pairs:
+        known = ranked.toArrow()
+        order = np.argsort(known["pair"].to_numpy())
+        shared = spark.sparkContext.broadcast(tuple(known[c].to_numpy()[order] for c in ("pair", "n", "best")))
+        out = _composed(full, kind, shared)
+    else:  # a chunk's pairs are bounded by its size
+        asked = parts.select("chunk", F.col("pair").alias("__pair")).join(ranked, F.col("__pair") == F.col("pair"))
+        stats = asked.groupBy(F.col("chunk").alias("__chunk")).agg(F.collect_list(F.struct("pair", "n", "best")).alias("stats"))
+        out = _composed(full.join(stats, F.col("chunk") == F.col("__chunk"), "left").drop("__chunk"), kind)
     return out.withColumnRenamed("id", id_col)
 
 

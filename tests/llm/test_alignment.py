@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -56,16 +57,30 @@ def brute(texts):
     return out
 
 
-def run(df):
-    return A.align_tokenizers(df, public_tokenizers.path(A.BYTE_LEVEL), public_tokenizers.path(A.PIECES))
+def run(df, **more):
+    return A.align_tokenizers(df, public_tokenizers.path(A.BYTE_LEVEL), public_tokenizers.path(A.PIECES), **more)
 
 
 def test_against_whole_texts(spark):
     short = [t if t is None or len(t) < 8000 else t[:8000] for t in TEXTS]
     df = spark.createDataFrame([(i if i else None, t) for i, t in enumerate(short)], "doc_id long, text string").withColumn("chunk", F.lit(1)).withColumn("seg", F.lit("clash"))
     got = {r.doc_id or 0: tuple(r)[1:] for r in run(df.repartition(3)).collect()}
+    joined = {r.doc_id or 0: tuple(r)[1:] for r in run(df.repartition(3), most_pairs=10).collect()}  # counts joined, not broadcast
     for i, want in enumerate(brute(short)):
-        assert got[i] == want, short[i]
+        assert got[i] == joined[i] == want, short[i]
+
+
+def test_codes():
+    groups = [[([1, 2], [3])], None, [([70_000], [5, 6]), ([1], [2])], [([9] * 90, [8] * 80), ([4], [4])]]
+    seg = A.Aligned(pa.array([A._code(g) for g in groups], pa.binary()))
+    assert seg.ok.tolist() == [True, False, True, True]
+    assert seg.texts() == [";".join(f"{','.join(map(str, u))}|{','.join(map(str, v))}" for u, v in g or []) for g in groups]
+    for i, g in enumerate(groups):
+        want = Counter(p << 32 | q for u, v in g or [] for p in u for q in v)
+        got = Counter()
+        for p, t in zip(seg.pair[seg.seg == i].tolist(), seg.times[seg.seg == i].tolist()):
+            got[p] += t
+        assert got == want and seg.sizes["n_links"][i] == want.total()
 
 
 def test_repeated_ids_empty_table_and_long_text(spark):
