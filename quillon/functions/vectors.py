@@ -18,6 +18,10 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Numbers that a task holds at most before it hands its sums on.
+FLUSH = 1 << 22
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
@@ -42,19 +46,75 @@ def long_form(df: DataFrame, keys: Sequence[str], vector: str = "embedding") ->
     return df.select(*keys, F.posexplode(doubles(vector)).alias("pos", "x"))
 
 
+def vector_sums(df: DataFrame, keys: Sequence[str], vector: str = "embedding", normalise: bool = False) -> DataFrame:
+    """Component-wise sums by keys: keys, n (rows), own (the sum of the rows' squared norms), total (array<double>).
+
+    Tasks add up their rows first and hand on one array a key (and flush beyond FLUSH numbers, however many keys they
+    meet), so what is shuffled follows the keys, not the rows. normalise: of unit vectors; a zero vector stays zero and
+    adds nothing to own. Null vectors are left out; vectors of different lengths are an error;
+    no vectors give no rows."""
+    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    schema = ", ".join(x for x in (fields, "n long, own double, x array<double>") if x)
+
+    def partial(batches):
+        number: dict = {}
+        n = own = total = None
+        types: list = []
+
+        def flush():
+            m = len(number)
+            cols = list(zip(*number)) if keys else []
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * total.shape[1], pa.int32()), pa.array(total[:m].ravel()))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types)), pa.array(n[:m]), pa.array(own[:m]), cells], names=[*keys, "n", "own", "x"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            types = types or [b.schema.field(i).type for i in range(len(keys))]
+            lists = b.column(len(keys))
+            d = len(lists[0])
+            x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            if len(x) != d * len(lists) or (total is not None and total.shape[1] != d):
+                raise ValueError("vectors of different lengths")
+            x = x.reshape(len(lists), d)
+            if normalise:
+                size = np.linalg.norm(x, axis=1, keepdims=True)
+                x = x / np.where(size == 0, 1, size)
+            if total is None:
+                n, own, total = np.zeros(16, np.int64), np.zeros(16), np.zeros((16, d))
+            found = zip(*(b.column(i).to_pylist() for i in range(len(keys)))) if keys else iter([()] * len(lists))
+            code = np.fromiter((number.setdefault(k, len(number)) for k in found), np.int64, len(lists))
+            while len(number) > len(n):
+                n, own, total = np.r_[n, n * 0], np.r_[own, own * 0], np.r_[total, total * 0]
+            order = np.argsort(code, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(code[order]) > 0])
+            at = code[order][first]
+            n[at] += np.diff(np.r_[first, len(code)])
+            own[at] += np.add.reduceat((x * x).sum(1)[order], first)
+            total[at] += np.add.reduceat(x[order], first, axis=0)
+            if len(number) * d > FLUSH:
+                yield flush()
+                number.clear()
+                n[:], own[:], total[:] = 0, 0, 0
+        if number:
+            yield flush()
+
+    parts = df.where(F.col(vector).isNotNull()).select(*keys, doubles(vector).alias("x")).mapInArrow(partial, schema)
+    by_pos = parts.select(*keys, "n", "own", F.posexplode("x").alias("pos", "x")).groupBy(*keys, "pos").agg(F.sum("x").alias("s"), F.sum("n").alias("n"), F.sum("own").alias("own"))
+    grouped = by_pos.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("cells"), F.max("n").alias("n"), F.max("own").alias("own"))
+    return grouped.where("n IS NOT NULL").select(*keys, "n", "own", F.transform("cells", lambda c: c["s"]).alias("total"))
+
+
 def mean_vectors(df: DataFrame, keys: Sequence[str], vector: str = "embedding", out: str = "centroid") -> DataFrame:
-    """Component-wise mean by keys with the group's size `n`: partial sums by component, then one array a group."""
-    by_pos = long_form(df, keys, vector).groupBy(*keys, "pos").agg(F.avg("x").alias("m"), F.count("*").alias("c"))
-    grouped = by_pos.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("cells"), F.max("c").alias("n"))
-    return grouped.select(*keys, "n", F.transform("cells", lambda c: c["m"]).alias(out))
+    """Component-wise mean by keys with the group's size `n`."""
+    return vector_sums(df, keys, vector).select(*keys, "n", F.transform("total", lambda x: x / F.col("n")).alias(out))
 
 
 def unit_sums(df: DataFrame, keys: Sequence[str], vector: str = "embedding", out: str = "total") -> DataFrame:
-    """Sum of unit vectors by keys with `n`; the basis of pairwise means without pairs."""
-    units = df.select(*keys, unit(doubles(vector)).alias("u"))
-    by_pos = units.select(*keys, F.posexplode("u").alias("pos", "x")).groupBy(*keys, "pos").agg(F.sum("x").alias("s"), F.count("*").alias("c"))
-    grouped = by_pos.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("cells"), F.max("c").alias("n"))
-    return grouped.select(*keys, "n", F.transform("cells", lambda c: c["s"]).alias(out))
+    """Sum of unit vectors by keys with `n` and `own`, the number of vectors that are not zero: the sum of cosines of a
+    group's ordered pairs is |total|^2 - own, as a zero vector has cosine 0 even with itself."""
+    s = vector_sums(df, keys, vector, normalise=True)
+    return s.select(*keys, "n", F.round("own").alias("own"), F.col("total").alias(out))
 
 
 def gram(df: DataFrame, key: str | None = None, vector: str = "embedding", normalise: bool = False) -> DataFrame:

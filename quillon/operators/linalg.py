@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.vectors import doubles, gram
+from quillon.functions.vectors import doubles, gram, vector_sums
 
 
 def moments(df: DataFrame, vector: str = "embedding") -> tuple[int, np.ndarray, np.ndarray]:
@@ -40,6 +40,15 @@ def apply_affine(df: DataFrame, mean: np.ndarray, matrix: np.ndarray, vector: st
     return df.withColumn(out, run(doubles(vector)))
 
 
+def centre(df, vector="embedding") -> DataFrame:
+    """Rows with the mean of all taken away; from one pass of sums."""
+    total = vector_sums(df, [], vector).first()
+    if total is None:
+        return df
+    mean = np.array(total["total"]) / total["n"]
+    return apply_affine(df.where(F.col(vector).isNotNull()), mean, np.eye(len(mean)), vector)
+
+
 def whiten(df, components=None, normalise=True, vector="embedding") -> DataFrame:
     _, mean, cov = moments(df, vector)
     w, v = eigen(cov)

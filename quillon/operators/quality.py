@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.vectors import cosine_distance, dot, doubles, long_form, mean_vectors, norm, unit_sums
+from quillon.operators.similarity import mean_pair_cosine
 
 
 def norm_stats(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -29,19 +30,23 @@ def centroid_distance(df: DataFrame, id_col: str, vector: str = "embedding") ->
 
 
 def mean_of_means_distance(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
-    """Mean pairwise cosine distance of the groups' mean vectors, exactly: n, mean_distance."""
+    """Mean pairwise cosine distance of the groups' mean vectors, exactly: n, mean_distance. A mean that is zero has
+    distance 1 to all others; 0 below two groups."""
     means = mean_vectors(df, [key], vector).select(F.col("centroid").alias("v"))
     s, n = unit_sums(means, [], "v"), F.col("n").cast("double")
-    return s.select(F.col("n").cast("long").alias("n"), F.when(F.col("n") < 2, 0.0).otherwise(1 - (dot(F.col("total"), F.col("total")) - n) / (n * (n - 1))).alias("mean_distance"))
+    return s.select(F.col("n").cast("long").alias("n"), F.when(F.col("n") < 2, 0.0).otherwise(1 - mean_pair_cosine(F.col("total"), F.col("own"), n)).alias("mean_distance"))
 
 
 def separation(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
-    """intra (mean cosine of pairs within a class, over all such pairs), inter (of pairs across classes), gap and
-    ratio inter / intra (null unless intra > 0), from sums of unit vectors: no pair is made."""
-    s = unit_sums(df, [key], vector).select(F.col("n").cast("double").alias("n"), dot(F.col("total"), F.col("total")).alias("own"), "total")
-    per = s.agg(F.sum(F.col("own") - F.col("n")).alias("inside"), F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"), F.sum("own").alias("own"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    """intra (mean cosine of pairs within a class, over all such pairs, so a class counts by its pairs), inter (of pairs
+    across classes, likewise), gap and ratio inter / intra (null unless intra > 0), from sums of unit vectors: no pair is
+    made. Rows with a null class are left out; without a pair of the kind intra or inter is null."""
+    df = df.where(F.col(key).isNotNull())
+    s = unit_sums(df, [key], vector).select(F.col("n").cast("double").alias("n"), F.col("own").alias("nonzero"), dot(F.col("total"), F.col("total")).alias("own"))
+    per = s.agg(F.sum(F.col("own") - F.col("nonzero")).alias("inside"), F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"), F.sum("own").alias("own"), F.sum(F.col("n") * F.col("n")).alias("squares"))
     whole = unit_sums(df, [], vector).select(F.col("n").cast("double").alias("all_n"), dot(F.col("total"), F.col("total")).alias("all_own"))
-    out = per.join(F.broadcast(whole)).select((F.col("inside") / F.col("pairs")).alias("intra"), ((F.col("all_own") - F.col("own")) / (F.col("all_n") * F.col("all_n") - F.col("squares"))).alias("inter"))
+    across = F.col("all_n") * F.col("all_n") - F.col("squares")
+    out = per.join(F.broadcast(whole)).select(F.try_divide("inside", "pairs").alias("intra"), F.try_divide(F.col("all_own") - F.col("own"), across).alias("inter"))
     return out.select("intra", "inter", (F.col("intra") - F.col("inter")).alias("gap"), F.when(F.col("intra") > 0, F.col("inter") / F.col("intra")).alias("ratio"))
 
 
@@ -50,8 +55,15 @@ def angle_degrees(cosine: Column) -> Column:
 
 
 def hoeffding(n: Column, low: float = 0.0, high: float = 1.0, alpha: float = 0.05) -> Column:
-    """Half width of the two-sided Hoeffding interval of a mean of n values in [low, high], clipped to [0, 1]."""
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.sqrt(-F.log(F.lit(alpha / 2)) * (high - low) ** 2 / (2 * n))))
+    """Half width of the two-sided Hoeffding interval of a mean of n values in [low, high]; null without values."""
+    return F.sqrt(-F.log(F.lit(alpha / 2)) * (high - low) ** 2 / (2 * F.nullif(n, F.lit(0))))
+
+
+def hoeffding_bounds(mean: Column, n: Column, low: float = 0.0, high: float = 1.0, alpha: float = 0.05) -> tuple[Column, Column]:
+    """The interval's ends, clipped to [low, high]."""
+    e = hoeffding(n, low, high, alpha)
+    clip = lambda x: F.least(F.lit(high), F.greatest(F.lit(low), x))
+    return clip(mean - e), clip(mean + e)
 
 
 def component_by_period(df: DataFrame, period: str, periods: list, vector: str = "embedding") -> DataFrame:

@@ -61,11 +61,17 @@ def medoids(df: DataFrame, key: str, id_col: str, vector: str = "embedding", fur
     return scored.groupBy(key).agg(best.alias("b")).select(key, F.col("b.id").alias(id_col), F.col("b.sum_distance").alias("sum_distance"), F.col("b.embedding").alias("embedding"))
 
 
+def mean_pair_cosine(total, own, n):
+    """Mean cosine over all pairs of different rows, from a group's sum of unit vectors."""
+    return (dot(total, total) - own) / (n * (n - 1))
+
+
 def within_distance(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
-    """Mean pairwise cosine distance of each group: 1 - (|sum u|^2 - n) / (n (n - 1)); 0 below two rows."""
+    """Mean pairwise cosine distance of each group: 1 - (|sum u|^2 - own) / (n (n - 1)); 0 below two rows. A zero vector
+    has distance 1 to all others."""
     s = unit_sums(df, [key], vector)
-    n = F.col("n").cast("double")
-    return s.select(key, F.col("n").cast("long").alias("n"), F.when(F.col("n") < 2, 0.0).otherwise(1 - (dot(F.col("total"), F.col("total")) - n) / (n * (n - 1))).alias("mean_distance"))
+    mean = 1 - mean_pair_cosine(F.col("total"), F.col("own"), F.col("n").cast("double"))
+    return s.select(key, F.col("n").cast("long").alias("n"), F.when(F.col("n") < 2, 0.0).otherwise(mean).alias("mean_distance"))
 
 
 def between_distance(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
@@ -79,9 +85,11 @@ def cosine_stats(df: DataFrame, key: str | None, vector: str = "embedding") -> D
     """n_pairs, mean, population variance and std of pairwise cosines by group, from sums and Gram matrices:
     the sum of squared cosines of all ordered pairs is the squared Frobenius norm of the Gram matrix."""
     g = gram(df, key, vector, normalise=True).where("n > 1")
+    own = F.aggregate(F.sequence(F.lit(0), F.size("s") - 1), F.lit(0.0), lambda t, i: t + F.get("g", i * (F.size("s") + 1)))  # rows that are not zero
+    g = g.withColumn("own", F.round(own))
     pairs = F.col("n") * (F.col("n") - 1) / 2
-    mean = (dot(F.col("s"), F.col("s")) - F.col("n")) / 2 / pairs
-    square = (dot(F.col("g"), F.col("g")) - F.col("n")) / 2 / pairs
+    mean = (dot(F.col("s"), F.col("s")) - F.col("own")) / 2 / pairs
+    square = (dot(F.col("g"), F.col("g")) - F.col("own")) / 2 / pairs
     out = g.select(F.col("key"), pairs.cast("long").alias("n_pairs"), mean.alias("mean_cosine"), F.greatest(square - mean * mean, F.lit(0.0)).alias("var_cosine"))
     return out.withColumn("std_cosine", F.sqrt("var_cosine"))
 

@@ -167,16 +167,18 @@ def centroid_angle(spark, sf):
     return quality.centroid_distance(emb(spark, sf), "vec_id").select("vec_id", F.round(quality.angle_degrees(1 - F.col("distance")), 4).alias("angle"))
 
 
-@query(f"WITH {MV} SELECT year, count(*) AS n, round(least(1, greatest(0, sqrt(-ln(0.025) / (2 * count(*))))), 6) AS epsilon FROM mv GROUP BY year")
+@query(f"WITH {MV}, y AS (SELECT year, count(*) AS n, avg(CASE WHEN n_chars > 1500 THEN 1.0 ELSE 0.0 END) AS m, sqrt(-ln(0.025) / (2 * count(*))) AS e FROM mv GROUP BY year) SELECT year, n, round(m, 6) AS mean, round(least(1, greatest(0, m - e)), 6) AS low, round(least(1, greatest(0, m + e)), 6) AS high FROM y")
 def hoeffding_by_year(spark, sf):
-    n = movies(spark, sf).groupBy("year").agg(F.count("*").alias("n"))
-    return r6(n.withColumn("epsilon", quality.hoeffding(F.col("n"))), "epsilon")
+    """The yearly share of long plots with both ends of its Hoeffding interval."""
+    n = movies(spark, sf).groupBy("year").agg(F.count("*").alias("n"), F.avg((F.col("n_chars") > 1500).cast("double")).alias("mean"))
+    low, high = quality.hoeffding_bounds(F.col("mean"), F.col("n"))
+    return r6(n.select("year", "n", "mean", low.alias("low"), high.alias("high")), "mean", "low", "high")
 
 
-@query(f"WITH {EM}, {ALL_MEAN}, y AS (SELECT vec_id, unnest(v) v, generate_subscripts(v, 1) pos FROM e) SELECT y.vec_id, CAST(y.pos - 1 AS INT) AS pos, round(y.v - c.m, 6) + 0.0 AS x FROM y JOIN c USING (pos) WHERE y.vec_id < 50")
+@query(f"WITH {EM}, {ALL_MEAN}, y AS (SELECT vec_id, unnest(v) v, generate_subscripts(v, 1) pos FROM e) SELECT y.vec_id, CAST(y.pos - 1 AS INT) AS pos, round(y.v - c.m, 6) + 0.0 AS x FROM y JOIN c USING (pos)")
 def mean_centred(spark, sf):
     mean = V.mean_vectors(emb(spark, sf), []).select("centroid")
-    e = emb(spark, sf).where("vec_id < 50").join(F.broadcast(mean)).select("vec_id", V.subtract(V.doubles("embedding"), F.col("centroid")).alias("embedding"))
+    e = emb(spark, sf).join(F.broadcast(mean)).select("vec_id", V.subtract(V.doubles("embedding"), F.col("centroid")).alias("embedding"))
     return r6(V.long_form(e, ["vec_id"]).withColumn("pos", F.col("pos").cast("int")), "x")
 
 
