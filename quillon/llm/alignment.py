@@ -32,7 +32,9 @@ from quillon.llm.common import lean, slices, stash, table, text_bytes, unstash
 from quillon.llm.kernels import piece_hashes, ragged, segments
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-CHUNK = 4 << 20  # bytes of text in a chunk; a longer document is one alone
+CHUNK_BYTES, CHUNK_SEGMENTS = 32 << 20, 300_000  # a chunk ends beyond either; a longer document is one alone
+SLICE = 1 << 20  # bytes or segments that are worked on at once inside a chunk
+BLOB = 100_000  # alignments that a task packs at once
 MAX_PAIRS = 2_000_000  # id pairs whose counts are broadcast (17 bytes each); beyond it they are joined to the chunks
 WIDE = 4096  # links of a group above which its distinct ids are paired instead of all its tokens
 
@@ -98,38 +100,94 @@ def _pair(spec: str, model: bytes) -> Pair:
     return Pair(spec, model)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Small numbers, compressed: their low bytes, then the next ones."""
+    planes = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    raw = b"".join((x >> 8 * k).astype(np.uint8).tobytes() for k in range(planes))
+    return bytes([planes]) + zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    out = planes[0].astype(np.int32)
+    for k in range(1, len(planes)):
+        out |= planes[k].astype(np.int32) << 8 * k
+    return out
+
+
+class Dictionary:
+    """A chunk's distinct segments, numbered as they come, found by 64-bit hashes and compared by their bytes."""
+
+    def __init__(self):
+        self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.begin, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint8)
+
+    def look_up(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        keys, pick, back = np.unique(piece_hashes(text, starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == keys[at < len(self.keys)]
+        new = np.flatnonzero(~known)
+        numbers = self.add(text, starts[pick[new]], ends[pick[new]])
+        self.keys, self.number = np.insert(self.keys, at[new], keys[new]), np.insert(self.number, at[new], numbers)
+        out = self.number[np.searchsorted(self.keys, keys)][back]
+        length = ends - starts
+        odd = length != self.length[out]
+        some = np.flatnonzero(~odd)
+        wrong = np.flatnonzero(text[ragged(starts[some], length[some])] != self.flat[ragged(self.begin[out[some]], length[some])])
+        odd[some[np.searchsorted(np.cumsum(length[some]), wrong, "right")]] = True
+        odd = np.flatnonzero(odd)  # segments that only share another's hash stand by themselves
+        if len(odd):
+            out[odd] = self.add(text, starts[odd], ends[odd])
+        return out
+
+    def add(self, text, starts, ends) -> np.ndarray:
+        length, first = ends - starts, len(self.length)
+        self.begin = np.r_[self.begin, len(self.flat) + np.cumsum(length) - length]
+        self.length = np.r_[self.length, length]
+        self.flat = np.r_[self.flat, text[ragged(starts, length)]]
+        return np.arange(first, first + len(starts))
+
+
 def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """chunk, ids, counts (segments of each document), at (the segments' places among segs), segs (distinct)."""
+    """chunk, ids, counts (segments of each document), at (the segments' places among segs), segs (distinct, the most
+    frequent first)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         n = TaskContext.get().partitionId() << 32
+        ids, counts, at, size, known = [], [], [], 0, Dictionary()
+
+        def chunk():
+            where = np.concatenate(at) if at else np.zeros(0, np.int64)
+            rank = np.argsort(-np.bincount(where, minlength=len(known.length)), kind="stable")
+            place = np.empty(len(rank), np.int64)
+            place[rank] = np.arange(len(rank))
+            flat = known.flat[ragged(known.begin[rank], known.length[rank])]
+            segs = pa.StringArray.from_buffers(len(rank), pa.py_buffer(np.r_[0, np.cumsum(known.length[rank])].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat)))
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), one(pa.concat_arrays(ids)), one(pa.array(np.concatenate(counts), pa.int32())), pa.array([_packed(place[where])], pa.binary()), one(segs)], names=["chunk", "ids", "counts", "at", "segs"])
+
         for batch in batches:
             data, off = text_bytes(batch.column(1))
-            for lo, hi in slices(off, CHUNK):
-                size = np.diff(off[lo : hi + 1])
-                begins = (off[lo:hi] - off[lo])[size > 0]
+            for lo, hi in slices(off, SLICE):
+                length = np.diff(off[lo : hi + 1])
+                begins = (off[lo:hi] - off[lo])[length > 0]
                 text = np.insert(data[off[lo] : off[hi]], begins, np.uint8(32))
-                bounds = np.r_[0, np.cumsum(size + (size > 0))]
-                starts = segments(text, bounds[:-1][size > 0]) if len(text) else np.zeros(0, np.int64)
-                ends = np.r_[starts[1:], len(text)] if len(starts) else starts
-                _, pick, at = np.unique(piece_hashes(text, starts, ends), return_index=True, return_inverse=True)
-                at = at.astype(np.int32)
-                length, same = ends - starts, pick[at]
-                odd = length != length[same]
-                some = np.flatnonzero(~odd)
-                wrong = np.flatnonzero(text[ragged(starts[some], length[some])] != text[ragged(starts[same[some]], length[some])])
-                odd[some[np.searchsorted(np.cumsum(length[some]), wrong, "right")]] = True
-                odd = np.flatnonzero(odd)  # segments that only share another's hash stand by themselves
-                at[odd] = len(pick) + np.arange(len(odd))
-                pick = np.r_[pick, odd]
-                flat = text[ragged(starts[pick], length[pick])]
-                segs = pa.StringArray.from_buffers(len(pick), pa.py_buffer(np.r_[0, np.cumsum(length[pick])].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat)))
-                counts = np.diff(np.searchsorted(starts, bounds))
-                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                packed = zstandard.ZstdCompressor(level=1).compress(at.astype(np.uint16 if len(pick) <= 1 << 16 else np.int32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), one(batch.column(0).slice(lo, hi - lo)), one(pa.array(counts, pa.int32())), pa.array([packed], pa.binary()), one(segs)], names=["chunk", "ids", "counts", "at", "segs"])
-                n += 1
+                bounds = np.r_[0, np.cumsum(length + (length > 0))]
+                starts = segments(text, bounds[:-1][length > 0]) if len(text) else np.zeros(0, np.int64)
+                if len(starts):
+                    at.append(known.look_up(text, starts, np.r_[starts[1:], len(text)]))
+                ids.append(batch.column(0).slice(lo, hi - lo))
+                counts.append(np.diff(np.searchsorted(starts, bounds)))
+                size += len(text)
+                if size > CHUNK_BYTES or len(known.length) > CHUNK_SEGMENTS:
+                    yield chunk()
+                    n += 1
+                    ids, counts, at, size, known = [], [], [], 0, Dictionary()
+        if ids:
+            yield chunk()
 
     schema = f"chunk long, ids array<{kind}>, counts array<int>, at binary, segs array<string>"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), schema)
@@ -150,31 +208,53 @@ def _code(groups: list | None) -> bytes:
 
 
 def _aligned(chunks: DataFrame, spec, model) -> DataFrame:
-    """chunk, pos, code: the alignment of each chunk's segments. Equal segments meet in one task in a row and are
-    tokenized once; a segment has one row a chunk at most, so none is a large part of all."""
+    """chunk, blob: alignments of a chunk's segments (their places, code lengths and codes, compressed). Equal segments
+    meet in one task in a row and are tokenized once; a segment has one row a chunk at most, so none is a large part of
+    all. What a task has for a chunk is packed together, BLOB segments at a time."""
 
     def run(batches):
         pair, last = _pair(spec.value, model.value), (None, b"")
+        chunk, pos, codes = [], [], []
+
+        def blobs():
+            of, at, every = np.concatenate(chunk), np.concatenate(pos), np.array(codes, object)
+            order = np.argsort(of, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, np.diff(of[order]) != 0, True]).tolist()
+            out = []
+            for a, b in zip(cuts, cuts[1:]):
+                mine = order[a:b]
+                mine = mine[np.argsort(at[mine])]
+                parts = every[mine].tolist()
+                raw = b"".join([np.array([b - a], "<i4").tobytes(), at[mine].astype("<i4").tobytes(), np.fromiter(map(len, parts), "<i4", b - a).tobytes(), *parts])
+                out.append(zstandard.ZstdCompressor(level=3).compress(raw))
+            return pa.RecordBatch.from_arrays([pa.array(of[order[cuts[:-1]]], pa.int64()), pa.array(out, pa.binary())], names=["chunk", "blob"])
+
         for batch in batches:
             segs = batch.column(2).dictionary_encode()
             texts = segs.dictionary.to_pylist()
             known = [last[1]] if texts and texts[0] == last[0] else []
             new = texts[len(known) :]
-            codes = known + [_code(pair.align(t, a, b)) for t, (a, b) in zip(new, pair.encode(new) if new else [])]
+            found = known + [_code(pair.align(t, a, b)) for t, (a, b) in zip(new, pair.encode(new) if new else [])]
             if texts:
-                last = texts[-1], codes[-1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.binary()).take(segs.indices)], names=["chunk", "pos", "code"])
+                last = texts[-1], found[-1]
+                chunk.append(batch.column(0).to_numpy())
+                pos.append(batch.column(1).to_numpy())
+                codes += [found[i] for i in segs.indices.to_pylist()]
+            if len(codes) >= BLOB:
+                yield blobs()
+                chunk, pos, codes = [], [], []
+        if codes:
+            yield blobs()
 
     asked = chunks.select("chunk", F.posexplode("segs").alias("pos", "seg"))
-    return asked.repartition("seg").sortWithinPartitions("seg").mapInArrow(lean(run), "chunk long, pos int, code binary")
+    return asked.repartition("seg").sortWithinPartitions("seg").mapInArrow(lean(run), "chunk long, blob binary")
 
 
 class Aligned:
     """A chunk's segments from their codes: ok, n_a, n_b, n_groups, n_links of each; the linked id pairs of all of them
     (pair, seg, times); texts() for their groups as strings."""
 
-    def __init__(self, codes: pa.Array):
-        raw = codes.to_pylist()
+    def __init__(self, raw: list[bytes]):
         n = len(raw)
         self.ok = np.array([bool(c) for c in raw], bool)
         self.sizes = {x: np.zeros(n, np.int64) for x in ("n_a", "n_b", "n_groups", "n_links")}
@@ -243,15 +323,33 @@ class Aligned:
 
 
 def _chunk_row(batch: pa.RecordBatch, row: int) -> tuple[pa.Array, np.ndarray, np.ndarray, Aligned | None]:
-    """ids, counts, the documents' segments in order, and the segments of a chunk."""
+    """ids, where the documents' segments begin, the segments in order, and the chunk's distinct ones."""
     ids, counts = batch.column("ids").slice(row, 1).flatten(), batch.column("counts").slice(row, 1).flatten().to_numpy(zero_copy_only=False)
-    found = batch.column("found").slice(row, 1).flatten()
-    if not len(found):
-        return ids, counts, np.zeros(0, np.int64), None
-    pos, codes = found.flatten()
-    codes = codes.take(pa.array(np.argsort(pos.to_numpy(), kind="stable")))
-    at = np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column("at")[row].as_py()), np.uint16 if len(codes) <= 1 << 16 else np.int32).astype(np.int64)
-    return ids, counts, at, Aligned(codes)
+    bounds, at = np.r_[0, np.cumsum(counts)], _unpacked(batch.column("at")[row].as_py())
+    codes: list = [b""] * (int(at.max()) + 1 if len(at) else 0)
+    for blob in batch.column("found").slice(row, 1).flatten().to_pylist():
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        n = int.from_bytes(raw[:4], "little")
+        pos, length = np.frombuffer(raw, "<i4", n, 4), np.frombuffer(raw, "<i4", n, 4 + 4 * n)
+        ends = (4 + 8 * n + np.cumsum(length)).tolist()
+        for p, a, b in zip(pos.tolist(), [4 + 8 * n, *ends], ends):
+            codes[p] = raw[a:b]
+    return ids, bounds, at, Aligned(codes) if codes else None
+
+
+def _some_documents(bounds: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of documents of about SLICE segments each."""
+    out, a, n = [], 0, len(bounds) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + SLICE, "right")) - 1)
+        out.append((a, min(b, n)))
+        a = out[-1][1]
+    return out
+
+
+def _good(seg: Aligned, at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Documents all of whose segments both tokenizers leave as they are."""
+    return np.diff(np.r_[0, np.cumsum(~seg.ok[at])][bounds - bounds[0]]) == 0
 
 
 def _pairs_in_documents(full: DataFrame) -> DataFrame:
@@ -260,30 +358,29 @@ def _pairs_in_documents(full: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                _, counts, at, seg = _chunk_row(batch, row)
+                _, bounds, at, seg = _chunk_row(batch, row)
                 if seg is None:
                     continue
-                doc = np.repeat(np.arange(len(counts)), counts)
-                bad = np.zeros(len(counts), bool)
-                bad[doc[~seg.ok[at]]] = True
-                keep = ~bad[doc]
-                held = np.unique(doc[keep] * seg.n + at[keep])
                 values, place = np.unique(seg.pair, return_inverse=True)
                 most = max(len(values), 1)
                 mine = np.unique(seg.seg * most + place)  # each segment's pairs once
                 size = np.bincount(mine // most, minlength=seg.n)
-                begin, of = np.cumsum(size) - size, held % seg.n
-                n = np.zeros(len(values), np.int64)
-                cost = np.cumsum(size[of])
-                start = 0
-                while start < len(held):  # some documents at a time
-                    stop = max(start + 1, int(np.searchsorted(cost, (cost[start - 1] if start else 0) + (1 << 20), "right")))
-                    while stop < len(held) and held[stop] // seg.n == held[stop - 1] // seg.n:
-                        stop += 1
-                    part, which = held[start:stop] // seg.n, of[start:stop]
-                    both = np.unique(np.repeat(part, size[which]) * most + mine[ragged(begin[which], size[which])] % most)
-                    n += np.bincount(both % most, minlength=len(values))
-                    start = stop
+                begin, n = np.cumsum(size) - size, np.zeros(len(values), np.int64)
+                mine = (mine % most).astype(np.int32)
+                for a, b in _some_documents(bounds):
+                    here = at[bounds[a] : bounds[b]]
+                    doc = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
+                    keep = _good(seg, here, bounds[a : b + 1])[doc]
+                    held = np.unique(doc[keep] * seg.n + here[keep])
+                    cost, start = np.cumsum(size[held % seg.n]), 0
+                    while start < len(held):
+                        stop = max(start + 1, int(np.searchsorted(cost, (cost[start - 1] if start else 0) + (1 << 20), "right")))
+                        while stop < len(held) and held[stop] // seg.n == held[stop - 1] // seg.n:
+                            stop += 1
+                        part, which = held[start:stop] // seg.n, held[start:stop] % seg.n
+                        both = np.unique(np.repeat(part, size[which]) * most + mine[ragged(begin[which], size[which])])
+                        n += np.bincount(both % most, minlength=len(values))
+                        start = stop
                 some = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), batch.column("chunk")[row].as_py()), pa.int64()), pa.array(values[some], pa.int64()), pa.array(n[some], pa.int64())], names=["chunk", "pair", "n"])
 
@@ -310,26 +407,28 @@ def _composed(full: DataFrame, kind: str, shared=None) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, counts, at, seg = _chunk_row(batch, row)
-                sums, said = {x: np.zeros(len(counts), np.int64) for x in SUMS}, [""] * len(counts)
+                ids, bounds, at, seg = _chunk_row(batch, row)
+                own: dict = {}
                 if seg is not None:
                     pair, n, best = counted(batch, row)
                     place = np.minimum(np.searchsorted(pair, seg.pair), max(len(pair) - 1, 0))
                     real = pair[place] == seg.pair if len(pair) else np.zeros(len(seg.pair), bool)  # others are in no document that counts
-                    some = place[real]
                     add = lambda w: np.bincount(seg.seg[real], weights=w, minlength=seg.n).astype(np.int64)
-                    own = {**seg.sizes, "n_best": add(seg.times[real] * best[some]), "count_sum": add(seg.times[real] * n[some])}
-                    bounds = np.r_[0, np.cumsum(counts)]
-                    total = lambda x: np.diff(np.r_[0, np.cumsum(x[at])][bounds])
-                    good = total((~seg.ok).astype(np.int64)) == 0
-                    sums = {x: np.where(good, total(own[x]), 0) for x in SUMS}
-                    texts = seg.texts().__getitem__
-                    for i in np.flatnonzero(good & (counts > 0)).tolist():
-                        said[i] = ";".join(map(texts, at[bounds[i] : bounds[i + 1]].tolist()))
-                step = max(1, len(ids) // 8)
-                for a in range(0, len(ids), step):
-                    cut = slice(a, a + step)
-                    yield pa.RecordBatch.from_arrays([ids.slice(a, step), *(pa.array(sums[x][cut]) for x in SUMS), pa.array(said[cut], pa.string())], names=["id", *SUMS, "groups"])
+                    own = {**seg.sizes, "n_best": add(seg.times[real] * best[place[real]]), "count_sum": add(seg.times[real] * n[place[real]])}
+                    del pair, n, best, place, real
+                    seg.pair = seg.seg = seg.times = None
+                    texts = seg.texts()
+                for a, b in _some_documents(bounds):
+                    here, ends = at[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
+                    sums, said = {x: np.zeros(b - a, np.int64) for x in SUMS}, [""] * (b - a)
+                    if len(here):
+                        good = _good(seg, here, bounds[a : b + 1])
+                        sums = {x: np.where(good, np.diff(np.r_[0, np.cumsum(own[x][here])][ends]), 0) for x in SUMS}
+                        for i in np.flatnonzero(good & (np.diff(ends) > 0)).tolist():
+                            said[i] = ";".join(map(texts.__getitem__, here[ends[i] : ends[i + 1]].tolist()))
+                    step = max(1, (b - a) // 8)
+                    for k in range(0, b - a, step):
+                        yield pa.RecordBatch.from_arrays([ids.slice(a + k, min(step, b - a - k)), *(pa.array(sums[x][k : k + step]) for x in SUMS), pa.array(said[k : k + step], pa.string())], names=["id", *SUMS, "groups"])
 
     return full.mapInArrow(lean(run), f"id {kind}, {', '.join(f'{x} long' for x in SUMS)}, groups string")
 
@@ -346,6 +445,7 @@ def align_tokenizers(docs: DataFrame, first_path: str, second_path: str, id_col:
     Null and empty texts, and texts that either tokenizer changes (a literal U+2581), have no tokens: zeros and empty
     groups. Ids may be null or repeated: each row is a document. An empty table gives no rows; other columns are not
     read. Very long texts are chunks by themselves. Equal segments are told by their bytes.
+    A chunk's row is bounded by CHUNK_BYTES and CHUNK_SEGMENTS or by one document.
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     with open(second_path, "rb") as f:
@@ -355,7 +455,7 @@ def align_tokenizers(docs: DataFrame, first_path: str, second_path: str, id_col:
     _pair(spec, model)  # raises here if the tokenizers do not allow the cuts
     spec, model = spark.sparkContext.broadcast(spec), spark.sparkContext.broadcast(model)
     chunks = stash(_chunks(docs, id_col, text_col), "align-chunks")
-    found = _aligned(chunks, spec, model).groupBy(F.col("chunk").alias("__chunk")).agg(F.collect_list(F.struct("pos", "code")).alias("found"))
+    found = _aligned(chunks, spec, model).groupBy(F.col("chunk").alias("__chunk")).agg(F.collect_list("blob").alias("found"))
     full = stash(chunks.select("chunk", "ids", "counts", "at").join(found, F.col("chunk") == F.col("__chunk"), "left").drop("__chunk"), "align-documents")
     unstash(chunks)
     parts = _pairs_in_documents(full)

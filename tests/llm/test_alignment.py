@@ -1,8 +1,8 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
-import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -70,9 +70,18 @@ def test_against_whole_texts(spark):
         assert got[i] == joined[i] == want, short[i]
 
 
+def test_packed_numbers_and_dictionary():
+    for x in ([], [0], [255, 256, 1], [70_000, 3, 1 << 24]):
+        assert A._unpacked(A._packed(np.array(x, np.int64))).tolist() == x
+    known, text = A.Dictionary(), np.frombuffer(b" ab cd ab x cd", np.uint8)
+    cuts = np.array([0, 3, 6, 9, 11, 14])
+    assert known.look_up(text, cuts[:-1], cuts[1:]).tolist()[0] == known.look_up(text, cuts[2:3], cuts[3:4]).tolist()[0]
+    assert len(known.length) == 3
+
+
 def test_codes():
     groups = [[([1, 2], [3])], None, [([70_000], [5, 6]), ([1], [2])], [([9] * 90, [8] * 80), ([4], [4])]]
-    seg = A.Aligned(pa.array([A._code(g) for g in groups], pa.binary()))
+    seg = A.Aligned([A._code(g) for g in groups])
     assert seg.ok.tolist() == [True, False, True, True]
     assert seg.texts() == [";".join(f"{','.join(map(str, u))}|{','.join(map(str, v))}" for u, v in g or []) for g in groups]
     for i, g in enumerate(groups):
