@@ -13,6 +13,7 @@ composed from them. Chunks also say how many of their documents hold each id pai
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -28,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import byte_letters, tokenizer_path
-from quillon.llm.common import lean, slices, stash, table, text_bytes, unstash
+from quillon.llm.common import lean, slices, stash, table, text_bytes
 from quillon.llm.kernels import piece_hashes, ragged, segments
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-CHUNK_BYTES, CHUNK_SEGMENTS = 32 << 20, 300_000  # a chunk ends beyond either; a longer document is one alone
+CHUNK_BYTES, CHUNK_SEGMENTS = 32 << 20, 200_000  # a chunk ends beyond either; a longer document is one alone
 SLICE = 1 << 20  # bytes or segments that are worked on at once inside a chunk
 BLOB = 100_000  # alignments that a task packs at once
 MAX_PAIRS = 2_000_000  # id pairs whose counts are broadcast (17 bytes each); beyond it they are joined to the chunks
@@ -222,8 +223,7 @@ def _aligned(chunks: DataFrame, spec, model) -> DataFrame:
             cuts = np.flatnonzero(np.r_[True, np.diff(of[order]) != 0, True]).tolist()
             out = []
             for a, b in zip(cuts, cuts[1:]):
-                mine = order[a:b]
-                mine = mine[np.argsort(at[mine])]
+                mine = order[a:b]  # in the segments' own order, in which neighbours have much in common
                 parts = every[mine].tolist()
                 raw = b"".join([np.array([b - a], "<i4").tobytes(), at[mine].astype("<i4").tobytes(), np.fromiter(map(len, parts), "<i4", b - a).tobytes(), *parts])
                 out.append(zstandard.ZstdCompressor(level=3).compress(raw))
@@ -283,14 +283,14 @@ class Aligned:
             x = flat[np.repeat(at[some], size) + k // width]
             y = flat[np.repeat(at[some] + la[some], size) + k % width]
             pairs.append(x << 32 | y)
-            segs.append(np.repeat(mine[seg[some]], size))
+            segs.append(np.repeat(mine[seg[some]].astype(np.int32), size))
             times.append(np.ones(len(x), np.int64))
             for g in np.flatnonzero(la * lb > WIDE).tolist():
                 x, cx = np.unique(flat[at[g] : at[g] + la[g]], return_counts=True)
                 y, cy = np.unique(flat[at[g] + la[g] : at[g] + la[g] + lb[g]], return_counts=True)
                 pairs.append((x[:, None] << 32 | y[None]).ravel())
                 times.append((cx[:, None] * cy[None]).ravel())
-                segs.append(np.full(len(pairs[-1]), mine[seg[g]]))
+                segs.append(np.full(len(pairs[-1]), mine[seg[g]], np.int32))
             self.parts.append((flat, mine, first, groups, la, lb, at, seg))
         join = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
         self.pair, self.seg, self.times = join(pairs), join(segs), join(times)
@@ -363,7 +363,8 @@ def _pairs_in_documents(full: DataFrame) -> DataFrame:
                     continue
                 values, place = np.unique(seg.pair, return_inverse=True)
                 most = max(len(values), 1)
-                mine = np.unique(seg.seg * most + place)  # each segment's pairs once
+                mine = np.unique(seg.seg.astype(np.int64) * most + place)  # each segment's pairs once
+                seg.pair = seg.seg = seg.times = place = None
                 size = np.bincount(mine // most, minlength=seg.n)
                 begin, n = np.cumsum(size) - size, np.zeros(len(values), np.int64)
                 mine = (mine % most).astype(np.int32)
@@ -387,6 +388,12 @@ def _pairs_in_documents(full: DataFrame) -> DataFrame:
     return full.mapInArrow(lean(run), "chunk long, pair long, n long")
 
 
+def _forget_shuffles(spark) -> None:
+    """Shuffle files of steps whose results are written go when the driver's JVM collects their handles: let it do so now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
@@ -454,12 +461,17 @@ def align_tokenizers(docs: DataFrame, first_path: str, second_path: str, id_col:
         spec = f.read()
     _pair(spec, model)  # raises here if the tokenizers do not allow the cuts
     spec, model = spark.sparkContext.broadcast(spec), spark.sparkContext.broadcast(model)
-    chunks = stash(_chunks(docs, id_col, text_col), "align-chunks")
-    found = _aligned(chunks, spec, model).groupBy(F.col("chunk").alias("__chunk")).agg(F.collect_list("blob").alias("found"))
-    full = stash(chunks.select("chunk", "ids", "counts", "at").join(found, F.col("chunk") == F.col("__chunk"), "left").drop("__chunk"), "align-documents")
-    unstash(chunks)
-    parts = _pairs_in_documents(full)
-    pairs = stash(parts.groupBy("pair").agg(F.sum("n").alias("n")), "align-counts")
+    both = stash(_chunks(docs, id_col, text_col), "align-chunks")
+    chunks, asked = both.select("chunk", "ids", "counts", "at"), both.select("chunk", "segs")
+    blobs = stash(_aligned(asked, spec, model), "align-segments")
+    _forget_shuffles(spark)
+
+    def full():
+        found = blobs.groupBy(F.col("chunk").alias("__chunk")).agg(F.collect_list("blob").alias("found"))
+        return chunks.join(found, F.col("chunk") == F.col("__chunk"), "left").drop("__chunk")
+
+    pairs = stash(_pairs_in_documents(full()).groupBy("pair").agg(F.sum("n").alias("n")), "align-counts")
+    _forget_shuffles(spark)
     first = F.expr("shiftright(pair, 32)")
     top = pairs.groupBy(first.alias("a")).agg(F.max("n").alias("top"))
     ranked = pairs.join(top, first == F.col("a")).select("pair", "n", (F.col("n") == F.col("top")).alias("best"))
@@ -467,11 +479,11 @@ def align_tokenizers(docs: DataFrame, first_path: str, second_path: str, id_col:
         known = ranked.toArrow()
         order = np.argsort(known["pair"].to_numpy())
         shared = spark.sparkContext.broadcast(tuple(known[c].to_numpy()[order] for c in ("pair", "n", "best")))
-        out = _composed(full, kind, shared)
+        out = _composed(full(), kind, shared)
     else:  # a chunk's pairs are bounded by its size
-        asked = parts.select("chunk", F.col("pair").alias("__pair")).join(ranked, F.col("__pair") == F.col("pair"))
-        stats = asked.groupBy(F.col("chunk").alias("__chunk")).agg(F.collect_list(F.struct("pair", "n", "best")).alias("stats"))
-        out = _composed(full.join(stats, F.col("chunk") == F.col("__chunk"), "left").drop("__chunk"), kind)
+        wanted = _pairs_in_documents(full()).select("chunk", F.col("pair").alias("__pair")).join(ranked, F.col("__pair") == F.col("pair"))
+        stats = wanted.groupBy(F.col("chunk").alias("__c")).agg(F.collect_list(F.struct("pair", "n", "best")).alias("stats"))
+        out = _composed(full().join(stats, F.col("chunk") == F.col("__c"), "left").drop("__c"), kind)
     return out.withColumnRenamed("id", id_col)
 
 
