@@ -40,6 +40,7 @@ class View:
     def __init__(self, row: dict, width: int, extra):
         self.number = row["block"]
         self.p, self.ids = np.asarray(row["p"], np.int64), row["ids"]
+        self.q = self.ids.to_numpy(zero_copy_only=False) if pa.types.is_integer(self.ids.type) and not self.ids.null_count else self.p
         self.x = np.frombuffer(row["x"]).reshape(len(self.p), width)
         self.centre, self.radius = np.frombuffer(row["centre"]), row["radius"]
         self.low, self.high = row["low"], row["high"]
@@ -47,9 +48,10 @@ class View:
             setattr(self, name, np.asarray(row[name]))
 
 
-def build(df: DataFrame, id_col: str, vector: str = "embedding", extra: Mapping[str, Column] | None = None, by: str | None = None) -> Blocks:
+def build(df: DataFrame, id_col: str, vector: str = "embedding", extra: Mapping[str, Column] | None = None, by: str | None = None, stretches: int = 1) -> Blocks:
     """Packs the rows that have a vector. extra: more columns, long or double without nulls; `by` names one of them whose
-    bounds a block keeps. A zero vector has cosine 0 with all; a block that has one is never passed over."""
+    bounds a block keeps, and rows are parted by it into about so many stretches before angles count. A zero vector has
+    cosine 0 with all; a block that has one is never passed over."""
     spark, extra = df.sparkSession, dict(extra or {})
     rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), unit(doubles(vector)).alias("u"), *(c.alias(n) for n, c in extra.items()))
     kind = rows.schema["id"].dataType.simpleString()
@@ -71,8 +73,10 @@ def build(df: DataFrame, id_col: str, vector: str = "embedding", extra: Mapping[
 
     fields = "".join(f", `{x}` {t}" for x, t in types.items())
     spots = rows.mapInArrow(placed, f"id {kind}, u array<double>{fields}, pivot int, c double")
-    order = ["pivot", F.desc("c"), "id", "u"]
-    dealt = spots.repartitionByRange(count, *order).sortWithinPartitions(*order).drop("pivot", "c")
+    cuts = sorted(set(rows.agg(F.percentile_approx(by, [k / stretches for k in range(1, stretches)])).first()[0] or [])) if by and stretches > 1 else []
+    stretch = sum((F.col(by) >= F.lit(c)).cast("int") for c in cuts) if cuts else F.lit(0)
+    order = ["stretch", "pivot", F.desc("c"), "id", "u"]
+    dealt = spots.withColumn("stretch", stretch).repartitionByRange(count, *order).sortWithinPartitions(*order).drop("stretch", "pivot", "c")
 
     def pack(part: dict) -> pa.RecordBatch:
         x = np.array(part["u"]).reshape(len(part["u"]), width)
@@ -144,7 +148,8 @@ def scan(left: Blocks, right: Blocks, kernel, schema: str, meet: Column | None =
     units = left.table.select(F.col("block").alias("i"), F.col("low").alias("left_low"), F.col("high").alias("left_high")).join(F.broadcast(ends))  # one row: three numbers a block
     units = units.select("i", "left_low", "left_high", F.explode("js").alias("r")).select("i", "left_low", "left_high", "r.*")
     units = (units.where(meet) if meet is not None else units).select("i", "j")
-    heads = left.table.select(F.col("block").alias("i"), F.lit(0).alias("turn"), *names, *both)
+    heads = left.table.withColumn("ids", F.array().cast(f"array<{right.kind}>"))  # a left row is known by its p alone
+    heads = heads.select(F.col("block").alias("i"), F.lit(0).alias("turn"), *names, *both)
     rest = units.join(right.table.select(*names, *both), F.col("j") == F.col("block")).select("i", F.when(F.col("i") == F.col("j"), 1).otherwise(2).alias("turn"), *names, *both)
     stream = heads.unionByName(rest).repartition("i").sortWithinPartitions("i", "turn", "block")
 
@@ -175,8 +180,8 @@ def scan(left: Blocks, right: Blocks, kernel, schema: str, meet: Column | None =
 
 
 class Nearest:
-    """Kernel: the k largest cosines of each row, ties by the right row's number; row itself left out if same is set.
-    Gives p, found: array<struct<q long, cosine double, <payload>>>."""
+    """Kernel: the k largest cosines of each row, ties by q; the row itself left out if same is set. Gives p, found:
+    array<struct<q long, cosine double, <payload>>>, where q is the right row's id if ids are numbers, else its p."""
 
     def __init__(self, k: int, same: bool, payload: str | None = None):
         self.k, self.same, self.payload = k, same, payload
@@ -202,12 +207,12 @@ class Nearest:
             edge = np.take_along_axis(cosines, part, 1).min(1)
             crowded = np.flatnonzero((cosines >= edge[:, None]).sum(1) > self.k)
             if len(crowded):  # rows with ties at the edge: the smaller numbers stay
-                by_p = np.argsort(block.p, kind="stable")
+                by_p = np.argsort(block.q, kind="stable")
                 part[crowded] = by_p[np.argsort(-cosines[crowded][:, by_p], axis=1, kind="stable")[:, : self.k]]
         else:
             part = np.broadcast_to(np.arange(m), (n, m))
         weights = getattr(block, self.payload)[part] if self.payload else np.zeros(part.shape)
-        c, q, w = np.c_[self.c, np.take_along_axis(cosines, part, 1)], np.c_[self.q, block.p[part]], np.c_[self.w, weights]
+        c, q, w = np.c_[self.c, np.take_along_axis(cosines, part, 1)], np.c_[self.q, block.q[part]], np.c_[self.w, weights]
         order = np.lexsort((q, -c), axis=1)[:, : self.k]
         self.c, self.q, self.w = (np.take_along_axis(x, order, 1) for x in (c, q, w))
 

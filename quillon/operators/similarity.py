@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.vectors import cosine_distance, dot, doubles, gram, long_form, norm, unit, unit_sums
+from quillon.operators.blocks import Earlier, build, points, scan
 
 
 def anchor(df: DataFrame, ids: list, id_col: str, vector: str = "embedding", method: str = "mean") -> DataFrame:
@@ -100,36 +100,16 @@ def resultant_length(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return s.select(F.col("n").cast("long").alias("n"), r.alias("resultant"), (F.col("n") * F.size("total") * r * r).alias("rayleigh"))
 
 
-def novelty(df: DataFrame, id_col: str, time_col: str, vector: str = "embedding", block: int = 4096) -> DataFrame:
-    """Distance to the nearest strictly earlier row; rows of the first period are absent.
-
-    Rows are dealt to blocks of a stretch of time; each pair of blocks of which the second may be earlier is one unit
-    that meets in a cogroup of bounded size and is one matrix product. Nothing is broadcast and no pair is emitted: a
-    unit hands on one number a row.
-    """
-    base = df.select(F.col(id_col).alias("id"), F.col(time_col).alias("t"), unit(doubles(vector)).alias("u"))
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    blocks = max(-(-base.count() // block), int(tasks**0.5) + 1)
-    # times at which stretches begin: 64 numbers at most, whatever the rows
-    cuts = sorted({x for x in base.agg(F.percentile_approx("t", [k / 64 for k in range(1, 64)])).first()[0] or []})
-    stretch = sum((F.col("t") >= F.lit(c)).cast("int") for c in cuts) if cuts else F.lit(0)
-    each = max(1, blocks // (len(cuts) + 1))  # blocks of a stretch
-    a = base.where("t IS NOT NULL").withColumn("i", (stretch * each + F.pmod(F.xxhash64("id"), F.lit(each))).cast("int"))
-    last, top = (F.floor(F.col("i") / each) * each + each - 1).cast("int"), (len(cuts) + 1) * each - 1
-    first = (F.floor(F.col("i") / each) * each).cast("int")
-    left = a.withColumn("j", F.explode(F.sequence(F.lit(0), last)))
-    right = a.select(F.col("id").alias("id_2"), F.col("t").alias("t_2"), F.col("u").alias("u_2"), F.col("i").alias("j"), F.explode(F.sequence(first, F.lit(top))).alias("i"))
-
-    def best(x, y):
-        import pandas as pd
-
-        if x.empty or y.empty:
-            return pd.DataFrame({"id": x["id"][:0], "d": np.zeros(0)})
-        c = np.stack(x["u"]) @ np.stack(y["u_2"]).T
-        c[~(y["t_2"].to_numpy()[None, :] < x["t"].to_numpy()[:, None])] = -np.inf
-        d = 1 - c.max(1)
-        return pd.DataFrame({"id": x["id"], "d": d})[np.isfinite(d)]
-
-    kind = base.schema["id"].dataType.simpleString()
-    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, f"id {kind}, d double")
-    return met.groupBy("id").agg(F.min("d").alias("novelty")).withColumnRenamed("id", id_col)
+def novelty(df: DataFrame, id_col: str, time_col: str, vector: str = "embedding", stretches: int = 8) -> DataFrame:
+    """Distance to the nearest strictly earlier row; rows of the first time are absent, rows without a time or a vector
+    are left out, a repeated id has its least distance.
+
+    Rows are packed into blocks of at most blocks.ROWS whatever their times, by stretches of time and then by angle.
+    Pairs of blocks of which the second has nothing earlier are never made; of the others those are passed over that by
+    their centres and radii can't hold anything nearer than what each row has found."""
+    kind = df.schema[time_col].dataType.simpleString()
+    t = F.unix_micros(F.col(time_col).cast("timestamp")) if kind in ("date", "timestamp") else F.col(time_col).cast("double" if kind in ("float", "double") or kind.startswith("decimal") else "long")
+    index = build(df.where(F.col(time_col).isNotNull()), id_col, vector, {"t": t}, by="t", stretches=stretches)
+    best = scan(index, index, Earlier(), Earlier.SCHEMA, meet=F.col("right_low") < F.col("left_high"))
+    found = points(index).join(best.withColumnRenamed("p", "q"), F.col("p") == F.col("q"))
+    return found.groupBy("id").agg((1 - F.max("cosine")).alias("novelty")).withColumnRenamed("id", id_col)

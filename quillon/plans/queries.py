@@ -341,7 +341,7 @@ def histogram50(spark, sf):
     return r6(stats.histogram(events(spark, sf), "value", 50), "density")
 
 
-@query()
+@query()  # its SQL stands in spaces.py
 def qq_pairs(spark, sf):
     return r6(stats.qq_pairs(events(spark, sf), "value"), "theoretical")
 
