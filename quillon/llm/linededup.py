@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bloom import Blocked, OnceTwice, might_hold
-from quillon.llm.common import SPACE, ascii_lower, lean, stash, table
+from quillon.llm.common import LOWER, SPACE, UPPER, ascii_lower, lean, stash, table
 
 MIN_POINTS, MIN_DOCS = 40, 5
+SALTS = 8
+LOWERED = str.maketrans(UPPER, LOWER)
 
 
 def _lines(text):
@@ -62,17 +64,28 @@ def line_dedup(docs: DataFrame, id_col="doc_id", text_col="text", min_points=MIN
     empty table gives no rows. Other columns of the input are not read.
     """
     suspects, confirmed = repeated_lines(docs, id_col, text_col, min_points, min_docs, log2_bits)
-    drops = suspects.join(confirmed, "key").where(~F.col("id").eqNullSafe(F.col("last_id"))).groupBy("id").agg(F.collect_set("key").alias("drop"))
+    # a line that a third of all documents hold is dealt to SALTS tasks
+    salted = suspects.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    copies = confirmed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    drops = salted.join(copies, ["key", "salt"]).where(~F.col("id").eqNullSafe(F.col("last_id"))).groupBy("id").agg(F.collect_set("key").alias("drop"))
     drops = stash(drops, "line-drops")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
     more = [f"kept_{i}" for i in range(len(keep))]
     probe = might_hold(docs.sparkSession, Blocked.build(drops.select(F.xxhash64("id").alias("h")), "h"))
     marked = rows.withColumn("maybe", probe(F.xxhash64("id")))
     touched = marked.where("maybe").join(drops.withColumnRenamed("id", "drop_id"), F.col("id").eqNullSafe(F.col("drop_id")), "left")
-    lines, drop = _lines(F.col("text")), F.coalesce("drop", F.array().cast("array<string>"))
-    kept = F.filter(lines, lambda x: ~F.array_contains(drop, _key(x)))
-    touched = touched.select("id", F.array_join(kept, "\n").alias("text"), *more, F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(kept)).cast("long").alias("n_dropped"))
-    rest = marked.where("NOT maybe").select("id", "text", *more, F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+
+    @F.pandas_udf("text string, n_lines long, n_dropped long")
+    def without(texts: pd.Series, drop: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, gone in zip(texts, drop):
+            lines, gone = text.split("\n"), set(() if gone is None else gone)
+            kept = [x for x in lines if x.strip(SPACE).translate(LOWERED) not in gone] if gone else lines
+            out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
+        return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
+
+    touched = touched.select("id", *more, without("text", "drop").alias("x")).select("id", "x.text", *more, "x.n_lines", "x.n_dropped")
+    rest = marked.where("NOT maybe").select("id", "text", *more, F.size(_lines(F.col("text"))).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
     return touched.unionByName(rest).select(F.col("id").alias(id_col), F.col("text").alias(text_col), *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)), "n_lines", "n_dropped")
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import lean, table
+from quillon.llm.common import lean, stash, table
 
 # Terms that count before anything is learned, phrases that excuse a term, look-alikes.
 SEED = "idiot moron stupid worthless pathetic scum loser trash clown disgusting imbecile cretin filth vermin".split()
@@ -21,6 +21,7 @@ LOOKALIKES = dict(zip("аеорсухіјѕԁһӏԛԝвмнткαεικνορτ
 DIGITS = dict(zip("013457@$!", "oieastasi"))
 MAX_POSITIVE, MAX_NEGATIVE = 5_000, 10_000  # documented bounds of the labelled rows that are learned from
 MIN_DOCS, MIN_SUPPORT, MIN_WEIGHT, LENGTHS = 5, 22.0, 2.5, range(4, 9)
+MAX_TERMS = 100_000  # terms by which a task narrows its contexts; with more of them it hands on those of all words
 
 
 class Fold(dict):
@@ -54,12 +55,12 @@ def features(text: str) -> set[str]:
     return out
 
 
-def contexts(text: str, wanted: set[str]) -> set[tuple[str, str]]:
-    """(term, word before it) for the terms in a text."""
+def contexts(text: str, wanted: set[str] | None) -> set[tuple[str, str]]:
+    """(term, word before it) for the terms in a text; all terms where none are named."""
     out, last = set(), ""
     for w in fold(text).split():
         for f in (f" {w} ", *(f" {w[:n]}" for n in LENGTHS if n <= len(w))):
-            if f in wanted:
+            if wanted is None or f in wanted:
                 out.add((f, last))
         last = w
     return out
@@ -89,7 +90,14 @@ class Model:
                 free.append((end - n + 1, end))
             else:
                 hits[end - n + 1] = max(w, hits.get(end - n + 1, 0.0))
-        total = sum(w for s, w in hits.items() if not any(a <= s < b for a, b in free)) if hits else 0.0
+        total, k, covered = 0.0, 0, -1
+        free.sort()
+        for s in sorted(hits):  # one sweep: `covered` is where the exceptions that begin up to here end
+            while k < len(free) and free[k][0] <= s:
+                covered = max(covered, free[k][1])
+                k += 1
+            if s >= covered:
+                total += hits[s]
         return total, total / np.log2(16 + folded.count(" ")) if total else 0.0
 
     def probability(self, measured: np.ndarray) -> np.ndarray:
@@ -112,8 +120,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
 
     At most about MAX_POSITIVE and MAX_NEGATIVE rows, drawn by a hash of their ids; their ids are few enough
     to be broadcast. Terms are words and word beginnings that stand in toxic documents far more often than in
-    others (log-likelihood ratio); of nested ones the best supported stays. Without labelled rows of both
-    kinds the seed lexicon is used as it is. Rows with a null id, label or text teach nothing.
+    others (log-likelihood ratio), behind different words (at least MIN_DOCS and the root of the number of toxic texts
+    with the term, so that near copies of one text teach little); of nested ones the best supported stays. Equal texts of
+    one label count once. Terms are weighed and sifted in tables; what comes to the driver is what passed. A seed that
+    was not learned keeps its weight, unless MIN_DOCS other texts have it and it is no more frequent in toxic ones than
+    MIN_WEIGHT says. Without labelled rows of both kinds the seed lexicon is used as it is. Rows with a null id, label
+    or text teach nothing.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y"))
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -121,59 +133,50 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
         return Model({f" {t} ": SEED_WEIGHT for t in SEED})
     share = F.when(F.col("y") == 1, F.lit(min(1.0, MAX_POSITIVE / n[1]))).otherwise(F.lit(min(1.0, MAX_NEGATIVE / n[0])))
     drawn = known.where(F.expr(f"pmod(xxhash64(`{id_col}`), {1 << 20})") < share * (1 << 20))
-    rows = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(F.broadcast(drawn), id_col).select(text_col, "y")
+    rows = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(F.broadcast(drawn), id_col).select(text_col, "y").distinct()
+    rows = stash(rows, "toxicity-rows")
 
-    def count(wanted):
-        def run(batches):
-            got: Counter = Counter()
-            for b in batches:
-                for t in b.column(0).to_pylist():
-                    f = features(t)
-                    got.update(f if wanted is None else f & wanted)
-                    got[""] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], names=["term", "n"])
-
-        return run
-
-    def counts(y, wanted=None, least=1):
-        got = rows.where(F.col("y") == y).select(text_col).mapInArrow(lean(count(wanted)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("term") == "")).toArrow()
-        return dict(zip(got["term"].to_pylist(), got["n"].to_pylist()))
-
-    toxic = counts(1, least=MIN_DOCS)
-    seeds = {f" {t} " for t in SEED}
-    clean = counts(0, frozenset(toxic) | seeds)
-    t_all, c_all = toxic.pop("", 0), clean.pop("", 0)
-
-    def ratio(a, b):
-        p, q, r = a / t_all, b / c_all, (a + b) / (t_all + c_all)
-        part = lambda k, n, x: (k * np.log(x) if k else 0.0) + ((n - k) * np.log(1 - x) if n > k else 0.0)
-        return 2 * (part(a, t_all, p) + part(b, c_all, q) - part(a, t_all, r) - part(b, c_all, r)) if p > q else 0.0
-
-    terms: dict[str, float] = {}
-    scored = []
-    for f, a in toxic.items():
-        w = float(np.log((a + 0.5) / (t_all + 1)) - np.log((clean.get(f, 0) + 0.5) / (c_all + 1)))
-        if w >= MIN_WEIGHT and (r := ratio(a, clean.get(f, 0))) >= MIN_SUPPORT:
-            scored.append((-r, -len(f), f, w))
+    def count(batches):
+        got: Counter = Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                got.update(features(t))
+                got[""] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], names=["term", "n"])
+
+    by_label = [rows.where(F.col("y") == y).select(text_col).mapInArrow(lean(count), "term string, n long").groupBy("term").agg(F.sum("n").alias(f"n{y}")) for y in (0, 1)]
+    both = stash(by_label[1].join(by_label[0], "term", "full").select("term", F.coalesce("n1", F.lit(0)).alias("a"), F.coalesce("n0", F.lit(0)).alias("b")), "toxicity-terms")
+    t_all, c_all = both.where("term = ''").select("a", "b").first()
+    weight = F.ln((F.col("a") + 0.5) / (t_all + 1)) - F.ln((F.col("b") + 0.5) / (c_all + 1))
+
+    def part(k, n, x):
+        return F.when(k > 0, k * F.ln(x)).otherwise(0.0) + F.when(n > k, (n - k) * F.ln(1 - x)).otherwise(0.0)
+
+    p, q, r = F.col("a") / t_all, F.col("b") / c_all, (F.col("a") + F.col("b")) / (t_all + c_all)
+    ratio = 2 * (part(F.col("a"), F.lit(t_all), p) + part(F.col("b"), F.lit(c_all), q) - part(F.col("a"), F.lit(t_all), r) - part(F.col("b"), F.lit(c_all), r))
+    scored = both.where((F.col("term") != "") & (F.col("a") >= MIN_DOCS) & (p > q)).select("term", "a", weight.alias("w"), ratio.alias("r"))
+    scored = stash(scored.where((F.col("w") >= MIN_WEIGHT) & (F.col("r") >= MIN_SUPPORT)), "toxicity-scored")
     # near copies of one toxic document share all their words; a term must stand behind different words
-    wanted = {x[2] for x in scored}
+    wanted = {x["term"] for x in scored.collect()} if scored.count() <= MAX_TERMS else None
 
     def pairs(batches):
         got = {x for b in batches for t in b.column(0).to_pylist() for x in contexts(t, wanted)}
         yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in got], pa.string()), pa.array([w for _, w in got], pa.string())], names=["term", "before"])
 
-    places = rows.where("y = 1").select(text_col).mapInArrow(lean(pairs), "term string, before string").groupBy("term").agg(F.countDistinct("before").alias("n")).toArrow()
-    places = dict(zip(places["term"].to_pylist(), places["n"].to_pylist()))
-    scored = [x for x in scored if places.get(x[2], 0) >= max(MIN_DOCS, 0.2 * toxic[x[2]])]
+    places = rows.where("y = 1").select(text_col).mapInArrow(lean(pairs), "term string, before string").groupBy("term").agg(F.countDistinct("before").alias("places"))
+    passed = scored.join(places, "term").where(F.col("places") >= F.greatest(F.lit(float(MIN_DOCS)), F.sqrt("a"))).collect()
+    scored = [(-x["r"], -len(x["term"]), x["term"], x["w"]) for x in passed]
+    seeds = {f" {t} " for t in SEED}
+    harmless = {x["term"] for x in both.where(F.col("term").isin(sorted(seeds)) & (F.col("b") >= MIN_DOCS) & (weight < MIN_WEIGHT)).collect()}
+    terms: dict[str, float] = {}
     taken: set[str] = set()
     for _, _, f, w in sorted(scored):
         stem = f.strip()
         if not any(stem[:n] in taken for n in range(1, len(stem) + 1)) and not any(x.startswith(stem) for x in taken):
             taken.add(stem)
             terms[f] = w
-    for s in seeds:
-        if s not in terms and s not in toxic and s not in clean:
-            terms[s] = SEED_WEIGHT
+    for s in seeds - harmless:
+        terms.setdefault(s, SEED_WEIGHT)
     model = Model(terms)
 
     def measure(batches):

@@ -40,7 +40,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col="p
     rules: rule string (host and path such as `net/es/`), verdict. listed: canonical URLs (column url);
     hosts: hosts all of whose URLs and subdomains are listed (column host).
     A rule fits its host and all subdomains if the URL's path starts with the rule's; the longest rule
-    wins; otherwise listed URLs are blocked and the rest allowed. All keys by which a URL could be hit
+    wins, of equally long ones that with the longer host, then the larger string; a rule given twice has the smaller
+    verdict; otherwise listed URLs are blocked and the rest allowed. All keys by which a URL could be hit
     (its host's suffixes of as many labels as rules have with the path prefixes of the lengths that rules have, its
     canonical form and its host's suffixes of as many labels as listed hosts have) are looked up in one blocked Bloom
     filter; only keys that pass it are shuffled, to an exact join that removes the false ones. So a very long URL has
@@ -72,10 +73,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col="p
     asked = rows.select("host", "path").distinct().select("host", "path", F.explode(F.array_distinct(F.array(*asked_keys))).alias("key"))
     hits = asked.where(probe(F.xxhash64("key"))).join(keys, "key")
     found = hits.groupBy("host", "path").agg(
-        F.max_by("rule", F.when(F.col("rule").isNotNull(), F.length("rule"))).alias("rule"),
-        F.max_by("verdict", F.when(F.col("rule").isNotNull(), F.length("rule"))).alias("verdict"),
+        F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), F.instr("rule", "/").alias("host"), "rule", "verdict"))).alias("best"),
         F.coalesce(F.bool_or(F.col("rule").isNull()), F.lit(False)).alias("listed"))
     method = F.when(F.coalesce("listed", F.lit(False)), "block").otherwise("allow")
+    found = found.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"), "listed")
     return rows.join(found, ["host", "path"], "left").select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), F.coalesce("listed", F.lit(False)).alias("listed"))
 
 
@@ -93,8 +94,8 @@ WITH a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN regexp_extract(s
 b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_replace(rest, '^[^/]*', '') AS path FROM a),
 r(rule, verdict) AS (VALUES {', '.join(f"('{r}', '{v}')" for r, v in RULES)}),
 s AS (SELECT *, substr(rule, 1, instr(rule, '/') - 1) AS rh, substr(rule, instr(rule, '/')) AS rp FROM r),
-f AS (SELECT b.page_id, arg_max(s.rule, length(s.rule)) AS rule, arg_max(s.verdict, length(s.rule)) AS verdict FROM b JOIN s ON (b.host = s.rh OR ends_with(b.host, '.' || s.rh)) AND starts_with(b.path, s.rp) GROUP BY b.page_id),
+f AS (SELECT b.page_id, max(struct_pack(n := length(s.rule), h := instr(s.rule, '/'), rule := s.rule, verdict := s.verdict)) AS best FROM b JOIN s ON (b.host = s.rh OR ends_with(b.host, '.' || s.rh)) AND starts_with(b.path, s.rp) GROUP BY b.page_id),
 l AS (SELECT 'list-' || (i % 997) || '.example.org/page/' || i AS url FROM range({LISTED_URLS}) t(i)), h(host) AS (VALUES {', '.join(f"('{h}')" for h in LISTED_HOSTS)}),
 x AS (SELECT b.*, (regexp_replace(b.host, '\.?(:(80|443))?$', '') || rtrim(b.path, '/')) IN (SELECT url FROM l) OR EXISTS (SELECT 1 FROM h WHERE b.host = h.host OR ends_with(b.host, '.' || h.host)) AS listed FROM b)
-SELECT x.page_id, x.host, x.path, f.rule, coalesce(f.verdict, CASE WHEN x.listed THEN 'block' ELSE 'allow' END) AS verdict, x.listed FROM x LEFT JOIN f USING (page_id)"""
+SELECT x.page_id, x.host, x.path, f.best.rule AS rule, coalesce(f.best.verdict, CASE WHEN x.listed THEN 'block' ELSE 'allow' END) AS verdict, x.listed FROM x LEFT JOIN f USING (page_id)"""
 }

@@ -30,3 +30,13 @@ def test_near_misses_long_urls_and_clashing_columns(spark):
     got = [(r.page_id, r.rule, r.verdict, r.listed) for r in urlfilter.filter_urls(pages, rules, listed, hosts=hosts).collect()]
     want = [(0, None, "block", True), (1, None, "block", True), (1, None, "allow", False), (3, None, "allow", False), (4, "example.com/en/", "allow", False), (5, None, "allow", False), (6, None, "allow", False)]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_ties_of_rules(spark):
+    """Of equally long rules the one with the longer host wins, whatever the order of the rules."""
+    pages = spark.createDataFrame([(1, "http://x.y/ab"), (1, "http://x.y/ab"), (None, "http://x.y/ac"), (2, "http://q.x.y/b/")], "page_id long, url string")
+    none = spark.createDataFrame([], "url string")
+    rules = [("x.y/", "block"), ("y/ab", "allow"), ("y/ac", "block"), ("y/b/", "allow"), ("x.y/b/", "allow"), ("x.y/b/", "block")]
+    for order in (rules, rules[::-1]):
+        got = urlfilter.filter_urls(pages, spark.createDataFrame(order, "rule string, verdict string"), none).collect()
+        assert sorted(((r.page_id, r.rule, r.verdict) for r in got), key=str) == sorted([(1, "x.y/", "block"), (1, "x.y/", "block"), (None, "x.y/", "block"), (2, "x.y/b/", "allow")], key=str)
