@@ -13,12 +13,13 @@ composed from them. Chunks also say how many of their documents hold each id pai
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
+import uuid
 from array import array
 from collections import Counter
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -29,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import byte_letters, tokenizer_path
-from quillon.llm.common import lean, slices, stash, table, text_bytes
+from quillon.llm.common import lean, shared_dir, slices, stash, table, text_bytes, unstash_at
 from quillon.llm.kernels import piece_hashes, ragged, segments
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-CHUNK_BYTES, CHUNK_SEGMENTS = 32 << 20, 200_000  # a chunk ends beyond either; a longer document is one alone
+CHUNK_BYTES, CHUNK_SEGMENTS = 32 << 20, 300_000  # a chunk ends beyond either; a longer document is one alone
 SLICE = 1 << 20  # bytes or segments that are worked on at once inside a chunk
-BLOB = 100_000  # alignments that a task packs at once
+BLOB = 500_000  # alignments that a task packs at once
 MAX_PAIRS = 2_000_000  # id pairs whose counts are broadcast (17 bytes each); beyond it they are joined to the chunks
 WIDE = 4096  # links of a group above which its distinct ids are paired instead of all its tokens
 
@@ -152,8 +153,8 @@ class Dictionary:
 
 
 def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """chunk, ids, counts (segments of each document), at (the segments' places among segs), segs (distinct, the most
-    frequent first)."""
+    """Two rows a chunk: kind documents with ids, counts (segments of each document) and at (the segments' places among
+    the distinct ones); kind segments with segs (distinct, the most frequent first)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -167,8 +168,9 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             place[rank] = np.arange(len(rank))
             flat = known.flat[ragged(known.begin[rank], known.length[rank])]
             segs = pa.StringArray.from_buffers(len(rank), pa.py_buffer(np.r_[0, np.cumsum(known.length[rank])].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat)))
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), one(pa.concat_arrays(ids)), one(pa.array(np.concatenate(counts), pa.int32())), pa.array([_packed(place[where])], pa.binary()), one(segs)], names=["chunk", "ids", "counts", "at", "segs"])
+            two = lambda x, i: pa.ListArray.from_arrays(pa.array([0, 0, len(x)] if i else [0, len(x), len(x)], pa.int32()), x)
+            cols = [pa.array(["documents", "segments"]), pa.array([n, n], pa.int64()), two(pa.concat_arrays(ids), 0), two(pa.array(np.concatenate(counts), pa.int32()), 0), pa.array([_packed(place[where]), None], pa.binary()), two(segs, 1)]
+            return pa.RecordBatch.from_arrays(cols, names=["kind", "chunk", "ids", "counts", "at", "segs"])
 
         for batch in batches:
             data, off = text_bytes(batch.column(1))
@@ -190,7 +192,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if ids:
             yield chunk()
 
-    schema = f"chunk long, ids array<{kind}>, counts array<int>, at binary, segs array<string>"
+    schema = f"kind string, chunk long, ids array<{kind}>, counts array<int>, at binary, segs array<string>"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), schema)
 
 
@@ -388,10 +390,16 @@ def _pairs_in_documents(full: DataFrame) -> DataFrame:
     return full.mapInArrow(lean(run), "chunk long, pair long, n long")
 
 
-def _forget_shuffles(spark) -> None:
-    """Shuffle files of steps whose results are written go when the driver's JVM collects their handles: let it do so now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def _own_shuffles_go(spark):
+    """Each write inside deletes its shuffle files when it ends: what it wrote is what later steps read."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
@@ -461,17 +469,21 @@ def align_tokenizers(docs: DataFrame, first_path: str, second_path: str, id_col:
         spec = f.read()
     _pair(spec, model)  # raises here if the tokenizers do not allow the cuts
     spec, model = spark.sparkContext.broadcast(spec), spark.sparkContext.broadcast(model)
-    both = stash(_chunks(docs, id_col, text_col), "align-chunks")
-    chunks, asked = both.select("chunk", "ids", "counts", "at"), both.select("chunk", "segs")
-    blobs = stash(_aligned(asked, spec, model), "align-segments")
-    _forget_shuffles(spark)
+    at = f"{shared_dir(spark)}/align-chunks-{uuid.uuid4().hex}"
+    both = _chunks(docs, id_col, text_col)
+    both.write.partitionBy("kind").parquet(at)
+    rows = spark.read.schema(both.schema).parquet(at)
+    chunks, asked = rows.where("kind = 'documents'").select("chunk", "ids", "counts", "at"), rows.where("kind = 'segments'").select("chunk", "segs")
+    with _own_shuffles_go(spark):
+        blobs = stash(_aligned(asked, spec, model), "align-segments")
+    unstash_at(spark, f"{at}/kind=segments")
 
     def full():
         found = blobs.groupBy(F.col("chunk").alias("__chunk")).agg(F.collect_list("blob").alias("found"))
         return chunks.join(found, F.col("chunk") == F.col("__chunk"), "left").drop("__chunk")
 
-    pairs = stash(_pairs_in_documents(full()).groupBy("pair").agg(F.sum("n").alias("n")), "align-counts")
-    _forget_shuffles(spark)
+    with _own_shuffles_go(spark):
+        pairs = stash(_pairs_in_documents(full()).groupBy("pair").agg(F.sum("n").alias("n")), "align-counts")
     first = F.expr("shiftright(pair, 32)")
     top = pairs.groupBy(first.alias("a")).agg(F.max("n").alias("top"))
     ranked = pairs.join(top, first == F.col("a")).select("pair", "n", (F.col("n") == F.col("top")).alias("best"))
