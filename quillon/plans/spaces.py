@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
-from quillon.operators import classify, concepts, density, gaussian, linalg, pooling
+from quillon.operators import classify, concepts, density, gaussian, linalg, pooling, taxonomy
 from quillon.operators.stats import MIDDLE, TAIL
 from quillon.plans.more import _STEPS, _U
 from quillon.plans.queries import DIR, EM, SQL, emb, query, r6, read
@@ -167,3 +167,32 @@ def genre_classifier(spark, sf):
     """Held-out scores of the labels, each row with its label and its label modulo 3."""
     e = emb(spark, sf).withColumn("labels", F.array(F.concat(F.lit("g"), "label"), F.concat(F.lit("m"), F.col("label") % 3)))
     return r6(classify.evaluate(e, "vec_id", "labels"), "subset_accuracy", "micro_f1")
+
+
+# --- best ancestors: customers and suppliers below nations below regions -----------------------------------------
+GRAPH = "e AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier)"
+
+
+def _graph(spark, sf):
+    edge = lambda name, a, x, b, y: read(spark, sf, name).select(F.concat(F.lit(a), x).alias("child"), F.concat(F.lit(b), y).alias("parent"))
+    return edge("nation", "n", "n_nationkey", "r", "n_regionkey").unionByName(edge("customer", "c", "c_custkey", "n", "c_nationkey")).unionByName(edge("supplier", "s", "s_suppkey", "n", "s_nationkey"))
+
+
+@query(f"""WITH RECURSIVE {GRAPH}, w AS (SELECT 'w' || c_custkey AS word, 'c' || c_custkey AS node, 0 AS rank FROM customer UNION ALL SELECT 'w' || s_suppkey, 's' || s_suppkey, 1 FROM supplier),
+up AS (SELECT word, node, rank, 0 AS steps FROM w UNION ALL SELECT up.word, e.parent, up.rank, up.steps + 1 FROM up JOIN e ON e.child = up.node), stop AS (SELECT 'n' || n_nationkey AS node FROM nation WHERE n_regionkey < 2),
+g AS (SELECT DISTINCT node FROM (SELECT child AS node FROM e WHERE parent NOT IN (SELECT child FROM e)) WHERE node NOT IN (SELECT node FROM stop))
+SELECT word, min(struct_pack(rank := rank, steps := steps, a := up.node)).a AS ancestor FROM up JOIN g USING (node) GROUP BY word""")
+def best_ancestors(spark, sf):
+    """Each word's first meaning is a customer, its second a supplier; nations of two regions are too general."""
+    words = read(spark, sf, "customer").select(F.concat(F.lit("w"), "c_custkey").alias("word"), F.concat(F.lit("c"), "c_custkey").alias("node"), F.lit(0).alias("rank"))
+    words = words.unionByName(read(spark, sf, "supplier").select(F.concat(F.lit("w"), "s_suppkey").alias("word"), F.concat(F.lit("s"), "s_suppkey").alias("node"), F.lit(1).alias("rank")))
+    stop = read(spark, sf, "nation").where("n_regionkey < 2").select(F.concat(F.lit("n"), "n_nationkey").alias("node"))
+    return taxonomy.best_ancestor(words, _graph(spark, sf), 1, stop).select("word", "ancestor")
+
+
+@query("""WITH t AS (SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents), w AS (SELECT word, count(*) AS n FROM t WHERE regexp_full_match(word, '[a-z]{3,}') AND NOT ends_with(word, 'ing') GROUP BY word HAVING count(*) >= 20),
+s AS (SELECT word FROM w WHERE word NOT IN ('the', 'and')) SELECT CAST(row_number() OVER (ORDER BY n DESC, word) AS INT) AS rank, word, n FROM s ORDER BY rank LIMIT 100""")
+def concept_vocabulary(spark, sf):
+    words = read(spark, sf, "documents").select(F.explode(X.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return taxonomy.vocabulary(words, "n", 20, spark.createDataFrame([("the",), ("and",)], "word string"), ["ing"], 100)
+
