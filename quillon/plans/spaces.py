@@ -191,7 +191,7 @@ def best_ancestors(spark, sf):
 
 
 @query("""WITH t AS (SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents), w AS (SELECT word, count(*) AS n FROM t WHERE regexp_full_match(word, '[a-z]{3,}') AND NOT ends_with(word, 'ing') GROUP BY word HAVING count(*) >= 20),
-s AS (SELECT word FROM w WHERE word NOT IN ('the', 'and')) SELECT CAST(row_number() OVER (ORDER BY n DESC, word) AS INT) AS rank, word, n FROM s ORDER BY rank LIMIT 100""")
+s AS (SELECT word, n FROM w WHERE word NOT IN ('the', 'and')) SELECT CAST(row_number() OVER (ORDER BY n DESC, word) AS INT) AS rank, word, n FROM s ORDER BY rank LIMIT 100""")
 def concept_vocabulary(spark, sf):
     words = read(spark, sf, "documents").select(F.explode(X.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     return taxonomy.vocabulary(words, "n", 20, spark.createDataFrame([("the",), ("and",)], "word string"), ["ing"], 100)
