@@ -95,3 +95,33 @@ def head_per_group(df: DataFrame, keys: list[str], order: list, n: int) -> DataF
 def discovered(df: DataFrame, columns: list[str], score: str, n: int) -> DataFrame:
     """Distinct rows by descending score, n at most, ties by the columns."""
     return df.select(*columns, score).distinct().orderBy(F.desc(score), *columns).limit(n)
+
+
+def class_list(spark, path: str) -> DataFrame:
+    """(value) of a JSON file that holds a list of texts."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<string>").alias("x"))
+    return whole.select(F.explode("x").alias("value")).where("value IS NOT NULL").distinct()
+
+
+def clean_collection(df: DataFrame, id_col: str, text: str, classes: str, genres: str, wrong: DataFrame, lookup: DataFrame, removed: list[str], entropy: float, longest: int, blanks: list[str], sep: str = ",") -> DataFrame:
+    """The cleaning job in order: rows without a text go; rows with a class among `wrong` (value) go; genres that occur once
+    in the whole table are taken out; texts over `longest` characters go; plot_length, n_tokens, n_distinct and entropy are
+    added and entropies below the bound go; genres become clusters by `lookup` (raw, cluster, label; unmapped ones are
+    dropped, nothing mapped is null) as cluster_ids and cluster_names, joined by commas in order; rows with a removed
+    cluster go; nulls in `blanks` become empty texts. Ids are distinct."""
+    from quillon.operators.relational import drop_single_values, token_features
+
+    rows = df.where(present(F.col(text)))
+    values = F.transform(F.split(F.coalesce(classes, F.lit("")), sep), lambda x: F.trim(x))
+    bad = rows.select(F.col(id_col).alias("__id"), F.explode(values).alias("v")).join(wrong.select("value").distinct(), F.col("v") == F.col("value"), "left_semi").select("__id").distinct()
+    rows = rows.join(bad, F.col(id_col) == F.col("__id"), "left_anti")
+    often = drop_single_values(rows, id_col, genres, sep).select(F.col(id_col).alias("__id"), F.col(genres).alias("__genres"))
+    rows = rows.join(often, F.col(id_col) == F.col("__id"), "left").drop("__id", genres).withColumnRenamed("__genres", genres)
+    rows = rows.withColumn("plot_length", F.length(text).cast("long")).where(F.col("plot_length") <= longest)
+    facts = token_features(rows, id_col, text).withColumnRenamed(id_col, "__id").where(F.round("entropy", 6) >= entropy)
+    rows = rows.join(facts, F.col(id_col) == F.col("__id")).drop("__id")
+    each = rows.select(F.col(id_col).alias("__id"), F.explode(F.split(F.coalesce(genres, F.lit("")), sep)).alias("raw")).withColumn("raw", F.trim("raw"))
+    found = each.join(lookup, "raw").groupBy("__id").agg(F.array_sort(F.collect_set(F.struct("cluster", "label"))).alias("x"))
+    found = found.select("__id", F.array_join("x.cluster", sep).alias("cluster_ids"), F.array_join("x.label", sep).alias("cluster_names"), F.arrays_overlap("x.cluster", F.array(*map(F.lit, removed))).alias("__gone"))
+    rows = rows.join(found, F.col(id_col) == F.col("__id"), "left").where("__gone IS NULL OR NOT __gone").drop("__id", "__gone")
+    return blanks_for_nulls(rows, blanks)

@@ -94,15 +94,15 @@ class NoNormalization:
 
 
 class SmallestGroup(NoNormalization):
-    """Strategy: every group is sampled down to the smallest group's size."""
+    """Strategy: every group (of one column or several) is sampled down to the smallest group's size."""
 
-    def __init__(self, key: str, id_col: str):
-        self.key, self.id_col = key, id_col
+    def __init__(self, keys: str | list[str], id_col: str):
+        self.keys, self.id_col = [keys] if isinstance(keys, str) else list(keys), id_col
 
     def prepare(self, df: DataFrame) -> DataFrame:
         from quillon.operators.relational import downsample_to_smallest
 
-        return downsample_to_smallest(df, self.key, self.id_col)
+        return downsample_to_smallest(df.withColumn("__key", F.struct(*self.keys)), "__key", self.id_col).drop("__key")
 
 
 class StandardError(NoNormalization):
@@ -131,6 +131,29 @@ def drift_metrics(df: DataFrame, strategy, g="genre", t="year", vector="embeddin
     return out.withColumns({"acceleration": F.lead("normalised").over(w) - F.col("normalised"), "cumulative": F.sum("normalised").over(w.rowsBetween(W.unboundedPreceding, 0))})
 
 
+def drift_by_periods(df: DataFrame, id_col: str, strategy, years: int = 1, most: int | None = None, reps: int | None = None, g="genre", t="year", vector="embedding") -> DataFrame:
+    """Drift between periods of `years` years: of each group and period at most the first `most` rows by id, then
+    drift_metrics under the strategy; with reps also median, low and high of bootstrapped replicates of the same rows."""
+    from quillon.operators.cleaning import head_per_group
+    from quillon.operators.temporal import period
+
+    rows = df.withColumn(t, period(F.col(t), years))
+    rows = strategy.prepare(rows)
+    rows = head_per_group(rows, [g, t], [id_col], most) if most else rows
+    out = drift_metrics(rows, _Prepared(strategy), g, t, vector)
+    if reps:
+        ends = bootstrapped_change(rows, id_col, g, t, vector, reps).select(F.col(g).alias("__g"), F.col(t).alias("__t"), "median", "low", "high")
+        out = out.join(ends, F.col(g).eqNullSafe(F.col("__g")) & F.col(t).eqNullSafe(F.col("__t")), "left").drop("__g", "__t")
+    return out
+
+
+class _Prepared(NoNormalization):
+    """A strategy whose rows are prepared already."""
+
+    def __init__(self, strategy):
+        self.normalise = strategy.normalise
+
+
 def bootstrapped_change(df: DataFrame, id_col: str, g="genre", t="year", vector="embedding", reps: int = 20, seed: int = 42) -> DataFrame:
     """Drift of Poisson(1)-weighted replicates: g, t, median, low, high (2.5 and 97.5 percent) of the cosine distance
     to the next present period's mean in the same replicate. A row's weight in a replicate follows from a hash of its

@@ -599,4 +599,4 @@ def interval_overlap_weights(spark, sf):
     return r6(relational.overlap_weights(p, q, "conv_id"), "weight")
 
 
-from quillon.plans import more, spaces  # noqa: E402,F401 - they register their queries here
+from quillon.plans import more, records, spaces  # noqa: E402,F401 - they register their queries here
