@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.functions.vectors import cosine_distance, dot, doubles, long_form, mean_vectors, norm, unit_sums
+from quillon.functions.vectors import FLUSH, cosine_distance, dot, doubles, long_form, mean_vectors, norm, unit_sums
 from quillon.operators.similarity import mean_pair_cosine
 
 
@@ -157,16 +161,46 @@ class _Prepared(NoNormalization):
 def bootstrapped_change(df: DataFrame, id_col: str, g="genre", t="year", vector="embedding", reps: int = 20, seed: int = 42) -> DataFrame:
     """Drift of Poisson(1)-weighted replicates: g, t, median, low, high (2.5 and 97.5 percent) of the cosine distance
     to the next present period's mean in the same replicate. A row's weight in a replicate follows from a hash of its
-    id, so a task that runs again draws the same. The last period has no row."""
-    rep = df.select(id_col, g, t, doubles(vector).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    u = (F.conv(F.substring(F.md5(F.concat_ws("-", F.col(id_col).cast("string"), "rep", F.lit(seed))), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
-    weight, total, term = F.lit(0), 0.0, 0.36787944117144233
+    id, so a task that runs again draws the same; a task adds up its rows for all replicates by a matrix product and
+    hands on one array a group, period and replicate. The last period has no row; rows without an id or a vector are left
+    out."""
+    steps, total, term = [], 0.0, 0.36787944117144233
     for k in range(8):
         total += term
-        weight = weight + (u > total).cast("int")
+        steps.append(total)
         term /= k + 1
-    drawn = rep.select(g, t, "rep", weight.alias("w"), "v").where("w > 0")
-    sums = drawn.select(g, t, "rep", "w", F.posexplode("v").alias("pos", "x")).groupBy(g, t, "rep", "pos").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
+    kinds = [df.schema[c].dataType.simpleString() for c in (g, t)]
+
+    def partial(batches):
+        sums: dict = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            ids = [str(i).encode() for i in b.column(0).to_pylist()]
+            u = np.array([[int(hashlib.md5(b"%b-%d-%d" % (i, r, seed)).hexdigest()[:8], 16) for r in range(reps)] for i in ids])
+            w = ((u[:, :, None] + 0.5) / 4294967296.0 > np.array(steps)).sum(2).astype(float)
+            code: dict = {}
+            at = np.array([code.setdefault(k, len(code)) for k in zip(b.column(1).to_pylist(), b.column(2).to_pylist())])
+            for key, c in code.items():  # replicates x rows by rows x components
+                mine = at == c
+                part = np.c_[w[mine].sum(0), w[mine].T @ x[mine]]
+                sums[key] = sums[key] + part if key in sums else part
+            if len(sums) * (x.shape[1] + 1) * reps > FLUSH:
+                yield from flush(sums, b)
+                sums = {}
+            last = b
+        if sums:
+            yield from flush(sums, last)
+
+    def flush(sums, b):
+        rows = [(key, r, line) for key, part in sums.items() for r, line in enumerate(part) if line[0] > 0]
+        cols = [pa.array([k[i] for k, _, _ in rows], b.schema.field(1 + i).type) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array([r for _, r, _ in rows], pa.int32()), pa.array([line[0] for _, _, line in rows]), pa.array([line[1:].tolist() for _, _, line in rows], pa.list_(pa.float64()))], names=["g", "t", "rep", "w", "x"])
+
+    drawn = df.select(F.col(id_col).cast("string").alias("id"), F.col(g).alias("g"), F.col(t).alias("t"), doubles(vector).alias("v")).where("v IS NOT NULL AND id IS NOT NULL")
+    parts = drawn.mapInArrow(partial, f"g {kinds[0]}, t {kinds[1]}, rep int, w double, x array<double>").select(F.col("g").alias(g), F.col("t").alias(t), "rep", "w", F.posexplode("x").alias("pos", "x"))
+    sums = parts.groupBy(g, t, "rep", "pos").agg((F.sum("x") / F.sum("w")).alias("m"))
     means = sums.groupBy(g, t, "rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda c: c["m"]).alias("c"))
     change = means.withColumn("d", cosine_distance(F.col("c"), F.lead("c").over(W.partitionBy(g, "rep").orderBy(t)))).where("d IS NOT NULL")
     p = F.percentile("d", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))

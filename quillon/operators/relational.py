@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,13 +86,26 @@ def poisson_bootstrap(df: DataFrame, key: str, id_col: str, value: str, reps: in
 
 
 def token_features(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Tokens, distinct tokens and Shannon entropy (bits) of each text; 0 for a text without tokens. A row's figures
-    come from runs in its sorted tokens, so nothing is shuffled."""
-    zero = "named_struct('last', CAST(NULL AS string), 'run', 0D, 'd', 0L, 'e', 0D)"
-    step = "IF(x <=> a.last, named_struct('last', a.last, 'run', a.run + 1D, 'd', a.d, 'e', a.e), named_struct('last', x, 'run', 1D, 'd', a.d + 1L, 'e', a.e + IF(a.run > 1D, a.run * log2(a.run), 0D)))"
-    end = "named_struct('d', a.d, 'e', a.e + IF(a.run > 1D, a.run * log2(a.run), 0D))"
-    t = df.select(id_col, F.array_sort(tokens(F.col(text))).alias("t")).select(id_col, F.size("t").cast("long").alias("n"), F.expr(f"aggregate(t, {zero}, (a, x) -> {step}, a -> {end})").alias("s"))
-    return t.select(id_col, F.col("n").alias("n_tokens"), F.col("s.d").alias("n_distinct"), F.when(F.col("n") > 0, F.log2("n") - F.col("s.e") / F.col("n")).otherwise(0.0).alias("entropy"))
+    """Tokens, distinct tokens and Shannon entropy (bits) of each text; 0 for a text without tokens. Texts are counted in
+    Arrow batches where they lie, so nothing is shuffled; lower case and white space are as in functions.text.tokens."""
+    kind = df.schema[id_col].dataType.simpleString()
+    space = re.compile("[ \\t\\n\\x0b\\f\\r]+")
+
+    def run(batches):
+        for b in batches:
+            n, distinct, entropy = [], [], []
+            for t in b.column(1).to_pylist():
+                counts = Counter(space.split(t))
+                counts.pop("", None)
+                c = np.fromiter(counts.values(), float, len(counts))
+                total = c.sum()
+                n.append(int(total))
+                distinct.append(len(c))
+                entropy.append(float(np.log2(total) - (c * np.log2(c)).sum() / total) if total else 0.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(distinct, pa.int64()), pa.array(entropy, pa.float64())], names=[id_col, "n_tokens", "n_distinct", "entropy"])
+
+    lowered = F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__text")
+    return df.select(id_col, lowered).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_distinct long, entropy double")
 
 
 def clean_funnel(df: DataFrame, id_col: str, text: str, steps: list[tuple[str, object]]) -> DataFrame:
