@@ -44,11 +44,60 @@ FORMS = [
     (r"spdx license identifier (?:{0})", "license", 1.0), (r"licensed under (?:the )?(?:terms of )?(?:the )?(?:{0})(?: licen[cs]e)?", "licensed", 0.95), (r"released under (?:the )?(?:{0})(?: licen[cs]e)?", "released", 0.95),
     (r"distributed under (?:the )?(?:terms of )?(?:the )?(?:{0})(?: licen[cs]e)?", "distributed", 0.9), (r"(?:the )?(?:{0}) licen[cs]e", "license licence", 0.85), (r"licen[cs]e (?:type )?(?:is )?(?:the )?(?:{0})", "license licence", 0.7),
 ]
-# Wordings of texts of licenses themselves.
+# Wordings of texts and notices of licenses: label, a phrase that every match has, the wording, confidence.
 WORDINGS = [
     ("mit", "permission is hereby", r"permission is hereby granted free of charge to any person obtaining a copy", 1.0), ("isc", "permission to use", r"permission to use copy modify and or distribute this software for any purpose", 1.0),
     ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification", 1.0), ("public-domain", "public domain", r"(?:released into|dedicated to|placed in(?:to)?|in) the public domain", 0.8),
     ("proprietary", "all rights reserved", r"(?:copyright [^ ]+ (?:[^ ]+ ){0,4})?all rights reserved", 0.4), ("gpl", "free software", r"this program is free software you can redistribute it and or modify it", 1.0), ("warranty", "warranty", r"without warranty of any kind|as is without warranty", 0.3),
+    ("mit", "the above copyright notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 1.0),
+    ("mit-0", "permission is hereby", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided as is", 1.0),
+    ("x11", "x consortium shall not", r"the name of the x consortium shall not be used in advertising", 1.0),
+    ("apache-2.0", "compliance with the license", r"you may not use this file except in compliance with the license", 1.0),
+    ("apache-2.0", "apache org licenses", r"(?:https? )?(?:www )?apache org licenses license 2 0(?: txt| html)?", 1.0),
+    ("apache-2.0", "applicable law", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 0.9),
+    ("apache-1.1", "apache software foundation", r"this product includes software developed by the apache software foundation", 0.9),
+    ("bsd-2-clause", "binary form must reproduce", r"redistributions in binary form must reproduce the above copyright notice", 0.8),
+    ("bsd-3-clause", "endorse or promote", r"neither the names? of (?:[^ ]+ ){1,12}may be used to endorse or promote products derived from this software", 1.0),
+    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display", 1.0),
+    ("isc", "appear in all copies", r"provided that the above copyright notice and this permission notice appear in all copies", 0.9),
+    ("0bsd", "hereby granted", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided", 1.0),
+    ("gpl-2.0", "any later version", r"version 2 of the license or at your option any later version", 1.0),
+    ("gpl-3.0", "any later version", r"version 3 of the license or at your option any later version", 1.0),
+    ("gpl-2.0", "59 temple place", r"59 temple place suite 330 boston ma 02111 1307", 0.7), ("gpl-2.0", "51 franklin", r"51 franklin (?:street|st) fifth floor boston ma 02110 1301", 0.7),
+    ("gpl", "copy of the gnu", r"you should have received a copy of the gnu general public license along with", 1.0),
+    ("gpl-3.0", "copyleft license", r"the gnu general public license is a free copyleft license for software and other kinds of works", 1.0),
+    ("gpl-2.0", "take away your freedom", r"the licenses for most software are designed to take away your freedom to share and change it", 1.0),
+    ("lgpl", "copy of the gnu", r"you should have received a copy of the gnu (?:lesser|library) general public license along with", 1.0),
+    ("lgpl-2.1", "any later version", r"version 2 1 of the license or at your option any later version", 1.0),
+    ("agpl-3.0", "copy of the gnu", r"you should have received a copy of the gnu affero general public license along with", 1.0),
+    ("agpl-3.0", "network server software", r"specifically designed to ensure cooperation with the community in the case of network server software", 1.0),
+    ("mpl-2.0", "source code form", r"this source code form is subject to the terms of the mozilla public license v(?:ersion)? 2 0", 1.0),
+    ("mpl-2.0", "mozilla org mpl", r"obtain one at (?:https? )?mozilla org mpl 2 0", 1.0), ("mpl-1.1", "contents of this file", r"the contents of this file are subject to the mozilla public license version 1 1", 1.0),
+    ("epl-1.0", "eclipse org legal", r"(?:https? )?(?:www )?eclipse org legal epl v10 html", 1.0), ("epl-2.0", "eclipse org legal", r"(?:https? )?(?:www )?eclipse org legal epl 2 0", 1.0),
+    ("epl", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse", 1.0),
+    ("cddl-1.0", "common development", r"the contents of this file are subject to the terms of the common development and distribution license", 1.0),
+    ("zlib", "altered source versions", r"altered source versions must be plainly marked as such", 1.0), ("zlib", "origin of this software", r"the origin of this software must not be misrepresented", 1.0),
+    ("boost-1.0", "boost org license", r"(?:https? )?(?:www )?boost org license 1 0 txt", 1.0), ("boost-1.0", "machine executable", r"solely in the form of machine executable object code generated by a source language processor", 1.0),
+    ("unlicense", "unencumbered software", r"this is free and unencumbered software released into the public domain", 1.0), ("unlicense", "unlicense org", r"(?:https? )?(?:www )?unlicense org", 0.9),
+    ("wtfpl", "do what the", r"do what the [^ ]+ you want to public license", 1.0), ("wtfpl", "you just do what", r"you just do what the [^ ]+ you want to", 1.0),
+    ("cc0-1.0", "creativecommons org", r"creativecommons org publicdomain zero 1 0", 1.0), ("cc0-1.0", "waived all copyright", r"has waived all copyright and related or neighboring rights", 1.0),
+    ("cc-by", "creativecommons org", r"creativecommons org licenses by [1234] [05]", 1.0), ("cc-by-sa", "creativecommons org", r"creativecommons org licenses by sa [1234] [05]", 1.0),
+    ("cc-by-nc", "creativecommons org", r"creativecommons org licenses by nc [1234] [05]", 1.0), ("cc-by-nd", "creativecommons org", r"creativecommons org licenses by nd [1234] [05]", 1.0),
+    ("cc-by-nc-sa", "creativecommons org", r"creativecommons org licenses by nc sa [1234] [05]", 1.0), ("cc-by-nc-nd", "creativecommons org", r"creativecommons org licenses by nc nd [1234] [05]", 1.0),
+    ("artistic-2.0", "standard version", r"you may distribute verbatim copies of the source form of the standard version", 0.9), ("artistic", "artistic control", r"maintain some semblance of artistic control over the development of the package", 1.0),
+    ("perl", "free software", r"this (?:library|program|module) is free software you (?:can|may) redistribute it and or modify it under the same terms as perl", 1.0),
+    ("python-2.0", "python software foundation", r"this license agreement is between the python software foundation", 1.0), ("ruby", "either the terms", r"you can redistribute it and or modify it under either the terms of the (?:2 clause bsdl|gpl)", 0.9),
+    ("php-3.0", "php software", r"this product includes php software freely available from", 1.0), ("openssl", "openssl project", r"this product includes software developed by the openssl project", 1.0),
+    ("ofl-1.1", "font software", r"this font software is licensed under the sil open font license", 1.0), ("ofl-1.1", "reserved font name", r"with reserved font name", 0.9),
+    ("odbl", "open database", r"this [^ ]+ is made available under the open database license", 1.0), ("eupl", "european union public", r"you may not use this work except in compliance with the licen[cs]e (?:[^ ]+ ){0,20}european union public", 0.9),
+    ("ms-pl", "this license governs", r"this license governs use of the accompanying software", 0.9), ("postgresql", "university of california", r"in no event shall the university of california be liable to any party for direct", 0.8),
+    ("ncsa", "with the software without", r"to deal with the software without restriction", 0.9), ("sspl", "service source code", r"offering the program as a service you must make the service source code available", 1.0),
+    ("busl", "change date", r"effective on the change date", 0.8), ("elastic", "hosted or managed service", r"you may not provide the software to third parties as a hosted or managed service", 1.0),
+    ("vim", "vim", r"there are no restrictions on distributing unmodified copies of vim", 1.0), ("w3c", "w3c", r"title to copyright in this (?:work|software) (?:[^ ]+ ){0,12}w3c", 0.8),
+    ("beerware", "buy me a beer", r"you can buy me a beer in return", 1.0), ("jsr", "shall be used for good", r"the software shall be used for good not evil", 1.0),
+    ("commons-clause", "commons clause", r"commons clause license condition v?1 0", 1.0), ("proprietary", "confidential and proprietary", r"(?:strictly )?confidential and proprietary", 0.7),
+    ("proprietary", "unauthorized copying", r"unauthorized copying of this (?:file|work|material) via any medium is strictly prohibited", 0.9), ("proprietary", "may not be reproduced", r"(?:this (?:[^ ]+ ){0,4})?may not be reproduced (?:[^ ]+ ){0,8}without (?:the )?(?:prior )?(?:written )?permission", 0.6),
+    ("non-commercial", "non commercial", r"for (?:personal )?non commercial (?:use|purposes) only", 0.7), ("research-only", "research purposes", r"for (?:academic and )?research purposes only", 0.7),
 ]
 _NEEDED = {w for _, ws, _ in FORMS for w in ws.split()} | {max(reversed(k.split()), key=len) for k in [p for p, _ in BASE] + [k for _, k, _, _ in WORDINGS]}
 #: A document without any of these words is not looked at by any rule: every match of a rule has one of them
