@@ -34,9 +34,9 @@ from quillon.llm.common import lean, shared_dir, slices, stash, table, text_byte
 from quillon.llm.kernels import piece_hashes, ragged, segments
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-CHUNK_BYTES, CHUNK_SEGMENTS = 32 << 20, 300_000  # a chunk ends beyond either; a longer document is one alone
+CHUNK_BYTES, CHUNK_SEGMENTS = 32 << 20, 150_000  # a chunk ends beyond either; a longer document is one alone
 SLICE = 1 << 20  # bytes or segments that are worked on at once inside a chunk
-BLOB = 500_000  # alignments that a task packs at once
+BLOB = 200_000  # alignments that a task packs at once
 MAX_PAIRS = 2_000_000  # id pairs whose counts are broadcast (17 bytes each); beyond it they are joined to the chunks
 WIDE = 4096  # links of a group above which its distinct ids are paired instead of all its tokens
 
