@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.functions.kept import keep
+from quillon.functions.kept import drop, keep
 from quillon.functions.vectors import doubles, unit
 
 ROWS, BYTES = 4096, 4 << 20  # of a block, at most
@@ -54,6 +54,7 @@ def build(df: DataFrame, id_col: str, vector: str = "embedding", extra: Mapping[
     cosine 0 with all; a block that has one is never passed over."""
     spark, extra = df.sparkSession, dict(extra or {})
     rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), unit(doubles(vector)).alias("u"), *(c.alias(n) for n, c in extra.items()))
+    rows = keep(rows, "index-rows")  # the passes below read it, not what it comes from
     kind = rows.schema["id"].dataType.simpleString()
     types = {n: rows.schema[n].dataType.simpleString().replace("bigint", "long") for n in extra}
     n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("u")), F.lit(0))).first()
@@ -109,6 +110,7 @@ def build(df: DataFrame, id_col: str, vector: str = "embedding", extra: Mapping[
 
     schema = f"block long, p array<long>, ids array<{kind}>, x binary, centre binary, radius double, low double, high double{''.join(f', `{e}` array<{t}>' for e, t in types.items())}"
     table = keep(dealt.mapInArrow(packed, schema), "blocks")
+    drop(rows)
     before = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # one narrow row a block
     starts = table.select("block", F.size("p").alias("k")).select(F.col("block").alias("b"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
     table = table.join(F.broadcast(starts), F.col("block") == F.col("b")).drop("b").withColumn("p", F.transform("p", lambda i: i + F.col("start"))).drop("start")
