@@ -46,12 +46,12 @@ def map_lemmas(weights: DataFrame, space: DataFrame, vectors: DataFrame, key: st
     one, are lost. Scores of 0 or less are left out; ties (to 9 places) go to the smaller idx. Null words and weights are ignored."""
     w = weights.where(F.col("word").isNotNull() & F.col("weight").isNotNull()).select(F.col(key).alias("key"), F.col("word").alias("lemma"), F.col("weight").cast("double").alias("weight"))
     total = w.groupBy("key").agg(F.sum("weight").alias("total")).select(F.col("key").alias("__k"), "total")
-    w = w.join(total, F.col("key").eqNullSafe(F.col("__k"))).where("total <> 0").select("key", "lemma", (F.col("weight") / F.col("total")).alias("share"))
+    w = w.join(total, F.col("key").eqNullSafe(F.col("__k"))).where("total <> 0")
     words = space.groupBy(F.col("word").alias("name")).agg(F.min("idx").alias("concept"))
     unknown = w.select("lemma").distinct().join(words.select("name"), F.col("lemma") == F.col("name"), "left_anti")
     asked = vectors.select(F.col("word").alias("__w"), "vec").join(unknown, F.col("lemma") == F.col("__w")).groupBy("lemma").agg(F.first("vec").alias("vec"))
     nearest = search(space, asked, "lemma", 1, "vec").select(F.col("lemma").alias("name"), F.col("idx").alias("concept"))
-    mapped = w.join(words.unionByName(nearest), F.col("lemma") == F.col("name")).groupBy("key", "concept").agg(F.sum("share").alias("score")).where("score > 0")
+    mapped = w.join(words.unionByName(nearest), F.col("lemma") == F.col("name")).groupBy("key", "concept").agg((F.sum("weight") / F.first("total")).alias("score")).where("score > 0")  # divided once: whole weights add up exactly
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("s"), "concept", "score"))), 1, k)  # a key's concepts: its distinct words at most
     top = mapped.groupBy("key").agg(best.alias("b")).select("key", F.posexplode("b").alias("pos", "b"))
     named = top.join(space.select(F.col("idx").alias("__i"), "word"), F.col("b.concept") == F.col("__i"))

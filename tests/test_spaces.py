@@ -269,3 +269,13 @@ def test_spectra_by_year(spark):
         s = np.linalg.svd(x - x.mean(0), compute_uv=False)
         assert (r.n, r.frobenius, r.spectral) == (len(x), pytest.approx(np.sqrt((s**2).sum()), abs=1e-5), pytest.approx(s[0], abs=1e-5))
         assert r.pve == pytest.approx(s[0] ** 2 / (s**2).sum(), abs=1e-5) and r.n95 == int((np.cumsum(s**2) / (s**2).sum() < 0.95).sum()) + 1
+
+
+def test_lemma_scores_are_divided_once(spark):
+    """25 of 640 words are 0.0390625, whatever the order in which they are added up."""
+    space = spark.createDataFrame([(0, "a", [1.0, 0.0]), (1, "b", [0.0, 1.0])], "idx long, word string, vec array<double>")
+    vectors = spark.createDataFrame([], "word string, vec array<double>")
+    counts = [3, 25, 41, 67, 201]
+    rows = [(n, "a", 1) for n in counts for _ in range(n)] + [(n, "b", 640 - n) for n in counts]
+    got = concepts.map_lemmas(spark.createDataFrame(rows, "key long, word string, weight long"), space, vectors, "key").where("word = 'a'")
+    assert {r.key: r.score for r in got.collect()} == {n: n / 640 for n in counts}
