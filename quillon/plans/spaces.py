@@ -59,9 +59,7 @@ m AS (SELECT q.doc_id, CASE WHEN q.id % 3 = 0 THEN q.id ELSE near.idx END AS idx
 SELECT doc_id, CAST(rank AS INT) AS rank, 'w' || idx AS word, round(score, 6) AS score FROM r WHERE rank <= 10""")
 def concept_lemmas(spark, sf):
     """The ten heaviest concepts of each document's words."""
-    t = read(spark, sf, "documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("w"))
-    lemma = F.concat(F.lit("w"), F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long") % 400)
-    weights = t.groupBy("doc_id", lemma.alias("word")).agg(F.count("*").alias("weight"))
+    weights = concepts.hashed_lemmas(read(spark, sf, "documents").select("doc_id", X.tokens(F.col("text")).alias("w")), "doc_id", "w", 400)
     vectors = emb(spark, sf).select(F.concat(F.lit("w"), "vec_id").alias("word"), F.col("embedding").alias("vec"))
     return r6(concepts.map_lemmas(weights, _space(spark, sf), vectors, "doc_id", 10), "score")
 

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -279,3 +280,26 @@ def test_lemma_scores_are_divided_once(spark):
     rows = [(n, "a", 1) for n in counts for _ in range(n)] + [(n, "b", 640 - n) for n in counts]
     got = concepts.map_lemmas(spark.createDataFrame(rows, "key long, word string, weight long"), space, vectors, "key").where("word = 'a'")
     assert {r.key: r.score for r in got.collect()} == {n: n / 640 for n in counts}
+
+
+def test_lemma_weights_are_made_once_and_shuffled_once(spark):
+    """The words are counted in one pass and without a shuffle, and what is left is one shuffle by key."""
+    rows = [(1, ["a", "b", "a", None]), (2, []), (3, None), (1, ["b"]), (None, ["c"])]
+    df = spark.createDataFrame(rows, "key long, w array<string>")
+    weights = concepts.hashed_lemmas(df, "key", "w", 7)
+    code = {t: "w" + str(int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 7) for t in "abc"}
+    want = [(k, code[t], ts.count(t)) for k, ts in rows if ts for t in set(ts) - {None}]
+    assert len(set(code.values())) == 3 and sorted(map(repr, map(tuple, weights.collect()))) == sorted(map(repr, want))
+    assert "Exchange" not in weights._jdf.queryExecution().executedPlan().toString()
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    space = spark.createDataFrame([(i, f"w{i}", [1.0, float(i)]) for i in (0, 3, 6)], "idx long, word string, vec array<double>")
+    vectors = spark.createDataFrame([(f"w{i}", [1.0, float(i)]) for i in range(7)], "word string, vec array<double>")
+    out = concepts.map_lemmas(weights.mapInArrow(counted, weights.schema), space, vectors, "key")
+    assert {r.key for r in out.collect()} == {1, None} and read.value == len(want)
