@@ -15,8 +15,8 @@
    sets'. Candidates are verified on the whole sets; links make components.
 6. Further rounds take the shingles that several components have. Members of one component are never
    compared again, and a tile that one component fills is not paired with itself. A member has at most so many
-   candidates of other components a shingle; shingles where one had more are looked at again with four times as
-   many allowed, until none has. So no link between components is lost, and a group of copies gives rows in proportion.
+   candidates of other components a shingle, one each way at first, as links make few components of many; shingles
+   where one had more are looked at again with four times as many allowed, until none has. So no link between components is lost, and a group of copies gives rows in proportion.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from quillon.llm.kernels import mix, ragged, shingles
 
 WIDTH, ORDERS, TILE = 5, 3, 1024
 FIRST_SHARE, FIRST_SHORT = 8, 64  # the first round takes one shingle of so many; all of sets so small
-PARTNERS = 32  # candidates of other components that a member may have a shingle in the second round
+PARTNERS = 1  # later and earlier candidates of other components that a member may have a shingle in the second round; most meet in many shingles
 SKETCH, FILTER_BITS, FILTER_K = 1 << 20, 27, 2
 HOT = 8  # a shingle is frequent from so many times the sketch's mean on
 SEEDS = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
