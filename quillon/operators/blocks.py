@@ -3,13 +3,15 @@
 Rows are dealt to a few pivots by angle and packed in that order, a block a row of the table. A scan brings every left
 block together with the right blocks, one at a time, as a stream that a task reads in order: it holds one left block,
 what its rows have found so far and one right block. By the triangle inequality on angles a right block whose nearest
-possible vector is farther than all rows still care for is passed over, exactly. Right blocks are copied to left blocks,
-rows are never paired outside a matrix product, and a scan hands on what its kernel makes of a left block alone.
+possible vector is farther than all rows still care for is passed over, exactly. Left blocks that stand together are held
+by one task, up to HELD bytes; right blocks are copied once to each such group, not to each left block. Rows are never
+paired outside a matrix product, and a scan hands on what its kernel makes of a left block alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +24,19 @@ from quillon.functions.kept import drop, keep
 from quillon.functions.vectors import doubles, unit
 
 ROWS, BYTES = 4096, 4 << 20  # of a block, at most
+HELD = 48 << 20  # bytes of left blocks that a task holds at most
 PIVOTS = 256
+NO_GROUP = -1  # of right blocks, where the left ones are of another table
 SLACK = 1e-9  # of cosines, against rounding
 
 
 class Blocks:
     """table: block, p (dense row numbers from 0), ids, x (float64, row by row), centre, radius, low, high (of `by`) and
-    the extra columns as arrays; rows, width: of the whole; kind: of the ids."""
+    the extra columns as arrays; rows, width, count (blocks): of the whole; kind: of the ids; groups: i,
+    g, left_low, left_high of each block's group 0, 1, ... and its bounds."""
 
-    def __init__(self, table: DataFrame, rows: int, width: int, kind: str, extra: Mapping[str, str]):
-        self.table, self.rows, self.width, self.kind, self.extra = table, rows, width, kind, dict(extra)
+    def __init__(self, table: DataFrame, rows: int, width: int, count: int, kind: str, extra: Mapping[str, str], groups: DataFrame):
+        self.table, self.rows, self.width, self.count, self.kind, self.extra, self.groups = table, rows, width, count, kind, dict(extra), groups
 
 
 class View:
@@ -43,7 +48,7 @@ class View:
         self.q = self.ids.to_numpy(zero_copy_only=False) if pa.types.is_integer(self.ids.type) and not self.ids.null_count else self.p
         self.x = np.frombuffer(row["x"]).reshape(len(self.p), width)
         self.centre, self.radius = np.frombuffer(row["centre"]), row["radius"]
-        self.low, self.high = row["low"], row["high"]
+        self.low, self.high, self.own = row["low"], row["high"], row["turn"] < 2  # own: of the task's group
         for name in extra:
             setattr(self, name, np.asarray(row[name]))
 
@@ -112,9 +117,13 @@ def build(df: DataFrame, id_col: str, vector: str = "embedding", extra: Mapping[
     table = keep(dealt.mapInArrow(packed, schema), "blocks")
     drop(rows)
     before = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # one narrow row a block
+    bounds = table.select("block", "low", "high")
     starts = table.select("block", F.size("p").alias("k")).select(F.col("block").alias("b"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
     table = table.join(F.broadcast(starts), F.col("block") == F.col("b")).drop("b").withColumn("p", F.transform("p", lambda i: i + F.col("start"))).drop("start")
-    return Blocks(table, n, width, kind, types)
+    total = starts.count()
+    most = max(1, min(HELD // max(8 * width * -(-n // max(total, 1)), 1), -(-total // (2 * spark.sparkContext.defaultParallelism))))
+    place = F.row_number().over(W.orderBy("block")) - 1  # one narrow row a block
+    return Blocks(table, n, width, total, kind, types, keep(bounds.select(F.col("block").alias("i"), F.floor(place / most).cast("int").alias("g"), F.col("low").alias("left_low"), F.col("high").alias("left_high")), "groups"))
 
 
 def points(blocks: Blocks, *columns: str) -> DataFrame:
@@ -129,7 +138,7 @@ def with_column(blocks: Blocks, values: DataFrame, name: str) -> Blocks:
     placed = blocks.table.select("block", F.posexplode("p").alias("pos", "p")).join(values.select(F.col("p").alias("q"), name), F.col("p") == F.col("q"))
     lists = placed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pos", name))).alias("cells")).select(F.col("block").alias("b"), F.transform("cells", lambda c: c[name]).alias(name))
     table = blocks.table.drop(name).join(lists, F.col("block") == F.col("b")).drop("b")
-    return Blocks(table, blocks.rows, blocks.width, blocks.kind, {**blocks.extra, name: kind})
+    return Blocks(table, blocks.rows, blocks.width, blocks.count, blocks.kind, {**blocks.extra, name: kind}, blocks.groups)
 
 
 def nearest_possible(a: View, b: View) -> float:
@@ -138,45 +147,62 @@ def nearest_possible(a: View, b: View) -> float:
     return float(np.cos(max(between, 0.0)))
 
 
-def scan(left: Blocks, right: Blocks, kernel, schema: str, meet: Column | None = None) -> DataFrame:
+def scan(left: Blocks, right: Blocks, kernel, schema: str, meet: Column | None = None, once: bool = False) -> DataFrame:
     """What a kernel finds for each left block's rows over the right blocks (schema, from its finish()).
 
     A kernel has begin(block), least(block): the smallest cosine that still matters to any row against that block (None:
-    the block does not matter), meet(block, cosines) and finish(). meet: a condition on left_low, left_high, right_low,
-    right_high by which pairs of blocks are left out before anything is copied."""
+    the block does not matter), meet(block, cosines) and finish(); each left block has a copy of its own. meet: a condition
+    on left_low, left_high, right_low, right_high by which right blocks are left out of a group before anything is copied,
+    if no block of the group meets them. once: of two blocks of different groups (not `own`) only one meets the other."""
     width, names = left.width, ["block", "p", "ids", "x", "centre", "radius", "low", "high"]
     both = [e for e in left.extra if e in right.extra]
-    ends = right.table.agg(F.collect_list(F.struct(F.col("block").alias("j"), F.col("low").alias("right_low"), F.col("high").alias("right_high"))).alias("js"))
-    units = left.table.select(F.col("block").alias("i"), F.col("low").alias("left_low"), F.col("high").alias("left_high")).join(F.broadcast(ends))  # one row: three numbers a block
-    units = units.select("i", "left_low", "left_high", F.explode("js").alias("r")).select("i", "left_low", "left_high", "r.*")
-    units = (units.where(meet) if meet is not None else units).select("i", "j")
-    heads = left.table.withColumn("ids", F.array().cast(f"array<{right.kind}>"))  # a left row is known by its p alone
-    heads = heads.select(F.col("block").alias("i"), F.lit(0).alias("turn"), *names, *both)
-    rest = units.join(right.table.select(*names, *both), F.col("j") == F.col("block")).select("i", F.when(F.col("i") == F.col("j"), 1).otherwise(2).alias("turn"), *names, *both)
-    stream = heads.unionByName(rest).repartition("i").sortWithinPartitions("i", "turn", "block")
+    groups = left.groups
+    count = groups.agg(F.coalesce(F.max("g"), F.lit(0))).first()[0] + 1
+    mine = left.table.join(F.broadcast(groups.select("i", "g")), F.col("block") == F.col("i"))  # two numbers a block
+    heads = mine.withColumn("ids", F.array().cast(f"array<{right.kind}>"))  # a left row is known by its p alone
+    heads = heads.select("g", F.lit(0).alias("turn"), *names, *both)
+    if left is right:
+        rest = right.table.join(F.broadcast(groups.select("i", F.col("g").alias("of"))), F.col("block") == F.col("i"))
+    else:
+        rest = right.table.withColumn("of", F.lit(NO_GROUP))
+    if meet is None:
+        rest = rest.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    else:
+        ends = groups.agg(F.collect_list(F.struct("g", "left_low", "left_high")).alias("all"))  # one row: three numbers a block
+        narrow = right.table.select(F.col("block").alias("j"), F.col("low").alias("right_low"), F.col("high").alias("right_high")).join(F.broadcast(ends))
+        units = narrow.select("j", "right_low", "right_high", F.explode("all").alias("l")).select("j", "right_low", "right_high", "l.*").where(meet)
+        rest = rest.join(units.groupBy("j").agg(F.collect_set("g").alias("gs")), F.col("block") == F.col("j")).withColumn("g", F.explode("gs"))
+    if once:
+        apart = F.pmod(F.col("of") - F.col("g"), F.lit(count))
+        rest = rest.where((2 * apart < count) | ((2 * apart == count) & (F.col("g") < F.col("of"))))
+    rest = rest.select("g", F.when(F.col("g") == F.col("of"), 1).otherwise(2).alias("turn"), *names, *both)
+    stream = heads.unionByName(rest).repartitionById(count, "g").sortWithinPartitions("g", "turn", "block")
 
     def run(batches):
-        mine = None
+        at, held = None, []
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k].as_py() for c in batch.schema.names if c not in ("p", "ids", *both)}
                 row |= {c: batch.column(c).slice(k, 1).flatten().to_numpy(zero_copy_only=False) for c in ("p", *both)}
                 row["ids"] = batch.column("ids").slice(k, 1).flatten()
+                if row["turn"] == 0:  # what is held must not hold its whole batch
+                    row |= {c: row[c].copy() for c in ("p", *both)} | {"ids": pa.array([], row["ids"].type)}
                 block = View(row, width, both)
+                if row["g"] != at:
+                    yield from (one.finish() for _, one in held)
+                    at, held = row["g"], []
                 if row["turn"] == 0:
-                    if mine is not None:
-                        yield kernel.finish()
-                    mine = block
-                    kernel.begin(block)
+                    held.append((block, copy(kernel)))
+                    held[-1][1].begin(block)
                     continue
-                least = kernel.least(block)
-                if least is None or nearest_possible(mine, block) < least - SLACK:
-                    continue
-                # the same product whichever side a block stands on, so that a pair has one cosine
-                cosines = mine.x @ block.x.T if mine.number <= block.number else (block.x @ mine.x.T).T
-                kernel.meet(block, np.round(cosines, 12))
-        if mine is not None:
-            yield kernel.finish()
+                for mine, one in held:
+                    least = one.least(block)
+                    if least is None or nearest_possible(mine, block) < least - SLACK:
+                        continue
+                    # the same product whichever side a block stands on, so that a pair has one cosine
+                    cosines = mine.x @ block.x.T if mine.number <= block.number else (block.x @ mine.x.T).T
+                    one.meet(block, np.round(cosines, 12))
+        yield from (one.finish() for _, one in held)
 
     return stream.mapInArrow(run, schema)
 

@@ -223,7 +223,8 @@ class Angles:
         angle = np.arccos(np.clip(cosines, -1, 1))
         if block.number == self.block.number:
             angle = angle[~np.eye(len(angle), dtype=bool)]
-        self.n, self.total, self.squares = self.n + angle.size, self.total + angle.sum(), self.squares + (angle * angle).sum()
+        times = 1 if block.own else 2  # blocks of two groups meet on one side
+        self.n, self.total, self.squares = self.n + times * angle.size, self.total + times * angle.sum(), self.squares + times * (angle * angle).sum()
 
     def finish(self) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([self.n], pa.int64()), pa.array([self.total], pa.float64()), pa.array([self.squares], pa.float64())], names=["n", "total", "squares"])
@@ -232,7 +233,7 @@ class Angles:
 def angle_spread(df: DataFrame, id_col: str, vector: str = "embedding") -> DataFrame:
     """mean_angle and std_angle (radians, population) over all pairs of rows, summed up block by block."""
     index = build(df, id_col, vector)
-    sums = scan(index, index, Angles(), Angles.SCHEMA).agg(F.sum("n").alias("n"), F.sum("total").alias("t"), F.sum("squares").alias("q"))
+    sums = scan(index, index, Angles(), Angles.SCHEMA, once=True).agg(F.sum("n").alias("n"), F.sum("total").alias("t"), F.sum("squares").alias("q"))
     mean = F.try_divide("t", "n")
     return sums.select(mean.alias("mean_angle"), F.sqrt(F.greatest(F.try_divide("q", "n") - mean * mean, F.lit(0.0))).alias("std_angle"))
 

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from quillon.operators import blocks, density
+from quillon.operators import blocks, density, gaussian
 
 SF = "/root/testdata/sf0.001"
 
@@ -150,3 +150,33 @@ def test_blocks_bounded_and_skips_exact(spark):
     np.fill_diagonal(c, -np.inf)
     top = np.sort(c, 1)[:, ::-1][:, :3]
     assert all(np.allclose([f.cosine for f in r.found], top[r.id]) for r in found) and len(found) == 700
+
+
+def test_right_blocks_are_copied_to_groups_not_to_blocks(spark, monkeypatch):
+    """A table of 96 blocks is copied to 2 groups a core (or as many as HELD allows), and results stay those of all pairs."""
+    monkeypatch.setattr(blocks, "ROWS", 64)
+    x = np.random.default_rng(8).normal(size=(6100, 6))
+    index = blocks.build(frame(spark, list(range(len(x))), x), "id")
+    assert index.count >= 96 and index.groups.select("g").distinct().count() <= 2 * spark.sparkContext.defaultParallelism
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counted(blocks.Nearest):
+        def least(self, block):
+            if not getattr(block, "told", False):
+                seen.add(1)
+                block.told = True
+            return super().least(block)
+
+    kernel = Counted(3, same=True)
+    got = {r.p: [f.q for f in r.found] for r in blocks.scan(index, index, kernel, kernel.schema()).collect()}
+    assert index.count <= seen.value <= index.count * 2 * spark.sparkContext.defaultParallelism < index.count**2 / 4
+    ids = {r.p: r.id for r in blocks.points(index).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = np.round(u @ u.T, 12)
+    np.fill_diagonal(c, -1)
+    best = np.argsort(-c, axis=1, kind="stable")[:, :3]
+    assert {ids[p]: q for p, q in got.items()} == {i: best[i].tolist() for i in range(len(x))}
+    assert blocks.HELD >= blocks.BYTES
+    n, total, squares = blocks.scan(index, index, gaussian.Angles(), gaussian.Angles.SCHEMA, once=True).groupBy().sum("n", "total", "squares").first()
+    a = np.arccos(np.clip(c[~np.eye(len(x), dtype=bool)], -1, 1))
+    assert n == a.size and total == pytest.approx(a.sum()) and squares == pytest.approx((a * a).sum())
