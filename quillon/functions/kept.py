@@ -34,3 +34,8 @@ def drop(*frames: DataFrame) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.kept_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Between rounds: Spark deletes the files of shuffles that no plan refers to any more when the driver collects garbage."""
+    spark._jvm.System.gc()

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.kept import drop, keep
+from quillon.functions.kept import drop, keep, release_shuffles
 from quillon.functions.vectors import doubles, unit
 from quillon.operators.blocks import Blocks, Nearest, Outside, build, points, scan, with_column
 
@@ -83,9 +83,12 @@ def _joined(up: DataFrame) -> DataFrame:
 def spanning_tree(index: Blocks, cores: DataFrame) -> DataFrame:
     """(a, b, reach): the edges of the least spanning tree of mutual reachability over the points' numbers, a < b."""
     index = with_column(index, cores, "core")
+    index.table = keep(index.table, "tree-blocks")  # rounds read it, not what it comes from
     comp, edges = points(index).select("p", F.col("p").alias("comp")), []
     for _ in range(64):
         best = keep(scan(marked := with_column(index, comp, "comp"), marked, Outside(), Outside.SCHEMA), "tree-reaches")
+        del marked
+        release_shuffles(index.table.sparkSession)
         a, b = F.least("p", "q"), F.greatest("p", "q")
         least = keep(best.groupBy("comp").agg(F.min(F.struct("reach", a.alias("a"), b.alias("b"), "other")).alias("e")).select("comp", "e.*"), "tree-steps")
         drop(best)
@@ -98,6 +101,7 @@ def spanning_tree(index: Blocks, cores: DataFrame) -> DataFrame:
     for e in edges[1:]:
         out = out.unionByName(e)
     out = keep(out, "tree")
+    drop(index.table)
     if out.count() != max(index.rows - 1, 0):
         raise RuntimeError("the spanning tree has a cycle")
     return out
