@@ -29,7 +29,8 @@ def norm(a: Column) -> Column:
 def unit(a: Column) -> Column:
     """L2-normalised; the zero vector stays as it is."""
     n = norm(a)
-    return F.transform(a, lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    once = F.array(F.when(n == 0, F.lit(1.0)).otherwise(n))  # inside the inner lambda it would be worked out for each component
+    return F.transform(once, lambda m: F.transform(a, lambda x: x / m))[0]
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

@@ -1,17 +1,19 @@
 """A metric index: unit vectors in blocks of bounded size with a centre and a radius, and scans of blocks by blocks.
 
 Rows are dealt to a few pivots by angle and packed in that order, a block a row of the table. A scan brings every left
-block together with the right blocks, one at a time, as a stream that a task reads in order: it holds one left block,
-what its rows have found so far and one right block. By the triangle inequality on angles a right block whose nearest
-possible vector is farther than all rows still care for is passed over, exactly. Left blocks that stand together are held
-by one task, up to HELD bytes; right blocks are copied once to each such group, not to each left block. Rows are never
-paired outside a matrix product, and a scan hands on what its kernel makes of a left block alone.
+block together with the right blocks, one at a time. Left blocks that stand together are held by one task, up to HELD
+bytes; each task reads the right blocks itself from where the table is kept (a Cartesian product of left groups with the
+table), so that no copy of them is shuffled or written, however many groups there are. By the triangle inequality on
+angles a right block whose nearest possible vector is farther than all rows still care for is passed over, exactly. Rows
+are never paired outside a matrix product, and a scan hands on what its kernel makes of a left block alone. Kernels that
+look for few near rows take products of single floats first; what these cannot rule out is worked out in double floats.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from copy import copy
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,18 +22,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.functions.kept import drop, keep
+from quillon.functions.kept import drop, keep, release_shuffles
 from quillon.functions.vectors import doubles, unit
 
 ROWS, BYTES = 4096, 4 << 20  # of a block, at most
 HELD = 48 << 20  # bytes of left blocks that a task holds at most
 PIVOTS = 256
-NO_GROUP = -1  # of right blocks, where the left ones are of another table
 SLACK = 1e-9  # of cosines, against rounding
+TILE = 512  # rows of a left block that are multiplied at once
 
 
 class Blocks:
-    """table: block, p (dense row numbers from 0), ids, x (float64, row by row), centre, radius, low, high (of `by`) and
+    """table: block (dense numbers), p (dense row numbers from 0), ids, x (float64, row by row), centre, radius, low, high (of `by`) and
     the extra columns as arrays; rows, width, count (blocks): of the whole; kind: of the ids; groups: i,
     g, left_low, left_high of each block's group 0, 1, ... and its bounds."""
 
@@ -48,10 +50,14 @@ class View:
         self.q = self.ids.to_numpy(zero_copy_only=False) if pa.types.is_integer(self.ids.type) and not self.ids.null_count else self.p
         self.x = np.frombuffer(row["x"]).reshape(len(self.p), width)
         self.centre, self.radius = np.frombuffer(row["centre"]), row["radius"]
-        self.low, self.high, self.own = row["low"], row["high"], row["turn"] < 2  # own: of the task's group
+        self.low, self.high, self.own = row["low"], row["high"], True  # own: is the left block itself
         for name in extra:
             setattr(self, name, np.asarray(row[name]))
 
+    @cached_property
+    def single(self) -> np.ndarray:
+        return self.x.astype(np.float32)
+
 
 def build(df: DataFrame, id_col: str, vector: str = "embedding", extra: Mapping[str, Column] | None = None, by: str | None = None, stretches: int = 1) -> Blocks:
     """Packs the rows that have a vector. extra: more columns, long or double without nulls; `by` names one of them whose
@@ -59,7 +65,8 @@ def build(df: DataFrame, id_col: str, vector: str = "embedding", extra: Mapping[
     cosine 0 with all; a block that has one is never passed over."""
     spark, extra = df.sparkSession, dict(extra or {})
     rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), unit(doubles(vector)).alias("u"), *(c.alias(n) for n, c in extra.items()))
-    rows = keep(rows, "index-rows")  # the passes below read it, not what it comes from
+    if not hasattr(df, "kept_at"):
+        rows = keep(rows, "index-rows")  # the passes below read it, not what it comes from
     kind = rows.schema["id"].dataType.simpleString()
     types = {n: rows.schema[n].dataType.simpleString().replace("bigint", "long") for n in extra}
     n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("u")), F.lit(0))).first()
@@ -114,16 +121,20 @@ def build(df: DataFrame, id_col: str, vector: str = "embedding", extra: Mapping[
             yield pack({**held, "block": number})
 
     schema = f"block long, p array<long>, ids array<{kind}>, x binary, centre binary, radius double, low double, high double{''.join(f', `{e}` array<{t}>' for e, t in types.items())}"
-    table = keep(dealt.mapInArrow(packed, schema), "blocks")
-    drop(rows)
-    before = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # one narrow row a block
-    bounds = table.select("block", "low", "high")
-    starts = table.select("block", F.size("p").alias("k")).select(F.col("block").alias("b"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
-    table = table.join(F.broadcast(starts), F.col("block") == F.col("b")).drop("b").withColumn("p", F.transform("p", lambda i: i + F.col("start"))).drop("start")
-    total = starts.count()
+    kept = keep(dealt.mapInArrow(packed, schema), "blocks")
+    if hasattr(rows, "kept_at"):
+        drop(rows)
+    del dealt, spots
+    release_shuffles(spark)
+    order = W.orderBy("block")  # one narrow row a block
+    known = keep(kept.select("block", "low", "high", F.size("p").alias("k")).select(F.col("block").alias("b"), (F.row_number().over(order) - 1).cast("long").alias("number"), F.coalesce(F.sum("k").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"), F.col("low").alias("left_low"), F.col("high").alias("left_high")), "block-starts")
+    starts = F.broadcast(known.select("b", "number", "start"))
+    table = kept.join(starts, F.col("block") == F.col("b")).withColumn("block", F.col("number")).withColumn("p", F.transform("p", lambda i: i + F.col("start"))).drop("b", "number", "start")
+    table.kept_at = kept.kept_at
+    total = known.count()
     most = max(1, min(HELD // max(8 * width * -(-n // max(total, 1)), 1), -(-total // (2 * spark.sparkContext.defaultParallelism))))
-    place = F.row_number().over(W.orderBy("block")) - 1  # one narrow row a block
-    return Blocks(table, n, width, total, kind, types, keep(bounds.select(F.col("block").alias("i"), F.floor(place / most).cast("int").alias("g"), F.col("low").alias("left_low"), F.col("high").alias("left_high")), "groups"))
+    groups = known.select(F.col("number").alias("i"), F.floor(F.col("number") / most).cast("int").alias("g"), "left_low", "left_high")
+    return Blocks(table, n, width, total, kind, types, groups)
 
 
 def points(blocks: Blocks, *columns: str) -> DataFrame:
@@ -147,64 +158,78 @@ def nearest_possible(a: View, b: View) -> float:
     return float(np.cos(max(between, 0.0)))
 
 
+def cosines(a: View, b: View) -> np.ndarray:
+    """Of all rows; the same product whichever side a block stands on, so that a pair has one cosine."""
+    return np.round(a.x @ b.x.T if a.number <= b.number else (b.x @ a.x.T).T, 12)
+
+
+def near(a: View, b: View, least: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(rows of a, rows of b, cosines) of the pairs whose cosine is at least that of the row of a; None if there may be more
+    than `most`. A cosine of single floats is off by less than `slack`."""
+    slack = (a.x.shape[1] + 4) * 1.3e-7
+    floor, found, n = (least - slack).astype(np.float32), [], 0
+    for at in range(0, len(a.x), TILE):
+        c, low = a.single[at : at + TILE] @ b.single.T, floor[at : at + TILE]
+        hit = np.flatnonzero(c.max(1) >= low)
+        i, j = np.nonzero(c[hit] >= low[hit, None])
+        found.append((hit[i] + at, j))
+        n += len(i)
+        if n > most:
+            return None
+    i, j = (np.concatenate(x) for x in zip(*found))
+    c = np.round(np.einsum("ij,ij->i", a.x[i], b.x[j]), 12)
+    real = c >= least[i]
+    return i[real], j[real], c[real]
+
+
 def scan(left: Blocks, right: Blocks, kernel, schema: str, meet: Column | None = None, once: bool = False) -> DataFrame:
     """What a kernel finds for each left block's rows over the right blocks (schema, from its finish()).
 
     A kernel has begin(block), least(block): the smallest cosine that still matters to any row against that block (None:
-    the block does not matter), meet(block, cosines) and finish(); each left block has a copy of its own. meet: a condition
-    on left_low, left_high, right_low, right_high by which right blocks are left out of a group before anything is copied,
-    if no block of the group meets them. once: of two blocks of different groups (not `own`) only one meets the other."""
-    width, names = left.width, ["block", "p", "ids", "x", "centre", "radius", "low", "high"]
+    the block does not matter), meet(block) and finish(); each left block has a copy of its own. meet: a condition on
+    left_low, left_high, right_low, right_high by which pairs of blocks are left out. once: of two different blocks only
+    one meets the other; block.own tells whether the right block is the left one."""
+    width, same, names = left.width, left is right, ["block", "p", "ids", "x", "centre", "radius", "low", "high"]
     both = [e for e in left.extra if e in right.extra]
-    groups = left.groups
-    count = groups.agg(F.coalesce(F.max("g"), F.lit(0))).first()[0] + 1
-    mine = left.table.join(F.broadcast(groups.select("i", "g")), F.col("block") == F.col("i"))  # two numbers a block
-    heads = mine.withColumn("ids", F.array().cast(f"array<{right.kind}>"))  # a left row is known by its p alone
-    heads = heads.select("g", F.lit(0).alias("turn"), *names, *both)
-    if left is right:
-        rest = right.table.join(F.broadcast(groups.select("i", F.col("g").alias("of"))), F.col("block") == F.col("i"))
-    else:
-        rest = right.table.withColumn("of", F.lit(NO_GROUP))
-    if meet is None:
-        rest = rest.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    else:
-        ends = groups.agg(F.collect_list(F.struct("g", "left_low", "left_high")).alias("all"))  # one row: three numbers a block
-        narrow = right.table.select(F.col("block").alias("j"), F.col("low").alias("right_low"), F.col("high").alias("right_high")).join(F.broadcast(ends))
-        units = narrow.select("j", "right_low", "right_high", F.explode("all").alias("l")).select("j", "right_low", "right_high", "l.*").where(meet)
-        rest = rest.join(units.groupBy("j").agg(F.collect_set("g").alias("gs")), F.col("block") == F.col("j")).withColumn("g", F.explode("gs"))
+    count = left.groups.agg(F.coalesce(F.max("g"), F.lit(0))).first()[0] + 1
+    mine = left.table.join(F.broadcast(left.groups.select("i", "g")), F.col("block") == F.col("i"))  # two numbers a block
+    mine = mine.withColumn("ids", F.array().cast(f"array<{right.kind}>"))  # a left row is known by its p alone
+    mine = mine.repartitionById(count, "g").select(*(F.col(c).alias(f"left_{c}") for c in (*names, *both)))
+    rest = right.table.select(*(F.col(c).alias(f"right_{c}") for c in (*names, *both))).coalesce(1)  # each group reads it through
+    wanted = F.lit(True) if meet is None else meet
     if once:
-        apart = F.pmod(F.col("of") - F.col("g"), F.lit(count))
-        rest = rest.where((2 * apart < count) | ((2 * apart == count) & (F.col("g") < F.col("of"))))
-    rest = rest.select("g", F.when(F.col("g") == F.col("of"), 1).otherwise(2).alias("turn"), *names, *both)
-    stream = heads.unionByName(rest).repartitionById(count, "g").sortWithinPartitions("g", "turn", "block")
+        apart = F.col("right_block") - F.col("left_block")
+        wanted = wanted & ((apart == 0) | ((apart > 0) == (F.pmod(apart, F.lit(2)) == 1)))
+    pairs = rest.join(mine.hint("shuffle_replicate_nl"), wanted)
 
     def run(batches):
-        at, held = None, []
+        def block_of(batch, k: int, side: str) -> View:
+            column = lambda c: batch.column(f"{side}_{c}")
+            row = {c: column(c)[k].as_py() for c in names if c not in ("p", "ids")}
+            row |= {c: column(c).slice(k, 1).flatten().to_numpy(zero_copy_only=False) for c in ("p", *both)}
+            row["ids"] = column("ids").slice(k, 1).flatten()
+            if side == "left":  # what is held must not hold its whole batch
+                row |= {c: row[c].copy() for c in ("p", *both)} | {"ids": pa.array([], row["ids"].type)}
+            return View(row, width, both)
+
+        held, block = {}, None
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names if c not in ("p", "ids", *both)}
-                row |= {c: batch.column(c).slice(k, 1).flatten().to_numpy(zero_copy_only=False) for c in ("p", *both)}
-                row["ids"] = batch.column("ids").slice(k, 1).flatten()
-                if row["turn"] == 0:  # what is held must not hold its whole batch
-                    row |= {c: row[c].copy() for c in ("p", *both)} | {"ids": pa.array([], row["ids"].type)}
-                block = View(row, width, both)
-                if row["g"] != at:
-                    yield from (one.finish() for _, one in held)
-                    at, held = row["g"], []
-                if row["turn"] == 0:
-                    held.append((block, copy(kernel)))
-                    held[-1][1].begin(block)
+            lefts, rights = (batch.column(f"{side}_block").to_pylist() for side in ("left", "right"))
+            for k, (i, j) in enumerate(zip(lefts, rights)):
+                if block is None or block.number != j:
+                    block = block_of(batch, k, "right")
+                if i not in held:
+                    held[i] = (view := block_of(batch, k, "left")), copy(kernel)
+                    held[i][1].begin(view)
+                view, one = held[i]
+                block.own = i == j and same
+                least = one.least(block)
+                if least is None or nearest_possible(view, block) < least - SLACK:
                     continue
-                for mine, one in held:
-                    least = one.least(block)
-                    if least is None or nearest_possible(mine, block) < least - SLACK:
-                        continue
-                    # the same product whichever side a block stands on, so that a pair has one cosine
-                    cosines = mine.x @ block.x.T if mine.number <= block.number else (block.x @ mine.x.T).T
-                    one.meet(block, np.round(cosines, 12))
-        yield from (one.finish() for _, one in held)
+                one.meet(block)
+        yield from (one.finish() for _, one in held.values())
 
-    return stream.mapInArrow(run, schema)
+    return pairs.mapInArrow(run, schema)
 
 
 class Nearest:
@@ -220,29 +245,45 @@ class Nearest:
     def begin(self, block: View) -> None:
         self.block = block
         n = len(block.p)
-        self.c, self.q, self.w = np.full((n, 0), -np.inf), np.zeros((n, 0), np.int64), np.zeros((n, 0))
+        self.c, self.q, self.w = np.full((n, self.k), -np.inf), np.zeros((n, self.k), np.int64), np.zeros((n, self.k))
 
     def least(self, block: View) -> float:
-        return -np.inf if self.c.shape[1] < self.k else float(self.c[:, -1].min())
+        return float(self.c[:, -1].min())
 
-    def meet(self, block: View, cosines: np.ndarray) -> None:
-        n, m = cosines.shape
+    def meet(self, block: View) -> None:
+        worst = self.c[:, -1]
+        few = near(self.block, block, worst, 16 * self.k * len(worst)) if np.isfinite(worst).all() else None
+        i, j, c = few or self._best(block)
         if self.same and self.block.number == block.number:
-            cosines = cosines.copy()
-            np.fill_diagonal(cosines, -np.inf)
-        if m > self.k:
-            part = np.argpartition(-cosines, self.k - 1, axis=1)[:, : self.k]
-            edge = np.take_along_axis(cosines, part, 1).min(1)
-            crowded = np.flatnonzero((cosines >= edge[:, None]).sum(1) > self.k)
-            if len(crowded):  # rows with ties at the edge: the smaller numbers stay
-                by_p = np.argsort(block.q, kind="stable")
-                part[crowded] = by_p[np.argsort(-cosines[crowded][:, by_p], axis=1, kind="stable")[:, : self.k]]
-        else:
-            part = np.broadcast_to(np.arange(m), (n, m))
-        weights = getattr(block, self.payload)[part] if self.payload else np.zeros(part.shape)
-        c, q, w = np.c_[self.c, np.take_along_axis(cosines, part, 1)], np.c_[self.q, block.q[part]], np.c_[self.w, weights]
-        order = np.lexsort((q, -c), axis=1)[:, : self.k]
-        self.c, self.q, self.w = (np.take_along_axis(x, order, 1) for x in (c, q, w))
+            i, j, c = (x[i != j] for x in (i, j, c))
+        rows = np.unique(i)
+        if not len(rows):
+            return
+        old = lambda x: x[rows].ravel()
+        i, c, q = np.r_[np.repeat(rows, self.k), i], np.r_[old(self.c), c], np.r_[old(self.q), block.q[j]]
+        w = np.r_[old(self.w), getattr(block, self.payload)[j] if self.payload else np.zeros(len(j))]
+        order = np.lexsort((q, -c, i))
+        starts = np.searchsorted(i[order], rows)
+        order = order[starts[:, None] + np.arange(self.k)]  # each row has k old cells at least
+        self.c[rows], self.q[rows], self.w[rows] = c[order], q[order], w[order]
+
+    def _best(self, block: View) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best of that block alone (k + 1 with the row itself), ties by q."""
+        k, found = self.k + int(self.same), []
+        every, m = cosines(self.block, block), len(block.p)
+        for at in range(0, len(every), TILE):
+            c = every[at : at + TILE]
+            if m > k:
+                part = np.argpartition(-c, k - 1, axis=1)[:, :k]
+                edge = np.take_along_axis(c, part, 1).min(1)
+                crowded = np.flatnonzero((c >= edge[:, None]).sum(1) > k)
+                if len(crowded):  # rows with ties at the edge: the smaller numbers stay
+                    by_q = np.argsort(block.q, kind="stable")
+                    part[crowded] = by_q[np.argsort(-c[crowded][:, by_q], axis=1, kind="stable")[:, :k]]
+            else:
+                part = np.broadcast_to(np.arange(m), (len(c), m))
+            found.append((np.repeat(np.arange(at, at + len(c)), part.shape[1]), part.ravel(), np.take_along_axis(c, part, 1).ravel()))
+        return tuple(np.concatenate(x) for x in zip(*found))
 
     def finish(self) -> pa.RecordBatch:
         real = np.isfinite(self.c)
@@ -264,9 +305,9 @@ class Earlier:
         late = self.block.t > block.low
         return float(self.best[late].min()) if late.any() else None
 
-    def meet(self, block: View, cosines: np.ndarray) -> None:
+    def meet(self, block: View) -> None:
         late = np.flatnonzero(self.block.t > block.low)
-        c = cosines[late]
+        c = cosines(self.block, block)[late]
         if block.high >= self.block.t[late].min():
             c = np.where(block.t[None, :] < self.block.t[late][:, None], c, -np.inf)
         self.best[late] = np.maximum(self.best[late], c.max(1))
@@ -296,8 +337,8 @@ class Outside:
             return None
         return -np.inf if np.isinf(worst) else 1 - worst
 
-    def meet(self, block: View, cosines: np.ndarray) -> None:
-        r = np.maximum(np.maximum(1 - cosines, block.core[None, :]), self.block.core[:, None])
+    def meet(self, block: View) -> None:
+        r = np.maximum(np.maximum(1 - cosines(self.block, block), block.core[None, :]), self.block.core[:, None])
         r[self.block.comp[:, None] == block.comp[None, :]] = np.inf
         low = r.min(1)
         q = np.where(r == low[:, None], block.p[None, :], np.iinfo(np.int64).max)

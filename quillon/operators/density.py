@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,37 +33,66 @@ GENERATIONS = 24  # bits of a cluster's number that count its ancestors along on
 NO = -1
 
 
+def told(u):
+    """A key for a vector; where two vectors share one, points are numbered instead."""
+    return F.xxhash64(u)
+
+
 def distinct_points(df: DataFrame, id_col: str, vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    """(rows: id, u; points: key, u, weight) of the rows that have a vector."""
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.transform(unit(doubles(vector)), lambda x: F.round(x, 12)).alias("u"))
-    return rows, keep(rows.groupBy("u").agg(F.count("*").cast("double").alias("weight")).withColumn("key", F.monotonically_increasing_id()), "points")
+    """(rows: id, key; points: key, u, weight) of the rows that have a vector. The points are kept until they are indexed."""
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.transform(unit(doubles(vector)), lambda x: F.round(x, 12) + 0.0).alias("u"))
+    single = keep(rows.groupBy("u").agg(F.count("*").cast("double").alias("weight")).withColumns({"key": told(F.col("u")), "number": F.monotonically_increasing_id()}), "points")
+    release_shuffles(df.sparkSession)
+    if single.groupBy("key").count().where("count > 1").limit(1).count():  # rows find their points by whole vectors
+        keyed = single.select(F.col("number").alias("key"), "u", "weight")
+        rows = rows.join(keyed.select(F.col("u").alias("v"), "key"), F.col("u") == F.col("v")).select("id", "key")
+        return rows, keyed
+    keyed = single.select("key", "u", "weight")
+    keyed.kept_at = single.kept_at
+    return rows.select("id", told(F.col("u")).alias("key")), keyed
+
+
+def _indexed(single: DataFrame) -> Blocks:
+    """The points in blocks; the points themselves go where rows need only their keys."""
+    index = build(single, "key", "u", {"weight": F.col("weight")})
+    if hasattr(single, "kept_at"):
+        drop(single)
+    return index
 
 
-def _back(rows: DataFrame, single: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
+def _back(rows: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
     """id and columns of every row, from a table key, columns of the points."""
-    by_vector = single.select("key", F.col("u").alias("v")).join(found.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("v", *columns)
-    return rows.join(by_vector, F.col("u") == F.col("v")).select("id", *columns)
+    return rows.join(found.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("id", *columns)
+
+
+class Cores(Nearest):
+    """Kernel: the least distance within which k other rows stand, copies counted: p, core."""
+
+    SCHEMA = "p long, core double"
+
+    def __init__(self, k: int):
+        super().__init__(k, same=True, payload="weight")
+
+    def finish(self) -> pa.RecordBatch:
+        # the count of rows at each found point's distance or nearer; the row's own copies come first, at distance 0
+        enough = (self.block.weight - 1)[:, None] + self.w.cumsum(1) >= self.k
+        last = np.maximum(np.isfinite(self.c).sum(1) - 1, 0)  # the farthest, where there are fewer rows
+        at = np.where(enough.any(1), enough.argmax(1), last)
+        core = 1 - self.c[np.arange(len(at)), at]
+        core = np.where((self.block.weight > self.k) | ~np.isfinite(core), 0.0, np.round(np.maximum(core, 0), 12))
+        return pa.RecordBatch.from_arrays([pa.array(self.block.p), pa.array(core)], names=["p", "core"])
 
 
 def _cores(index: Blocks, k: int) -> DataFrame:
-    """p, core: the least distance within which k other rows stand, copies counted."""
-    kernel = Nearest(k, same=True, payload="weight")
-    found = scan(index, index, kernel, kernel.schema()).join(points(index, "weight").select(F.col("p").alias("own"), "weight"), F.col("p") == F.col("own"))
-    # the count of rows at each found point's distance or nearer; the row's own copies come first, at distance 0
-    counted = F.aggregate(
-        "found", F.struct((F.col("weight") - 1).alias("n"), F.when(F.col("weight") > k, 0.0).alias("core")),
-        lambda s, x: F.struct((s["n"] + x["weight"]).alias("n"), F.when(s["core"].isNotNull(), s["core"]).when(s["n"] + x["weight"] >= k, 1 - x["cosine"]).alias("core")))
-    farthest = F.coalesce(1 - F.element_at(F.col("found"), -1)["cosine"], F.lit(0.0))
-    core = F.coalesce(counted["core"], F.when(F.size("found") > 0, farthest).otherwise(0.0))
-    return found.select("p", F.round(F.greatest(core, F.lit(0.0)), 12).alias("core"))
+    return scan(index, index, Cores(k), Cores.SCHEMA)
 
 
 def core_distances(df: DataFrame, id_col: str, k: int = 5, vector: str = "embedding") -> DataFrame:
     """(id, core) of every row that has a vector; repeated ids are rows of their own. An empty table gives no rows."""
     rows, single = distinct_points(df, id_col, vector)
-    index = build(single, "key", "u", {"weight": F.col("weight")})
+    index = _indexed(single)
     found = points(index).join(_cores(index, k).withColumnRenamed("p", "q"), F.col("p") == F.col("q")).select(F.col("id").alias("key"), "core")
-    return _back(rows, single, found, ["core"]).withColumnRenamed("id", id_col)
+    return _back(rows, found, ["core"]).withColumnRenamed("id", id_col)
 
 
 def _joined(up: DataFrame) -> DataFrame:
@@ -110,7 +140,7 @@ def spanning_tree(index: Blocks, cores: DataFrame) -> DataFrame:
 def tree_weight(df: DataFrame, id_col: str, k: int = 5, vector: str = "embedding") -> DataFrame:
     """n (edges, those between copies too) and total (their reach) of the spanning tree of all rows that have a vector."""
     _, single = distinct_points(df, id_col, vector)
-    index = build(single, "key", "u", {"weight": F.col("weight")})
+    index = _indexed(single)
     cores = keep(_cores(index, k), "cores")
     within = points(index, "weight").join(cores.withColumnRenamed("p", "q"), F.col("p") == F.col("q")).agg(F.coalesce(F.sum(F.col("weight") - 1), F.lit(0.0)).alias("m"), F.coalesce(F.sum((F.col("weight") - 1) * F.col("core")), F.lit(0.0)).alias("w"))
     between = spanning_tree(index, cores).agg(F.count("*").alias("n"), F.coalesce(F.sum("reach"), F.lit(0.0)).alias("total"))
@@ -272,7 +302,7 @@ def density_clusters(df: DataFrame, id_col: str, least: int = 10, k: int = 5, ve
     if least < 2 or k < 1:
         raise ValueError("a cluster has at least two rows, and k is at least 1")
     rows, single = distinct_points(df, id_col, vector)
-    index = build(single, "key", "u", {"weight": F.col("weight")})
+    index = _indexed(single)
     cores = keep(_cores(index, k), "cores")
     edges = spanning_tree(index, cores)
     weights = points(index, "weight").select("p", "id", "weight").join(cores.select(F.col("p").alias("q"), "core"), F.col("p") == F.col("q")).drop("q")
@@ -280,6 +310,6 @@ def density_clusters(df: DataFrame, id_col: str, least: int = 10, k: int = 5, ve
     chosen = _topmost(clusters).where("chosen IS NOT NULL").join(clusters.select(F.col("cluster").alias("x"), "stability"), F.col("chosen") == F.col("x")).select(F.col("cluster").alias("y"), "chosen", "stability")
     mine = home.join(chosen, F.col("cluster") == F.col("y")).select(F.col("p").alias("z"), "chosen", "stability")
     named = weights.join(mine, F.col("p") == F.col("z"), "left").select(F.col("id").alias("key"), "chosen", "stability")
-    out = keep(_back(rows, single, named, ["chosen", "stability"]), "density")
+    out = keep(_back(rows, named, ["chosen", "stability"]), "density")
     names = out.where("chosen IS NOT NULL").groupBy(F.col("chosen").alias("c")).agg(F.min("id").alias("cluster"))
     return out.join(names, F.col("chosen") == F.col("c"), "left").select(F.col("id").alias(id_col), "cluster", "stability")

@@ -14,7 +14,7 @@ from quillon.functions.ordered import running
 from quillon.functions.special import chi2_at, chi2_p_value, chi2_quantile
 from quillon.functions.vectors import gram
 from quillon.operators import linalg
-from quillon.operators.blocks import build, scan
+from quillon.operators.blocks import build, cosines, scan
 from quillon.operators.similarity import cosine_stats, resultant_length
 from quillon.operators.stats import inverse_normal
 
@@ -219,11 +219,11 @@ class Angles:
     def least(self, block) -> float:
         return -np.inf
 
-    def meet(self, block, cosines: np.ndarray) -> None:
-        angle = np.arccos(np.clip(cosines, -1, 1))
+    def meet(self, block) -> None:
+        angle = np.arccos(np.clip(cosines(self.block, block), -1, 1))
         if block.number == self.block.number:
             angle = angle[~np.eye(len(angle), dtype=bool)]
-        times = 1 if block.own else 2  # blocks of two groups meet on one side
+        times = 1 if block.own else 2  # two blocks meet on one side
         self.n, self.total, self.squares = self.n + times * angle.size, self.total + times * angle.sum(), self.squares + times * (angle * angle).sum()
 
     def finish(self) -> pa.RecordBatch:

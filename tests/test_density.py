@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.operators import blocks, density, gaussian
 
@@ -180,3 +181,50 @@ def test_right_blocks_are_copied_to_groups_not_to_blocks(spark, monkeypatch):
     n, total, squares = blocks.scan(index, index, gaussian.Angles(), gaussian.Angles.SCHEMA, once=True).groupBy().sum("n", "total", "squares").first()
     a = np.arccos(np.clip(c[~np.eye(len(x), dtype=bool)], -1, 1))
     assert n == a.size and total == pytest.approx(a.sum()) and squares == pytest.approx((a * a).sum())
+
+
+def shuffled(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    every = sc.statusStore().executorList(False)
+    return sum(every.apply(i).totalShuffleWrite() for i in range(every.size()))
+
+
+def test_disk_grows_with_rows_not_with_groups(spark, monkeypatch):
+    """96 blocks and 16 groups: what is shuffled is a few times the table, not a copy for each group."""
+    monkeypatch.setattr(blocks, "ROWS", 64)
+    x = np.random.default_rng(5).normal(size=(6100, 32))
+    df, before = frame(spark, range(len(x)), x), shuffled(spark)
+    got = {r.id: r.core for r in density.core_distances(df, "id", 4).collect()}
+    assert 0 < shuffled(spark) - before < 6 * x.nbytes
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = u @ u.T
+    np.fill_diagonal(c, -1)
+    want = 1 - np.sort(c, 1)[:, -4]
+    assert np.allclose([got[i] for i in range(len(x))], want, atol=1e-9)
+
+
+def test_points_of_one_hash(spark, monkeypatch):
+    """Vectors whose hashes meet stay points of their own."""
+    x = mixture(4, 200, 4, 3)
+    x[100:140] = x[:40]
+    df = frame(spark, range(len(x)), x)
+    run = lambda: (sorted(map(tuple, density.core_distances(df, "id", 3).collect())), sorted(map(tuple, density.density_clusters(df, "id", 6, 3).collect())))
+    want = run()
+    monkeypatch.setattr(density, "told", lambda u: F.pmod(F.xxhash64(u), F.lit(50)))
+    assert run() == want and len(want[0]) == 200
+
+
+def test_near_rows_by_single_floats_are_those_of_all_pairs(spark):
+    """Distances below the precision of single floats, many ties and crowds beyond the bound on candidates."""
+    rnd = np.random.default_rng(6)
+    x = np.vstack([rnd.normal(size=(300, 8)), np.tile(rnd.normal(size=(1, 8)), (200, 1)) + rnd.normal(size=(200, 8)) * 1e-6, rnd.integers(0, 2, (400, 8))])
+    x[0] = 0
+    u = x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, n)
+    c = np.round(u @ u.T, 12)
+    np.fill_diagonal(c, -np.inf)
+    kernel = blocks.Nearest(4, same=True)
+    index = blocks.build(frame(spark, range(len(x)), x), "id")
+    ids = {r.p: r.id for r in blocks.points(index).collect()}
+    for r in blocks.scan(index, index, kernel, kernel.schema()).collect():
+        assert np.allclose([f.cosine for f in r.found], np.sort(c[ids[r.p]])[::-1][:4], atol=2e-12) and len({f.q for f in r.found} - {ids[r.p]}) == 4
