@@ -143,13 +143,13 @@ def points(blocks: Blocks, *columns: str) -> DataFrame:
     return blocks.table.select(zipped).select("x.p", F.col("x.ids").alias("id"), *(F.col(f"x.{c}").alias(c) for c in columns))
 
 
-def with_column(blocks: Blocks, values: DataFrame, name: str) -> Blocks:
-    """The blocks with one more extra column, from a table p, name that has every p."""
-    kind = values.schema[name].dataType.simpleString().replace("bigint", "long")
-    placed = blocks.table.select("block", F.posexplode("p").alias("pos", "p")).join(values.select(F.col("p").alias("q"), name), F.col("p") == F.col("q"))
-    lists = placed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pos", name))).alias("cells")).select(F.col("block").alias("b"), F.transform("cells", lambda c: c[name]).alias(name))
-    table = blocks.table.drop(name).join(lists, F.col("block") == F.col("b")).drop("b")
-    return Blocks(table, blocks.rows, blocks.width, blocks.count, blocks.kind, {**blocks.extra, name: kind}, blocks.groups)
+def with_column(blocks: Blocks, values: DataFrame, *names: str) -> Blocks:
+    """The blocks with more extra columns, from a table p, names that has every p."""
+    kinds = {n: values.schema[n].dataType.simpleString().replace("bigint", "long") for n in names}
+    placed = blocks.table.select("block", F.posexplode("p").alias("pos", "p")).join(values.select(F.col("p").alias("q"), *names), F.col("p") == F.col("q"))
+    lists = placed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pos", *names))).alias("cells")).select(F.col("block").alias("b"), *(F.col("cells")[n].alias(n) for n in names))
+    table = blocks.table.drop(*names).join(lists, F.col("block") == F.col("b")).drop("b")
+    return Blocks(table, blocks.rows, blocks.width, blocks.count, blocks.kind, {**blocks.extra, **kinds}, blocks.groups)
 
 
 def nearest_possible(a: View, b: View) -> float:
@@ -163,13 +163,20 @@ def cosines(a: View, b: View) -> np.ndarray:
     return np.round(a.x @ b.x.T if a.number <= b.number else (b.x @ a.x.T).T, 12)
 
 
-def near(a: View, b: View, least: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(rows of a, rows of b, cosines) of the pairs whose cosine is at least that of the row of a; None if there may be more
-    than `most`. A cosine of single floats is off by less than `slack`."""
+def exact(a: View, b: View, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The cosines of pairs of rows, each pair by itself, so that it has one cosine from either side."""
+    return np.round(np.einsum("ij,ij->i", a.x[i], b.x[j]), 12)
+
+
+def near(a: View, b: View, rows: np.ndarray, columns: np.ndarray, least: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(row of a, row of b, cosine) of the pairs of these rows and columns whose cosine is at least what its row asks for;
+    None if there may be more than `most`. A cosine of single floats is off by less than `slack`."""
     slack = (a.x.shape[1] + 4) * 1.3e-7
     floor, found, n = (least - slack).astype(np.float32), [], 0
-    for at in range(0, len(a.x), TILE):
-        c, low = a.single[at : at + TILE] @ b.single.T, floor[at : at + TILE]
+    whole = len(rows) == len(a.x), len(columns) == len(b.x)
+    x, y = a.single if whole[0] else a.single[rows], b.single if whole[1] else b.single[columns]
+    for at in range(0, len(rows), TILE):
+        c, low = x[at : at + TILE] @ y.T, floor[at : at + TILE]
         hit = np.flatnonzero(c.max(1) >= low)
         i, j = np.nonzero(c[hit] >= low[hit, None])
         found.append((hit[i] + at, j))
@@ -177,8 +184,9 @@ def near(a: View, b: View, least: np.ndarray, most: int) -> tuple[np.ndarray, np
         if n > most:
             return None
     i, j = (np.concatenate(x) for x in zip(*found))
-    c = np.round(np.einsum("ij,ij->i", a.x[i], b.x[j]), 12)
-    real = c >= least[i]
+    i, j, least = rows[i], columns[j], least[i]
+    c = exact(a, b, i, j)
+    real = c >= least
     return i[real], j[real], c[real]
 
 
@@ -252,7 +260,7 @@ class Nearest:
 
     def meet(self, block: View) -> None:
         worst = self.c[:, -1]
-        few = near(self.block, block, worst, 16 * self.k * len(worst)) if np.isfinite(worst).all() else None
+        few = near(self.block, block, np.arange(len(worst)), np.arange(len(block.p)), worst, 16 * self.k * len(worst)) if np.isfinite(worst).all() else None
         i, j, c = few or self._best(block)
         if self.same and self.block.number == block.number:
             i, j, c = (x[i != j] for x in (i, j, c))
@@ -318,36 +326,67 @@ class Earlier:
 
 
 class Outside:
-    """Kernel for spanning trees: for each row the least (reach, q) over rows of other components, where the reach of two
-    rows is the largest of their distance 1 - cosine and their core distances. Columns core and comp must be there."""
+    """Kernel for spanning trees: for each row whose `need` is not 0 the k least (reach, q) over rows of other components,
+    where the reach of two rows is the largest of their distance 1 - cosine and their core distances. Columns core, comp and
+    need must be there. bound: no further row of another component is nearer (infinite where there is none)."""
 
-    SCHEMA = "p long, comp long, reach double, q long, other long"
+    SCHEMA = "p long, comp long, rank int, reach double, q long, other long, bound double"
+    NONE = np.iinfo(np.int64).max
+
+    def __init__(self, k: int):
+        self.k = k
 
     def begin(self, block: View) -> None:
         n = len(block.p)
-        self.block, self.reach = block, np.full(n, np.inf)
-        self.q, self.other = np.full(n, np.iinfo(np.int64).max), np.zeros(n, np.int64)
-        self.one = (block.comp == block.comp[0]).all()
+        self.block, self.reach = block, np.full((n, self.k), np.inf)
+        self.q, self.other = np.full((n, self.k), self.NONE), np.zeros((n, self.k), np.int64)
+        self.rows = np.flatnonzero(block.need)
+        comps, counts = np.unique(block.comp[self.rows], return_counts=True)
+        self.main, self.one = (comps[counts.argmax()] if len(comps) else self.NONE), len(comps) <= 1
 
     def least(self, block: View) -> float | None:
-        if self.one and (block.comp == self.block.comp[0]).all():
+        if not len(self.rows) or (self.one and (block.comp == self.main).all()):
             return None
-        worst = self.reach.max()
+        worst = self.reach[self.rows, -1].max()
         if block.core.min() > worst:
             return None
         return -np.inf if np.isinf(worst) else 1 - worst
 
     def meet(self, block: View) -> None:
-        r = np.maximum(np.maximum(1 - cosines(self.block, block), block.core[None, :]), self.block.core[:, None])
-        r[self.block.comp[:, None] == block.comp[None, :]] = np.inf
-        low = r.min(1)
-        q = np.where(r == low[:, None], block.p[None, :], np.iinfo(np.int64).max)
-        at = q.argmin(1)
-        q = q[np.arange(len(at)), at]
-        new = np.isfinite(low) & ((low < self.reach) | ((low == self.reach) & (q < self.q)))
-        self.reach[new], self.q[new], self.other[new] = low[new], q[new], block.comp[at[new]]
+        mine = self.block.comp[self.rows] == self.main  # the component that most rows are of does not meet itself
+        for rows, columns in ((self.rows[mine], block.comp != self.main), (self.rows[~mine], np.ones(len(block.p), bool))):
+            for at in range(0, len(rows), TILE):
+                some = rows[at : at + TILE]
+                worst = self.reach[some, -1]
+                self._meet(block, some, np.flatnonzero(columns & (block.core <= worst.max())), worst)
+
+    def _meet(self, block: View, rows: np.ndarray, columns: np.ndarray, worst: np.ndarray) -> None:
+        if not len(columns):
+            return
+        few = near(self.block, block, rows, columns, 1 - worst - 2e-12, 32 * self.k * len(rows)) if np.isfinite(worst).all() else None
+        if few:
+            i, j, c = few
+        else:  # the k least of these columns alone, and what ties with them
+            r = np.maximum(np.maximum(1 - self.block.x[rows] @ block.x[columns].T, block.core[columns]), self.block.core[rows, None])
+            r[self.block.comp[rows, None] == block.comp[columns]] = np.inf
+            edge = np.partition(r, self.k - 1, axis=1)[:, self.k - 1] if len(columns) > self.k else np.full(len(rows), np.inf)
+            i, j = np.nonzero((r <= edge[:, None] + SLACK) & np.isfinite(r))
+            i, j = rows[i], columns[j]
+            c = exact(self.block, block, i, j)
+        r = np.maximum(np.maximum(1 - c, block.core[j]), self.block.core[i])
+        real = (self.block.comp[i] != block.comp[j]) & (r <= self.reach[i, -1])
+        i, j, r = i[real], j[real], r[real]
+        if not len(i):
+            return
+        rows = np.unique(i)
+        old = lambda x: x[rows].ravel()
+        i, r, q, other = np.r_[np.repeat(rows, self.k), i], np.r_[old(self.reach), r], np.r_[old(self.q), block.p[j]], np.r_[old(self.other), block.comp[j]]
+        order = np.lexsort((q, r, i))
+        order = order[np.searchsorted(i[order], rows)[:, None] + np.arange(self.k)]  # each row has k old cells at least
+        self.reach[rows], self.q[rows], self.other[rows] = r[order], q[order], other[order]
 
     def finish(self) -> pa.RecordBatch:
         real = np.isfinite(self.reach)
-        cols = [self.block.p, self.block.comp, self.reach, self.q, self.other]
-        return pa.RecordBatch.from_arrays([pa.array(c[real]) for c in cols], names=["p", "comp", "reach", "q", "other"])
+        i, rank = np.nonzero(real)
+        cols = [self.block.p[i], self.block.comp[i], rank.astype(np.int32), self.reach[real], self.q[real], self.other[real], self.reach[i, -1]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["p", "comp", "rank", "reach", "q", "other", "bound"])

@@ -10,13 +10,16 @@ the sum over its rows of that density less the one at which the cluster begins.
 stable as the best choice below it; the one that never ends (the whole) does not count. Rows of no such cluster are noise.
 
 Rows of equal unit vectors are one point with a weight, so no number of copies makes ties or a crowd. Distances come from
-scans of blocks (blocks.py). The tree grows by rounds in which each component adds its least edge outwards. The edges
+scans of blocks (blocks.py). The tree grows by rounds in which each component adds its least edge outwards; rows keep a few
+edges, so that a round scans only rows whose edges are used up and which may have their component's least one. The edges
 are then worked off in ascending stretches of at most PIECE edges: in each the connected parts are solved apart, one at
 a time in a task, and every part becomes one node of the next stretch.
 """
 
 from __future__ import annotations
 
+from copy import copy
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,6 +31,7 @@ from quillon.functions.vectors import doubles, unit
 from quillon.operators.blocks import Blocks, Nearest, Outside, build, points, scan, with_column
 
 PIECE = 500_000
+NEAR = 8  # edges outwards that a row keeps of a scan
 FLOOR = 1e-9
 GENERATIONS = 24  # bits of a cluster's number that count its ancestors along one point
 NO = -1
@@ -110,28 +114,71 @@ def _joined(up: DataFrame) -> DataFrame:
         now.kept_at = at
 
 
+def _outside(index: Blocks, rows: DataFrame, all_: bool) -> DataFrame:
+    """Outside's table for the rows p, core, comp, need (every p) whose need is not 0."""
+    marked = with_column(index, rows, "core", "comp", "need")
+    table = keep(marked.table, "tree-blocks")  # tasks read it over and over
+    marked.table, marked.extra = table, {e: t for e, t in marked.extra.items() if e in ("core", "comp", "need")}
+    some = marked if all_ else copy(marked)
+    if not all_:
+        some.table = table.where(F.array_max("need") > 0)
+    release_shuffles(index.table.sparkSession)
+    out = keep(scan(some, marked, Outside(NEAR), Outside.SCHEMA), "tree-reaches")
+    drop(table)
+    release_shuffles(index.table.sparkSession)
+    return out
+
+
 def spanning_tree(index: Blocks, cores: DataFrame) -> DataFrame:
-    """(a, b, reach): the edges of the least spanning tree of mutual reachability over the points' numbers, a < b."""
-    index = with_column(index, cores, "core")
-    index.table = keep(index.table, "tree-blocks")  # rounds read it, not what it comes from
-    comp, edges = points(index).select("p", F.col("p").alias("comp")), []
+    """(a, b, reach): the edges of the least spanning tree of mutual reachability over the points' numbers, a < b.
+
+    Each row keeps the NEAR least edges to other components that a scan found, and the reach of the last of them, below
+    which nothing else lies outside. Edges inside a component go. A row is scanned again only when it has no edge left and
+    that reach is not above the least edge which its component has already."""
+    comp, edges = keep(cores.select("p", "core", F.col("p").alias("comp")), "tree-components"), []
+    cells = bounds = None
     for _ in range(64):
-        best = keep(scan(marked := with_column(index, comp, "comp"), marked, Outside(), Outside.SCHEMA), "tree-reaches")
-        del marked
-        release_shuffles(index.table.sparkSession)
-        a, b = F.least("p", "q"), F.greatest("p", "q")
-        least = keep(best.groupBy("comp").agg(F.min(F.struct("reach", a.alias("a"), b.alias("b"), "other")).alias("e")).select("comp", "e.*"), "tree-steps")
-        drop(best)
-        if not least.limit(1).count():
+        if comp.select("comp").distinct().limit(2).count() < 2:
             break
+        if cells is None:
+            need, all_ = comp.withColumn("need", F.lit(1).cast("long")), True
+        else:
+            ends = comp.select(F.col("p").alias("e"), F.col("comp").alias("now"))
+            mine = cells.select("p", "reach", "q").join(ends, F.col("p") == F.col("e")).select("p", F.col("now").alias("comp"), "reach", "q")
+            left = keep(mine.join(ends, F.col("q") == F.col("e")).where("comp <> now").select("p", "comp", "reach", "q", F.col("now").alias("other")), "tree-cells")
+            drop(cells)
+            cells = left
+            known = cells.groupBy("comp").agg(F.min("reach").alias("has")).withColumnRenamed("comp", "of")
+            none = comp.join(cells.select(F.col("p").alias("c")).distinct(), F.col("p") == F.col("c"), "left_anti").select("p", "comp")
+            none = none.join(bounds.withColumnRenamed("p", "b"), F.col("p") == F.col("b")).join(known, F.col("comp") == F.col("of"), "left").where("bound < double('infinity') AND (has IS NULL OR bound <= has)")
+            asked = keep(none.select(F.col("p").alias("n")), "tree-asked")
+            need, all_ = comp.join(asked, F.col("p") == F.col("n"), "left").select("p", "core", "comp", F.when(F.col("n").isNull(), 0).otherwise(1).cast("long").alias("need")), False
+        if all_ or asked.limit(1).count():
+            found = _outside(index, need, all_)
+            heads = found.where("rank = 0").select("p", "bound")
+            found_cells = found.select("p", "comp", "reach", "q", "other")
+            if all_:
+                cells, bounds = keep(found_cells, "tree-cells"), keep(heads, "tree-bounds")
+            else:
+                old = cells, bounds
+                cells = keep(cells.unionByName(found_cells), "tree-cells")
+                bounds = keep(bounds.join(asked, F.col("p") == F.col("n"), "left_anti").unionByName(heads), "tree-bounds")
+                drop(*old)
+            drop(found)
+        a, b = F.least("p", "q"), F.greatest("p", "q")
+        least = keep(cells.groupBy("comp").agg(F.min(F.struct("reach", a.alias("a"), b.alias("b"), "other")).alias("e")).select("comp", "e.*"), "tree-steps")
+        if not all_:
+            drop(asked)
         edges.append(least.select("a", "b", "reach").distinct())
         roots = _joined(least.select(F.col("comp").alias("c"), F.col("other").alias("up")))
-        comp = keep(comp.join(roots, F.col("comp") == F.col("c")).select("p", F.col("root").alias("comp")), "tree-components")
+        then = keep(comp.join(roots, F.col("comp") == F.col("c")).select("p", "core", F.col("root").alias("comp")), "tree-components")
+        drop(comp)
+        comp = then
+    drop(comp, *(x for x in (cells, bounds) if x is not None))
     out = edges[0] if edges else cores.sparkSession.createDataFrame([], "a long, b long, reach double")
     for e in edges[1:]:
         out = out.unionByName(e)
     out = keep(out, "tree")
-    drop(index.table)
     if out.count() != max(index.rows - 1, 0):
         raise RuntimeError("the spanning tree has a cycle")
     return out

@@ -228,3 +228,28 @@ def test_near_rows_by_single_floats_are_those_of_all_pairs(spark):
     ids = {r.p: r.id for r in blocks.points(index).collect()}
     for r in blocks.scan(index, index, kernel, kernel.schema()).collect():
         assert np.allclose([f.cosine for f in r.found], np.sort(c[ids[r.p]])[::-1][:4], atol=2e-12) and len({f.q for f in r.found} - {ids[r.p]}) == 4
+
+
+def test_rounds_scan_rows_whose_edges_are_used_up(spark, monkeypatch):
+    """The tree is that of all pairs though rows keep two edges, with ties and copies; what is shuffled stays a few tables a round."""
+    monkeypatch.setattr(blocks, "ROWS", 64)
+    monkeypatch.setattr(density, "NEAR", 2)
+    x = np.vstack([mixture(7, 5800, 128, 5), np.random.default_rng(2).integers(0, 2, (300, 128))])
+    x[100:120] = x[:20]
+    asked, real = [], density._outside
+    monkeypatch.setattr(density, "_outside", lambda index, rows, all_: asked.append(rows.agg(F.sum("need")).first()[0]) or real(index, rows, all_))
+    before = shuffled(spark)
+    got = density.tree_weight(frame(spark, range(len(x)), x), "id", 3).first()
+    assert asked[0] == len(x) - 20 and all(n < len(x) - 20 for n in asked[1:])
+    assert shuffled(spark) - before < 40 * x.nbytes
+    u = np.round(x / np.linalg.norm(x, axis=1, keepdims=True), 12)
+    d = 1 - np.round(u @ u.T, 12)
+    np.fill_diagonal(d, np.inf)
+    core = np.maximum(np.sort(d, 1)[:, 2], 0)
+    key, seen, total = np.full(len(x), np.inf), np.zeros(len(x), bool), 0.0
+    key[0] = 0
+    for _ in range(len(x)):
+        i = int(np.where(seen, np.inf, key).argmin())
+        seen[i], total = True, total + key[i]
+        key = np.minimum(key, np.maximum(np.maximum(d[i], core[i]), core))
+    assert got.n == len(x) - 1 and got.total == pytest.approx(total, abs=1e-7)
